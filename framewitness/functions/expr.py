@@ -107,3 +107,12 @@ def pick(array: str, field: str) -> str:
 
 def struct_of(**fields: str) -> str:
     return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+
+def unnest(df, array: str, key: str, *kept: str):
+    """One row per struct of an array column; ``key`` is a field never null.
+
+    The outer form keeps Catalyst from deriving a size filter, which it would
+    push below the projections by repeating the whole expression of the array.
+    """
+    return df.selectExpr(*kept, f"inline_outer({array})").filter(f"{key} IS NOT NULL")

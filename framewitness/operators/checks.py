@@ -19,6 +19,7 @@ from framewitness.functions.expr import (
     quoted,
     struct_of,
     total,
+    unnest,
 )
 from framewitness.functions.fixed import (
     CATEGORY_SHARE_LIMIT,
@@ -522,12 +523,12 @@ _EMPTY_ROW = struct_of(check_id="''", reason_code="''", reason="''")
 
 def evidence_ledger(case_files: DataFrame) -> DataFrame:
     """One row per evidence item."""
-    return case_files.selectExpr("case_id", "issue_type", "inline(evidence)")
+    return unnest(case_files, "evidence", "evidence_id", "case_id", "issue_type")
 
 
 def evidence_metrics(case_files: DataFrame) -> DataFrame:
     """One row per metric of an evidence item, in order."""
-    return case_files.selectExpr("case_id", "inline(evidence)").selectExpr(
+    return unnest(case_files, "evidence", "evidence_id", "case_id").selectExpr(
         "case_id", "evidence_id", "check_id", "posexplode(metrics) AS (pos, m)"
     ).selectExpr(
         "case_id", "evidence_id", "check_id", "pos + 1 AS ordinal", "m.name AS metric",
@@ -536,7 +537,7 @@ def evidence_metrics(case_files: DataFrame) -> DataFrame:
 
 
 def checks_not_run(case_files: DataFrame) -> DataFrame:
-    return case_files.selectExpr("case_id", "inline(checks_not_run)")
+    return unnest(case_files, "checks_not_run", "check_id", "case_id")
 
 
 def ledger_execution(case_files: DataFrame) -> DataFrame:

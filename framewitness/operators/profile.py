@@ -4,10 +4,11 @@ Three physical shapes produce the same measures:
 
 * no unique counts asked for: one wide aggregate, one pass, nothing shuffled but
   one row per task (days, if asked for, are grouped by day first);
-* unique counts over a columnar source: each column is read alone and grouped by
-  its own value, so the shuffle carries only (value, count) pairs;
-* unique counts over anything else (a join, a filter, text files): one pass that
-  lays the columns out as narrow (position, value) rows and groups those.
+* unique counts over a columnar source: the columns of one type are read together
+  and grouped as (position, value) rows, so every column is read once, a shuffled
+  row is one value and one count, and a wide table needs no more jobs;
+* unique counts over anything else (a join, text files): one pass over the source
+  that lays all columns out as (position, value) rows and groups those.
 
 In the last two every further measure is computed from the grouped values, so
 parsing and length work is done once per different value. A value that fills a
@@ -94,11 +95,22 @@ def _text_key(text: str) -> str:
 
 @dataclass(frozen=True)
 class _Source:
-    """What is known about a column before any job runs."""
+    """What is known about a column before any job runs.
 
+    ``id`` numbers the profiled columns of all tables of one profile.
+    """
+
+    id: int
+    table: Table
     position: int
-    name: str
-    data_type: T.DataType
+
+    @property
+    def name(self) -> str:
+        return self.table.names[self.position]
+
+    @property
+    def data_type(self) -> T.DataType:
+        return self.table.frame.schema.fields[self.position].dataType
 
     @property
     def kind(self) -> str:
@@ -160,7 +172,7 @@ def _wide(table: Table, sources: list[_Source], asked) -> DataFrame:
         for source in sources[start : start + _WIDE_COLUMNS]:
             value = source.value()
             fields = {
-                "position": str(source.position),
+                "id": str(source.id),
                 "row_count": "count(1)",
                 "non_null_count": f"count({value})",
             }
@@ -180,56 +192,60 @@ def _wide(table: Table, sources: list[_Source], asked) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _days(table: Table, sources: list[_Source], formats) -> DataFrame | None:
+def _days(sources: list[_Source], formats) -> DataFrame | None:
     """Date measures of the columns that may hold dates.
 
     Rows are grouped by day before they meet, so the shuffle carries at most one
     row per column, day and task.
     """
-    dated = [s for s in sources if s.may_hold_dates]
-    if not dated:
-        return None
-    rows = []
-    for source in dated:
+
+    def row(source: _Source) -> str:
         value = source.value()
         moment = source.moment(value, formats)
-        rows.append(
-            struct_of(
-                position=str(source.position),
-                moment=moment,
-                day=f"date({source.day(value, moment)})",
-            )
-        )
-    return (
-        table.frame.selectExpr(f"inline(array({', '.join(rows)}))")
-        .groupBy("position", "day")
-        .agg(
-            F.expr("count(1)").alias("n"),
-            F.min("moment").alias("first"),
-            F.max("moment").alias("last"),
-        )
-        .groupBy("position")
-        .agg(
-            F.expr("coalesce(sum(IF(day IS NOT NULL, n, 0)), 0)").alias("parsed_count"),
-            F.min("first").alias("moment_min"),
-            F.max("last").alias("moment_max"),
-            F.min("day").alias("day_min"),
-            F.max("day").alias("day_max"),
-            F.count("day").alias("day_count"),
-        )
+        day = f"date({source.day(value, moment)})"
+        return struct_of(id=str(source.id), moment=moment, day=day)
+
+    parts = [
+        table.frame.selectExpr(f"inline(array({', '.join(map(row, members))}))")
+        for table, members in _by_table([s for s in sources if s.may_hold_dates])
+    ]
+    if not parts:
+        return None
+    by_day = reduce(DataFrame.unionByName, parts).groupBy("id", "day")
+    counted = by_day.agg(
+        F.expr("count(1)").alias("n"),
+        F.min("moment").alias("first"),
+        F.max("moment").alias("last"),
+    )
+    return counted.groupBy("id").agg(
+        F.expr("coalesce(sum(IF(day IS NOT NULL, n, 0)), 0)").alias("parsed_count"),
+        F.min("first").alias("moment_min"),
+        F.max("last").alias("moment_max"),
+        F.min("day").alias("day_min"),
+        F.max("day").alias("day_max"),
+        F.count("day").alias("day_count"),
     )
 
 
-def _ungrouped(table: Table, sources: list[_Source], asked, formats) -> DataFrame:
-    raw = _wide(table, sources, asked)
-    days = _days(table, sources, formats) if "dates" in asked else None
+def _ungrouped(sources: list[_Source], asked, formats) -> DataFrame:
+    parts = [_wide(table, members, asked) for table, members in _by_table(sources)]
+    raw = reduce(DataFrame.unionByName, parts)
+    days = _days(sources, formats) if "dates" in asked else None
     # At most one row per column on either side.
-    return raw if days is None else raw.join(F.broadcast(days), "position", "left")
+    return raw if days is None else raw.join(F.broadcast(days), "id", "left")
+
+
+def _by_table(sources: list[_Source]) -> list[tuple[Table, list[_Source]]]:
+    groups: dict[str, tuple[Table, list[_Source]]] = {}
+    for source in sources:
+        entry = groups.setdefault(source.table.dataset_id, (source.table, []))
+        entry[1].append(source)
+    return list(groups.values())
 
 
-def _cell(position, n, present, number, length, moment, day) -> list[str]:
+def _cell(id_, n, present, number, length, moment, day) -> list[str]:
     return [
-        f"int({position}) AS position",
+        f"int({id_}) AS id",
         f"bigint({n}) AS n",
         f"{present} AS present",
         f"double({number}) AS number",
@@ -241,30 +257,82 @@ def _cell(position, n, present, number, length, moment, day) -> list[str]:
 
 def _cells_of_column(table: Table, source: _Source, asked, formats) -> DataFrame:
     """One row per different value of one column, with its number of cells."""
-    value, keys = source.value(), ["key"]
-    selected = [f"{value} AS key"]
-    if source.is_text:
-        selected, keys = [f"{_text_key(value)} AS key"], ["key", "size"]
-        selected.append(f"length({value}) AS size")
-    elif not source.comparable:
-        selected = [f"{value} IS NOT NULL AS key"]
-    grouped = table.frame.selectExpr(*selected).groupBy(*keys)
+    value = source.value() if source.comparable else f"{source.value()} IS NOT NULL"
+    grouped = table.frame.selectExpr(f"{value} AS key").groupBy("key")
     dated = "dates" in asked
     moment = source.moment("key", formats) if dated else "NULL"
     day = source.day("key", moment) if dated else "NULL"
     return grouped.agg(F.expr("count(1)").alias("n")).selectExpr(
         *_cell(
-            source.position,
+            source.id,
             "n",
             "key IS NOT NULL" if source.comparable else "key",
             source.number("key"),
-            "size" if source.is_text else "NULL",
+            "NULL",
             moment,
             day,
         )
     )
 
 
+def _family(source: _Source, columnar: bool) -> str | None:
+    """Columns that can be grouped together, by the type their values share."""
+    data_type, kind = source.data_type, source.kind
+    if kind == "mixed_or_unknown":
+        return None
+    if not columnar:
+        return "any"
+    if isinstance(data_type, (T.DecimalType, T.TimestampType)):
+        return None
+    families = {"boolean": "whole", "integer": "whole", "decimal": "real"}
+    return families.get(kind, "text" if source.is_text else "clock")
+
+
+def _cells_of_family(
+    table: Table, sources: list[_Source], family: str, asked, formats
+) -> DataFrame:
+    """One row per column and different value, for columns of one type."""
+    types = {"whole": "BIGINT", "real": "DOUBLE", "clock": "TIMESTAMP_NTZ"}
+
+    def row(source: _Source) -> str:
+        value, fields = source.value(), {"id": str(source.id)}
+        if family == "text":
+            fields["key"] = _text_key(value)
+            fields["size"] = f"length({value})"
+        else:
+            fields["key"] = f"CAST({value} AS {types[family]})"
+        return struct_of(**fields)
+
+    is_text = family == "text"
+    numeric = family in ("whole", "real")
+    moment = day = "NULL"
+    if "dates" in asked and is_text:
+        moment = day = parse_timestamp("key", formats)
+    elif "dates" in asked and family == "clock":
+        moment = day = "key"
+    elif "dates" in asked:
+        named = [str(s.id) for s in sources if s.is_date_named_number]
+        if named:
+            read = epoch_nanos_to_date("key", whole=family == "whole")
+            day = f"IF(id IN ({', '.join(named)}), {read}, NULL)"
+    return (
+        table.frame.selectExpr(f"inline(array({', '.join(map(row, sources))}))")
+        .groupBy("id", "key", *(["size"] if is_text else []))
+        .agg(F.expr("count(1)").alias("n"))
+        .selectExpr(
+            *_cell(
+                "id",
+                "n",
+                "key IS NOT NULL",
+                "key" if numeric else "NULL",
+                "size" if is_text else "NULL",
+                moment,
+                day,
+            )
+        )
+    )
+
+
 def _cells_in_one_pass(
     table: Table, sources: list[_Source], asked, formats
 ) -> DataFrame:
@@ -290,7 +358,7 @@ def _cells_in_one_pass(
             if isinstance(source.data_type, T.TimestampType):
                 whole = f"unix_micros({value})"
         return struct_of(
-            position=str(source.position),
+            id=str(source.id),
             whole=f"bigint({whole})",
             real=f"double({real})",
             text=f"string({text})",
@@ -299,13 +367,13 @@ def _cells_in_one_pass(
 
     grouped = (
         table.frame.selectExpr(f"inline(array({', '.join(map(slots, sources))}))")
-        .groupBy("position", "whole", "real", "text", "clock")
+        .groupBy("id", "whole", "real", "text", "clock")
         .agg(F.expr("count(1)").alias("n"))
     )
 
     def among(wanted) -> str:
-        positions = [str(s.position) for s in sources if wanted(s)]
-        return f"position IN ({', '.join(positions)})" if positions else "false"
+        positions = [str(s.id) for s in sources if wanted(s)]
+        return f"id IN ({', '.join(positions)})" if positions else "false"
 
     is_text = among(lambda s: s.is_text)
     moment = day = "NULL"
@@ -319,7 +387,7 @@ def _cells_in_one_pass(
         day = f"coalesce(date({moment}), IF({named}, {numeric_day}, NULL))"
     return grouped.selectExpr(
         *_cell(
-            "position",
+            "id",
             "n",
             "(whole IS NOT NULL OR real IS NOT NULL OR text IS NOT NULL"
             " OR clock IS NOT NULL)",
@@ -331,25 +399,37 @@ def _cells_in_one_pass(
     )
 
 
-def _grouped(table: Table, sources: list[_Source], asked, formats) -> DataFrame:
+def _cells(table: Table, sources: list[_Source], asked, formats) -> list[DataFrame]:
+    groups: dict[str | None, list[_Source]] = {}
+    for source in sources:
+        groups.setdefault(_family(source, table.columnar), []).append(source)
+    parts = [
+        _cells_of_column(table, source, asked, formats)
+        for source in groups.pop(None, [])
+    ]
+    for family, members in groups.items():
+        if family == "any":
+            parts.append(_cells_in_one_pass(table, members, asked, formats))
+        else:
+            parts.append(_cells_of_family(table, members, family, asked, formats))
+    return parts
+
+
+def _grouped(sources: list[_Source], asked, formats) -> DataFrame:
     """Measures with exact unique counts, from grouped values."""
-    alone = [s for s in sources if table.columnar or s.kind == "mixed_or_unknown"]
-    together = [s for s in sources if s not in alone]
-    parts = [_cells_of_column(table, s, asked, formats) for s in alone]
-    if together:
-        parts.append(_cells_in_one_pass(table, together, asked, formats))
+    parts = []
+    for table, members in _by_table(sources):
+        parts += _cells(table, members, asked, formats)
     # A zero-weight row per column keeps columns of an empty table in the result.
-    positions = ", ".join(str(s.position) for s in sources)
-    anchor = table.frame.sparkSession.range(1).selectExpr(
-        f"explode(array({positions})) AS position"
-    )
+    spark = sources[0].table.frame.sparkSession
+    anchor = spark.range(len(sources)).selectExpr("int(id) AS id")
     nulls = ["NULL"] * 4
-    parts.append(anchor.selectExpr(*_cell("position", "0", "false", *nulls)))
+    parts.append(anchor.selectExpr(*_cell("id", "0", "false", *nulls)))
     cells = reduce(DataFrame.unionByName, parts)
-    opaque = [str(s.position) for s in sources if not s.comparable]
+    opaque = [str(s.id) for s in sources if not s.comparable]
     unique = "count_if(present)"
     if opaque:
-        unique = f"IF(position IN ({', '.join(opaque)}), NULL, {unique})"
+        unique = f"IF(id IN ({', '.join(opaque)}), NULL, {unique})"
     measures = {
         "row_count": "coalesce(sum(n), 0)",
         "non_null_count": "coalesce(sum(IF(present, n, 0)), 0)",
@@ -366,19 +446,19 @@ def _grouped(table: Table, sources: list[_Source], asked, formats) -> DataFrame:
         measures["moment_min"], measures["moment_max"] = "min(moment)", "max(moment)"
         measures["day_min"], measures["day_max"] = "min(day)", "max(day)"
         measures["day_count"] = "count(DISTINCT day)"
-    return cells.groupBy("position").agg(
+    return cells.groupBy("id").agg(
         *[F.expr(text).alias(name) for name, text in measures.items()]
     )
 
 
-def column_profile(
-    table: Table,
+def profiles(
+    tables: Iterable[Table],
     *,
     columns: Iterable[str] | None = None,
     measures: Iterable[str] = ALL_MEASURES,
     date_formats: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row of aggregates per column of ``table``.
+    """One row of aggregates per column of every table.
 
     ``columns`` keeps only columns with these display names; ``measures`` keeps
     only the named groups (unique, numeric, dates, text), and what is not asked
@@ -389,36 +469,44 @@ def column_profile(
     if not asked <= ALL_MEASURES:
         raise ValueError(f"unknown measures: {sorted(asked - ALL_MEASURES)}")
     wanted = None if columns is None else set(columns)
-    fields = table.frame.schema.fields
-    sources = [
-        _Source(i, name, fields[i].dataType)
-        for i, name in enumerate(table.names)
+    chosen = [
+        (table, position)
+        for table in tables
+        for position, name in enumerate(table.names)
         if wanted is None or name in wanted
     ]
-    if not sources:
+    if not chosen:
         raise ValueError("no column to profile")
+    sources = [_Source(i, *pair) for i, pair in enumerate(chosen)]
     build = _grouped if "unique" in asked else _ungrouped
-    raw = build(table, sources, asked, tuple(date_formats))
-    return _finish(table, raw)
+    return _finish(sources, build(sources, asked, tuple(date_formats)))
+
 
+def column_profile(table: Table, **options) -> DataFrame:
+    """The profile of one table; options as for ``profiles``."""
+    return profiles([table], **options)
 
-def _finish(table: Table, raw: DataFrame) -> DataFrame:
+
+def _finish(sources: list[_Source], raw: DataFrame) -> DataFrame:
     """Names, kinds and percentages around the raw measures."""
-    types = [field.dataType for field in table.frame.schema.fields]
-    occurrences = table.occurrences()
 
     def at(values) -> str:
-        return f"array({', '.join(literal(v) for v in values)})[position]"
+        return f"array({', '.join(literal(v) for v in values)})[id]"
 
+    naming = {
+        table.dataset_id: list(zip(table.occurrences(), table.blank_names()))
+        for table, _ in _by_table(sources)
+    }
+    names = [naming[s.table.dataset_id][s.position] for s in sources]
     known = set(raw.columns)
     every = {name: type_ for group in _RAW.values() for name, type_ in group.items()}
     raw = raw.selectExpr(
-        "position",
+        "id",
         "row_count",
         "non_null_count",
         *[n if n in known else f"CAST(NULL AS {t}) AS {n}" for n, t in every.items()],
-        f"{at([_base_kind(t) for t in types])} AS base_kind",
-        f"{at([_is_number(t) for t in types])} AS is_numeric_type",
+        f"{at([s.kind for s in sources])} AS base_kind",
+        f"{at([s.is_number for s in sources])} AS is_numeric_type",
         f"{pct('parsed_count', 'non_null_count')} AS parse_share",
     ).selectExpr(
         "*",
@@ -437,10 +525,10 @@ def _finish(table: Table, raw: DataFrame) -> DataFrame:
         return f"CASE WHEN {condition} THEN {value} END AS {name}"
 
     return raw.selectExpr(
-        f"{quoted(table.dataset_id)} AS dataset_id",
-        "position",
-        f"{at(table.names)} AS column_name",
-        f"{at([t.simpleString() for t in types])} AS data_type",
+        f"{at([s.table.dataset_id for s in sources])} AS dataset_id",
+        f"{at([s.position for s in sources])} AS position",
+        f"{at([s.name for s in sources])} AS column_name",
+        f"{at([s.data_type.simpleString() for s in sources])} AS data_type",
         "inferred_kind",
         "row_count",
         "non_null_count",
@@ -470,16 +558,9 @@ def _finish(table: Table, raw: DataFrame) -> DataFrame:
         when(text, "len_max", "txt_max_len"),
         when(text, "try_divide(len_sum, non_null_count)", "txt_avg_len"),
         "is_numeric_type",
-        f"{at([number for number, _ in occurrences])} AS name_occurrence",
-        f"{at([count for _, count in occurrences])} AS name_count",
-        f"{at(table.blank_names())} AS is_blank_name",
-    )
-
-
-def profiles(tables: Iterable[Table], **options) -> DataFrame:
-    """The column profiles of several tables in one frame."""
-    return reduce(
-        DataFrame.unionByName, [column_profile(t, **options) for t in tables]
+        f"{at([occurrence for (occurrence, _), _ in names])} AS name_occurrence",
+        f"{at([count for (_, count), _ in names])} AS name_count",
+        f"{at([blank for _, blank in names])} AS is_blank_name",
     )
 
 

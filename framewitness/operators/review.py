@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewitness.functions.expr import array_of, pick, quoted, struct_of
+from framewitness.functions.expr import array_of, pick, quoted, struct_of, unnest
 from framewitness.functions.fixed import (
     HYPOTHESIS_STATUSES,
     NOT_ASSESSED,
@@ -150,7 +150,7 @@ def _unclear() -> str:
 
 
 def hypotheses(reviewed: DataFrame) -> DataFrame:
-    return reviewed.selectExpr("case_id", "issue_type", "inline(hypotheses)")
+    return unnest(reviewed, "hypotheses", "hypothesis_id", "case_id", "issue_type")
 
 
 def hypothesis_status_counts(reviewed: DataFrame) -> DataFrame:
@@ -166,21 +166,20 @@ def _status_counts() -> list[str]:
 
 
 def supported_signals(reviewed: DataFrame) -> DataFrame:
-    return reviewed.selectExpr("case_id", "inline(supported_signals)")
+    return unnest(reviewed, "supported_signals", "item_id", "case_id")
 
 
 def not_supported_signals(reviewed: DataFrame) -> DataFrame:
-    return reviewed.selectExpr("case_id", "inline(not_supported_signals)")
+    return unnest(reviewed, "not_supported_signals", "item_id", "case_id")
 
 
 def unclear_items(reviewed: DataFrame) -> DataFrame:
-    return reviewed.selectExpr("case_id", "inline(unclear_items)")
+    return unnest(reviewed, "unclear_items", "item_id", "case_id")
 
 
 def recommended_checks(reviewed: DataFrame) -> DataFrame:
-    return reviewed.selectExpr(
-        "case_id", "posexplode(recommended_checks) AS (pos, check_text)"
-    ).selectExpr("case_id", "pos + 1 AS check_ordinal", "check_text")
+    texts = "transform(recommended_checks, (t, i) -> struct(i + 1 AS check_ordinal, t AS check_text))"
+    return unnest(reviewed, texts, "check_ordinal", "case_id")
 
 
 def findings_summary(reviewed: DataFrame) -> DataFrame:
@@ -210,7 +209,7 @@ def report_key_metrics(reviewed: DataFrame) -> DataFrame:
     filled = "(m.value IS NOT NULL OR m.text IS NOT NULL)"
     shown = f"filter(metrics, m -> m.scalar AND {filled} AND NOT ({hidden}))"
     return (
-        reviewed.selectExpr("case_id", "inline(evidence)")
+        unnest(reviewed, "evidence", "evidence_id", "case_id")
         .selectExpr(
             "case_id",
             "evidence_id",
@@ -233,7 +232,7 @@ def _joined(array: str) -> str:
 
 def report_evidence_rows(reviewed: DataFrame) -> DataFrame:
     """The evidence table of a report: flat rows, lists as text."""
-    return reviewed.selectExpr("case_id", "inline(evidence)").selectExpr(
+    return unnest(reviewed, "evidence", "evidence_id", "case_id").selectExpr(
         "case_id",
         "evidence_id",
         "check_name",
@@ -245,7 +244,7 @@ def report_evidence_rows(reviewed: DataFrame) -> DataFrame:
 
 
 def report_hypothesis_rows(reviewed: DataFrame) -> DataFrame:
-    return reviewed.selectExpr("case_id", "inline(hypotheses)").selectExpr(
+    return unnest(reviewed, "hypotheses", "hypothesis_id", "case_id").selectExpr(
         "case_id",
         "hypothesis_id",
         "status",
@@ -260,7 +259,7 @@ def report_finding_rows(reviewed: DataFrame) -> DataFrame:
     """Signals and unclear items of a report in one table, by section."""
 
     def section(source: str, reason: str, check: str) -> DataFrame:
-        return reviewed.selectExpr("case_id", f"inline({source})").selectExpr(
+        return unnest(reviewed, source, "item_id", "case_id").selectExpr(
             "case_id",
             f"'{source}' AS section",
             "item_id",
