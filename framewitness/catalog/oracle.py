@@ -739,8 +739,8 @@ _ITEMS = {
         "schema_change", 1, "true", False, "absent", "cand_names",
         [
             ("column_count", "cols"),
-            ("duplicate_column_name_count", "0"),
-            ("empty_column_name_count", "0"),
+            ("duplicate_column_name_count", "0::BIGINT"),
+            ("empty_column_name_count", "0::BIGINT"),
             ("candidate_column_count", "n_cand"),
         ],
     ),
@@ -767,8 +767,8 @@ _ITEMS = {
             ("numeric_column_count", "numbers"),
             ("datetime_column_count", "dates"),
             ("text_column_count", "texts"),
-            ("duplicate_column_name_count", "0"),
-            ("empty_column_name_count", "0"),
+            ("duplicate_column_name_count", "0::BIGINT"),
+            ("empty_column_name_count", "0::BIGINT"),
         ],
     ),
     "baseline_duplicate_comparison": (
@@ -829,7 +829,7 @@ _ITEMS = {
             ("columns_compared", "cat_n"),
             ("columns_with_unique_count_delta", "cat_delta"),
             ("max_unique_count_delta", "cat_max"),
-            ("columns_with_high_cardinality_signal_delta", "0"),
+            ("columns_with_high_cardinality_signal_delta", "0::BIGINT"),
         ],
     ),
     "baseline_general_summary": (
@@ -841,8 +841,8 @@ _ITEMS = {
             ("numeric_column_count_delta", "d_numbers"),
             ("datetime_column_count_delta", "d_dates"),
             ("text_column_count_delta", "d_texts"),
-            ("duplicate_column_name_count_delta", "0"),
-            ("empty_column_name_count_delta", "0"),
+            ("duplicate_column_name_count_delta", "0::BIGINT"),
+            ("empty_column_name_count_delta", "0::BIGINT"),
         ],
     ),
 }

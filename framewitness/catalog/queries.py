@@ -223,7 +223,10 @@ def _case_tables(spark, sf) -> list[Table]:
 
 @query
 def candidate_columns(spark, sf):
-    kinds = profile.profiles(_case_tables(spark, sf), measures=("dates",))
+    # Written first, so that the join with the cases sees how small it is.
+    kinds = stage_table(
+        profile.profiles(_case_tables(spark, sf), measures=("dates",)), "kinds"
+    )
     found = routing.candidate_columns(inputs.issue_cases(spark, sf), kinds)
     return found.groupBy("dataset_id", "issue_type", "position", "column_name").agg(
         F.expr("count(1)").alias("case_count")
@@ -289,7 +292,8 @@ _RELATED = f"{_joined('related_columns')} AS related_columns"
 def _current_check(spark, table, statement, check_id, outputs, **options) -> DataFrame:
     facts = checks.table_facts(profile.column_profile(table, **options))
     case = _one_case(spark, statement, table.dataset_id)
-    ledger = checks.evidence_ledger(checks.case_evidence(case, facts))
+    evidence = checks.case_evidence(case, facts, column_bound=table.column_count)
+    ledger = checks.evidence_ledger(evidence)
     return ledger.filter(F.col("check_id") == check_id).selectExpr(*_SIGNAL, *outputs)
 
 
@@ -618,7 +622,9 @@ def _baseline_check(spark, sides, statement, check_id, outputs, **options) -> Da
     )
     compared = compare.compare(staged, pair)
     case = _one_case(spark, statement, current.dataset_id, baseline.dataset_id)
-    evidence = checks.case_evidence(case, checks.table_facts(staged), compared)
+    evidence = checks.case_evidence(
+        case, checks.table_facts(staged), compared, column_bound=current.column_count
+    )
     ledger = checks.evidence_ledger(evidence)
     return ledger.filter(F.col("check_id") == check_id).selectExpr(
         *_SIGNAL, _RELATED, *outputs

@@ -86,7 +86,10 @@ def is_blank(text: str) -> str:
 
 
 def contains_any(text: str, terms) -> str:
-    """True when the text holds any of the (already lower-case) terms."""
+    """True when the text holds any of the (already lower-case) terms.
+
+    ``text`` is repeated per term, so it should be a plain column or variable.
+    """
     return "(" + " OR ".join(f"contains({text}, {quoted(t)})" for t in terms) + ")"
 
 

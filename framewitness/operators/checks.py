@@ -35,7 +35,17 @@ from framewitness.functions.wording import (
     NOT_RUN_REASONS,
 )
 from framewitness.operators.profile import table_summary
-from framewitness.operators.routing import candidate_rule, route
+from framewitness.operators.routing import (
+    candidate_rule,
+    classify,
+    mentions_column,
+    route_rules,
+)
+
+# Up to this many columns in all, facts stay far below what a broadcast may hold:
+# one column is a struct of some 200 bytes, and a pair has no more columns.
+BROADCAST_COLUMNS = 100_000
+_SALTS = 64
 
 _FACTS = (
     "position", "column_name AS name", "lower(column_name) AS folded",
@@ -438,29 +448,81 @@ def _by_type(branches: dict[str, str], otherwise: str) -> str:
     return f"CASE issue_type {whens} ELSE {otherwise} END"
 
 
-def case_evidence(
-    cases: DataFrame, facts: DataFrame, comparison: DataFrame | None = None
+def join_small(
+    cases: DataFrame, small: DataFrame, keys: list[str], bounded: bool
 ) -> DataFrame:
-    """One row per case with its evidence items and the checks not run.
+    """Left join of cases with rows that many cases share.
+
+    Without a known bound the join shuffles; a salt then spreads the cases that
+    share one row, or have none, over many tasks.
+    """
+    if bounded:
+        return cases.join(F.broadcast(small), keys, "left")
+    salted = cases.withColumn("salt", F.expr(f"pmod(xxhash64(case_id), {_SALTS})"))
+    copies = small.withColumn("salt", F.expr(f"explode(sequence(0L, {_SALTS - 1}L))"))
+    return salted.join(copies, [*keys, "salt"], "left").drop("salt")
+
+
+def case_keys(cases: DataFrame, facts: DataFrame, *, bounded: bool) -> DataFrame:
+    """Classified cases with everything their evidence depends on.
 
-    ``facts`` is one row per table and ``comparison`` one row per pair; Spark
-    broadcasts them when their measured size allows, and otherwise joins by
-    table, where adaptive execution splits a table with very many cases.
+    That is the issue type, the table, the baseline and, for the two types that
+    read column names from the statement, the columns it mentions.
     """
-    joined = route(cases).join(facts, "dataset_id", "left")
+    words = "regexp_extract_all(c.folded, '([a-z0-9]+)', 1) AS words"
+    names = facts.selectExpr(
+        "dataset_id",
+        f"transform(columns, c -> struct(c.position, {words},"
+        " replace(c.folded, '_', ' ') AS spoken)) AS names",
+    )
+    mentioned = f"""CASE WHEN issue_type IN ('null_increase', 'schema_change')
+        THEN transform(filter(names, n -> {mentions_column("n.words", "n.spoken")}),
+            n -> n.position)
+        END"""
+    joined = join_small(classify(cases), names, ["dataset_id"], bounded)
+    return joined.select(
+        "case_id",
+        "issue_statement",
+        "issue_type",
+        "issue_provided",
+        "dataset_id",
+        "baseline_id",
+        F.expr(f"coalesce({mentioned}, CAST(array() AS ARRAY<INT>))").alias("mentioned"),
+    )
+
+
+def evaluate(
+    keyed: DataFrame,
+    facts: DataFrame,
+    comparison: DataFrame | None = None,
+    *,
+    bounded: bool,
+) -> DataFrame:
+    """Adds the evidence items and the checks not run to every row of ``keyed``."""
+    rules = F.broadcast(route_rules(keyed.sparkSession))
+    joined = join_small(keyed.join(rules, "issue_type"), facts, ["dataset_id"], bounded)
+    current = {t: f"array({', '.join(b())})" for t, b in _CURRENT_ITEMS.items()}
     if comparison is None:
-        current = {t: f"array({', '.join(b())})" for t, b in _CURRENT_ITEMS.items()}
         joined = joined.withColumn("has_baseline", F.lit(False))
         baseline = _NO_ITEMS
     else:
         sections = comparison.withColumnRenamed("current_id", "dataset_id")
-        joined = joined.join(sections, ["dataset_id", "baseline_id"], "left")
+        keys = ["dataset_id", "baseline_id"]
+        joined = join_small(joined, sections, keys, bounded)
         joined = joined.withColumn("has_baseline", F.expr("rows IS NOT NULL"))
-        current = {t: f"array({', '.join(b())})" for t, b in _CURRENT_ITEMS.items()}
         compared = _by_type(_baseline_items(), "NULL")
         baseline = f"IF(has_baseline, array({compared}), {_NO_ITEMS})"
-    rule = candidate_rule("issue_type", "c.folded", "c.kind", "issue_tokens")
+    rule = candidate_rule(
+        "c.folded", "c.kind", "array_contains(mentioned, c.position)"
+    )
     items = f"concat({_by_type(current, _NO_ITEMS)}, {baseline})"
+    fields = (
+        "check_id", "check_name", "status", "signal", "signal_strength", "summary",
+        "related_columns", "metrics", "limitations",
+    )
+    numbered = struct_of(
+        evidence_id="format_string('ev-%03d', i + 1)", **{f: f"e.{f}" for f in fields}
+    )
     return (
         joined.withColumn("has_data", F.expr("columns IS NOT NULL"))
         .withColumn("candidates", F.expr(f"filter(columns, c -> {rule})"))
@@ -468,26 +530,11 @@ def case_evidence(
         .withColumn(
             "items", F.expr(f"IF(issue_provided AND has_data, {items}, {_NO_ITEMS})")
         )
-        .withColumn(
-            "evidence",
-            F.expr(
-                "transform(items, (e, i) -> named_struct("
-                "'evidence_id', format_string('ev-%03d', i + 1), 'check_id', e.check_id,"
-                " 'check_name', e.check_name, 'status', e.status, 'signal', e.signal,"
-                " 'signal_strength', e.signal_strength, 'summary', e.summary,"
-                " 'related_columns', e.related_columns, 'metrics', e.metrics,"
-                " 'limitations', e.limitations))"
-            ),
-        )
+        .withColumn("evidence", F.expr(f"transform(items, (e, i) -> {numbered})"))
         .withColumn("checks_not_run", F.expr(_not_run()))
         .select(
-            "case_id",
-            "issue_statement",
-            "issue_type",
-            "issue_provided",
+            *keyed.columns,
             "route_name",
-            "dataset_id",
-            "baseline_id",
             "has_data",
             "has_baseline",
             "row_count",
@@ -502,6 +549,24 @@ def case_evidence(
     )
 
 
+def case_evidence(
+    cases: DataFrame,
+    facts: DataFrame,
+    comparison: DataFrame | None = None,
+    *,
+    column_bound: int | None = None,
+) -> DataFrame:
+    """One row per case with its evidence items and the checks not run.
+
+    ``facts`` has one row per table and ``comparison`` one row per pair.
+    ``column_bound`` is the number of columns behind them, if the caller knows
+    it: a small one lets both be broadcast, so that cases never move.
+    """
+    bounded = column_bound is not None and column_bound <= BROADCAST_COLUMNS
+    keyed = case_keys(cases, facts, bounded=bounded)
+    return evaluate(keyed, facts, comparison, bounded=bounded)
+
+
 def _not_run() -> str:
     code = "IF(p.requires_baseline, 'baseline_unavailable', 'needs_interpretation')"
     reasons = ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in NOT_RUN_REASONS.items())
@@ -540,14 +605,13 @@ def checks_not_run(case_files: DataFrame) -> DataFrame:
     return unnest(case_files, "checks_not_run", "check_id", "case_id")
 
 
-def ledger_execution(case_files: DataFrame) -> DataFrame:
+def ledger_execution(reviewed: DataFrame) -> DataFrame:
     """Execution counters of every case that has a table."""
-    return case_files.filter("has_data").selectExpr(
+    return reviewed.filter("has_data").selectExpr(
         "case_id",
         "IF(issue_provided, 'checks_executed', 'not_executed') AS status",
-        f"bigint(size(array_distinct({pick('evidence', 'check_id')})))"
-        " AS checks_executed_count",
-        "bigint(size(evidence)) AS evidence_item_count",
-        "bigint(size(checks_not_run)) AS checks_not_run_count",
+        "counts.checks_executed AS checks_executed_count",
+        "counts.evidence AS evidence_item_count",
+        "counts.not_run AS checks_not_run_count",
         "has_baseline AS baseline_available",
     )

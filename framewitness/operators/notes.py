@@ -17,14 +17,14 @@ from framewitness.functions.fixed import (
     NOTE_SUMMARY_CHARS,
     NOTE_SUMMARY_KEY,
 )
-from framewitness.operators.safety import has_blocked_term
+from framewitness.operators.safety import holds_blocked_term
 
 _KEYS = (NOTE_SUMMARY_KEY, *NOTE_LIST_KEYS)
 
 
 def _summary_error() -> str:
-    value = f"variant_get(doc, '$.{NOTE_SUMMARY_KEY}')"
-    text = f"try_variant_get(doc, '$.{NOTE_SUMMARY_KEY}', 'string')"
+    value = f"fields['{NOTE_SUMMARY_KEY}']"
+    text = f"try_variant_get({value}, '$', 'string')"
     return f"""CASE
         WHEN coalesce(schema_of_variant({value}), 'VOID') <> 'STRING'
             THEN '{NOTE_SUMMARY_KEY}:not_text'
@@ -34,15 +34,13 @@ def _summary_error() -> str:
 
 def _list_error(key: str) -> str:
     """First thing wrong with a list: its type, its size, or its first bad item."""
-    value = f"variant_get(doc, '$.{key}')"
-    items = f"try_variant_get(doc, '$.{key}', 'array<variant>')"
+    items = f"try_variant_get(fields['{key}'], '$', 'array<variant>')"
     item_error = f"""CASE
         WHEN coalesce(schema_of_variant(x), 'VOID') <> 'STRING' THEN '{key}:item_not_text'
         WHEN length(try_variant_get(x, '$', 'string')) > {NOTE_ITEM_CHARS}
             THEN '{key}:item_too_long' END"""
     return f"""CASE
-        WHEN NOT coalesce(schema_of_variant({value}) LIKE 'ARRAY<%', false)
-            THEN '{key}:not_a_list'
+        WHEN {items} IS NULL THEN '{key}:not_a_list'
         WHEN size({items}) > {NOTE_LIST_ITEMS} THEN '{key}:too_many_items'
         ELSE get(array_compact(transform({items}, x -> {item_error})), 0) END"""
 
@@ -50,38 +48,41 @@ def _list_error(key: str) -> str:
 def validate_notes(df: DataFrame, notes_column: str) -> DataFrame:
     """Adds error_codes and notes_valid, and clears rejected notes.
 
-    The blocked-term scan reads the parsed text again as JSON, so an escaped
-    spelling does not hide a term.
+    Each text is parsed once. The blocked-term scan reads the parsed note again
+    as JSON, so an escaped spelling does not hide a term.
     """
-    keys = "json_object_keys(raw)"
-    expected = array_of(_KEYS)
+    keys, expected = "map_keys(fields)", array_of(_KEYS)
     errors = [
         f"IF(size(array_except({keys}, {expected})) > 0, 'unexpected_keys', NULL)",
         f"IF(size(array_except({expected}, {keys})) > 0, 'missing_keys', NULL)",
         _summary_error(),
         *[_list_error(key) for key in NOTE_LIST_KEYS],
-        f"IF({has_blocked_term('to_json(doc)')}, 'blocked_terms', NULL)",
+        f"IF({holds_blocked_term('folded')}, 'blocked_terms', NULL)",
     ]
     codes = f"""CASE
         WHEN doc IS NULL THEN array('not_json')
-        WHEN NOT startswith(schema_of_variant(doc), 'OBJECT') THEN array('not_an_object')
+        WHEN fields IS NULL THEN array('not_an_object')
         ELSE array_compact(array({', '.join(errors)})) END"""
-    raw = F.col(notes_column).alias("raw")
     return (
-        df.select("*", raw)
+        df.select("*", F.col(notes_column).alias("raw"))
         .withColumn("doc", F.expr("try_parse_json(raw)"))
+        .withColumn(
+            "fields", F.expr("try_variant_get(doc, '$', 'map<string, variant>')")
+        )
+        .withColumn("folded", F.expr("lower(to_json(doc))"))
         .withColumn("error_codes", F.expr(codes))
         .withColumn("notes_valid", F.expr("size(error_codes) = 0"))
         .withColumn(notes_column, F.expr("IF(notes_valid, raw, NULL)"))
-        .drop("raw", "doc")
+        .drop("raw", "doc", "fields", "folded")
     )
 
 
 def error_counts(validated: DataFrame) -> DataFrame:
     """Rows per error code; valid notes count under 'none'."""
     codes = f"IF(notes_valid, array({quoted('none')}), error_codes)"
+    # The outer form keeps the parsing from being repeated in a derived filter.
     return (
-        validated.selectExpr(f"explode({codes}) AS error_code")
+        validated.selectExpr(f"explode_outer({codes}) AS error_code")
         .groupBy("error_code")
         .agg(F.expr("count(1)").alias("rows_affected"))
     )

@@ -43,7 +43,7 @@ ALL_MEASURES = frozenset({"unique", "numeric", "dates", "text"})
 
 # Strings up to this many bytes are grouped as they are; longer ones by digest.
 _SHORT_TEXT_BYTES = 64
-# Columns per wide aggregate, so that generated code stays compilable.
+# Columns handled by one generated projection, so that it stays compilable.
 _WIDE_COLUMNS = 64
 
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -410,8 +410,10 @@ def _cells(table: Table, sources: list[_Source], asked, formats) -> list[DataFra
     for family, members in groups.items():
         if family == "any":
             parts.append(_cells_in_one_pass(table, members, asked, formats))
-        else:
-            parts.append(_cells_of_family(table, members, family, asked, formats))
+            continue
+        for start in range(0, len(members), _WIDE_COLUMNS):
+            chunk = members[start : start + _WIDE_COLUMNS]
+            parts.append(_cells_of_family(table, chunk, family, asked, formats))
     return parts
 
 

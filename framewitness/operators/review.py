@@ -102,10 +102,32 @@ def review(case_evidence: DataFrame) -> DataFrame:
         .withColumn(
             "recommended_checks", F.expr(f"IF({active}, {checks}, {_NO_TEXT})")
         )
+        .withColumn("counts", F.expr(_counts()))
         .drop("hypothesis_rules", "route_checks")
     )
 
 
+def _counts() -> str:
+    """Every count later tables show, taken where the arrays are at hand."""
+    statuses = {
+        status: f"bigint(size(filter(hypotheses, h -> h.status = '{status}')))"
+        for status in HYPOTHESIS_STATUSES
+    }
+    ran = f"size(array_distinct({pick('evidence', 'check_id')}))"
+    sizes = {
+        "checks_executed": ran,
+        "evidence": "size(evidence)",
+        "not_run": "size(checks_not_run)",
+        "hypotheses": "size(hypotheses)",
+        "supported_signals": "size(supported_signals)",
+        "not_supported_signals": "size(not_supported_signals)",
+        "unclear_items": "size(unclear_items)",
+        "recommended_checks": "size(recommended_checks)",
+    }
+    counted = {name: f"bigint({text})" for name, text in sizes.items()}
+    return struct_of(**statuses, **counted)
+
+
 def _signals(prefix: str, status: str, evidence: str) -> str:
     row = struct_of(
         item_id=f"format_string('{prefix}-%03d', i + 1)",
@@ -155,14 +177,9 @@ def hypotheses(reviewed: DataFrame) -> DataFrame:
 
 def hypothesis_status_counts(reviewed: DataFrame) -> DataFrame:
     """Count per status, zero-filled, one row per case."""
-    return reviewed.selectExpr("case_id", *_status_counts())
-
-
-def _status_counts() -> list[str]:
-    return [
-        f"bigint(size(filter(hypotheses, h -> h.status = '{s}'))) AS {s}"
-        for s in HYPOTHESIS_STATUSES
-    ]
+    return reviewed.selectExpr(
+        "case_id", *[f"counts.{status}" for status in HYPOTHESIS_STATUSES]
+    )
 
 
 def supported_signals(reviewed: DataFrame) -> DataFrame:
@@ -178,29 +195,25 @@ def unclear_items(reviewed: DataFrame) -> DataFrame:
 
 
 def recommended_checks(reviewed: DataFrame) -> DataFrame:
-    texts = "transform(recommended_checks, (t, i) -> struct(i + 1 AS check_ordinal, t AS check_text))"
+    row = "struct(bigint(i + 1) AS check_ordinal, t AS check_text)"
+    texts = f"transform(recommended_checks, (t, i) -> {row})"
     return unnest(reviewed, texts, "check_ordinal", "case_id")
 
 
 def findings_summary(reviewed: DataFrame) -> DataFrame:
     """Counts per case, for cases that were reviewed."""
-    return reviewed.filter("issue_provided AND has_data").selectExpr(
-        "case_id", *_finding_counts(), "'review_required' AS finding_status"
+    # Only reviewed cases have hypotheses. A filter on issue_provided would be
+    # pushed below the join and classify every statement a second time.
+    return reviewed.filter("counts.hypotheses > 0").selectExpr(
+        "case_id",
+        "counts.supported_signals AS supported_signal_count",
+        "counts.not_supported_signals AS not_supported_signal_count",
+        f"counts.{UNCLEAR} AS unclear_signal_count",
+        f"counts.{NOT_ASSESSED} AS not_assessed_count",
+        "'review_required' AS finding_status",
     )
 
 
-def _finding_counts() -> list[str]:
-    def counted(status: str) -> str:
-        return f"bigint(size(filter(hypotheses, h -> h.status = '{status}')))"
-
-    return [
-        "bigint(size(supported_signals)) AS supported_signal_count",
-        "bigint(size(not_supported_signals)) AS not_supported_signal_count",
-        f"{counted(UNCLEAR)} AS unclear_signal_count",
-        f"{counted(NOT_ASSESSED)} AS not_assessed_count",
-    ]
-
-
 def report_key_metrics(reviewed: DataFrame) -> DataFrame:
     """First scalar metrics of each evidence item, for a report."""
     hidden = " OR ".join(
@@ -218,7 +231,7 @@ def report_key_metrics(reviewed: DataFrame) -> DataFrame:
         .selectExpr(
             "case_id",
             "evidence_id",
-            "pos + 1 AS ordinal",
+            "bigint(pos + 1) AS ordinal",
             "m.name AS metric",
             "m.value AS value",
             "m.text AS text",

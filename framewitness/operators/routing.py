@@ -101,65 +101,72 @@ def route_rules(spark: SparkSession) -> DataFrame:
     return spark.range(1).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def issue_type(statement: str) -> str:
-    """First type, in order of precedence, with a term in the statement."""
-    low = f"lower({statement})"
+def issue_type(folded: str) -> str:
+    """First type, in order of precedence, with a term in the folded statement."""
     branches = " ".join(
-        f"WHEN {contains_any(low, ISSUE_TERMS[t])} THEN {quoted(t)}"
+        f"WHEN {contains_any(folded, ISSUE_TERMS[t])} THEN {quoted(t)}"
         for t in ISSUE_PRECEDENCE
         if t in ISSUE_TERMS
     )
-    blank = is_blank(statement)
+    blank = is_blank(folded)
     return f"CASE WHEN {blank} THEN '{MISSING}' {branches} ELSE '{GENERAL}' END"
 
 
-def matched_terms(statement: str, type_column: str = "issue_type") -> str:
+def matched_terms(folded: str, type_column: str = "issue_type") -> str:
     """Terms of the selected type found in the statement, in list order."""
     branches = " ".join(
         f"WHEN {quoted(t)} THEN {array_of(terms)}" for t, terms in ISSUE_TERMS.items()
     )
     terms = f"CASE {type_column} {branches} ELSE {array_of(())} END"
-    return f"filter({terms}, t -> contains(lower({statement}), t))"
+    return f"filter({terms}, t -> contains({folded}, t))"
 
 
-def issue_tokens(statement: str) -> str:
+def issue_tokens(folded: str) -> str:
     """Different words of the statement without the stop words."""
-    words = f"regexp_extract_all(lower({statement}), '([a-z0-9]+)', 1)"
+    words = f"regexp_extract_all({folded}, '([a-z0-9]+)', 1)"
     return f"array_except(coalesce({words}, {array_of(())}), {array_of(STOP_WORDS)})"
 
 
-def mentions_column(name: str, tokens: str) -> str:
-    """Is the (lower-case) column name related to the issue words?"""
-    words = f"regexp_extract_all({name}, '([a-z0-9]+)', 1)"
-    phrase = f"array_join(array_sort({tokens}), ' ')"
-    spoken = f"contains({phrase}, replace({name}, '_', ' '))"
-    return f"({name} <> '' AND (arrays_overlap({words}, {tokens}) OR {spoken}))"
+def mentions_column(words: str, spoken: str) -> str:
+    """Is a column related to the issue words of a classified case?
+
+    ``words`` are the words of the folded column name, ``spoken`` is that name
+    with spaces for underscores.
+    """
+    overlap = f"arrays_overlap({words}, issue_tokens)"
+    return f"({spoken} <> '' AND ({overlap} OR contains(issue_phrase, {spoken})))"
 
 
-def candidate_rule(type_column: str, name: str, kind: str, tokens: str) -> str:
-    """Does a column belong to the candidates of the selected type?"""
-    return f"""CASE {type_column}
+def candidate_rule(name: str, kind: str, mentioned: str) -> str:
+    """Does a column belong to the candidates of the case's issue_type?
+
+    ``mentioned`` decides for the two types that look at the words of the issue.
+    """
+    return f"""CASE issue_type
         WHEN 'duplicate_key' THEN {contains_any(name, KEY_TERMS)}
         WHEN 'date_gap' THEN {kind} = 'datetime' OR {contains_any(name, DATE_TERMS)}
         WHEN 'category_shift' THEN {contains_any(name, CATEGORY_TERMS)}
         WHEN 'total_change' THEN {kind} IN ('integer', 'decimal')
             OR {contains_any(name, TOTAL_TERMS)}
-        WHEN 'null_increase' THEN {mentions_column(name, tokens)}
-        WHEN 'schema_change' THEN {mentions_column(name, tokens)}
+        WHEN 'null_increase' THEN {mentioned}
+        WHEN 'schema_change' THEN {mentioned}
         ELSE false END"""
 
 
 def classify(cases: DataFrame) -> DataFrame:
-    """Adds issue_type, classification_status, matched_terms and issue_tokens."""
+    """Adds issue_type, classification_status, matched_terms, issue_tokens."""
     return (
-        cases.withColumn("issue_type", F.expr(issue_type("issue_statement")))
+        cases.withColumn("folded", F.expr("lower(issue_statement)"))
+        .withColumn("issue_type", F.expr(issue_type("folded")))
+        .withColumn("issue_tokens", F.expr(issue_tokens("folded")))
+        .withColumn("matched_terms", F.expr(matched_terms("folded")))
+        .withColumn("issue_phrase", F.expr("array_join(array_sort(issue_tokens), ' ')"))
         .withColumn("issue_provided", F.expr(f"issue_type <> '{MISSING}'"))
         .withColumn(
             "classification_status",
             F.expr(f"IF(issue_provided, 'classified_for_planning', '{MISSING}')"),
         )
-        .withColumn("matched_terms", F.expr(matched_terms("issue_statement")))
-        .withColumn("issue_tokens", F.expr(issue_tokens("issue_statement")))
+        .drop("folded")
     )
 
 
@@ -216,10 +223,16 @@ def plan_inputs(routed: DataFrame) -> DataFrame:
 
 def candidate_columns(cases: DataFrame, profile: DataFrame) -> DataFrame:
     """Candidate columns of each case, one row per case and column."""
-    rule = candidate_rule(
-        "issue_type", "lower(column_name)", "inferred_kind", "issue_tokens"
+    mentioned = mentions_column("words", "replace(folded, '_', ' ')")
+    rule = candidate_rule("folded", "inferred_kind", mentioned)
+    columns = profile.selectExpr(
+        "dataset_id",
+        "position",
+        "column_name",
+        "inferred_kind",
+        "lower(column_name) AS folded",
+        "regexp_extract_all(lower(column_name), '([a-z0-9]+)', 1) AS words",
     )
-    columns = profile.select("dataset_id", "position", "column_name", "inferred_kind")
     return (
         classify(cases)
         .join(columns, "dataset_id")

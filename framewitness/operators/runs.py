@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewitness.functions.expr import pick, quoted, struct_of
-from framewitness.functions.fixed import HYPOTHESIS_STATUSES, SUPPORTED
-from framewitness.operators.safety import has_blocked_term
+from framewitness.functions.expr import quoted, struct_of
+from framewitness.functions.fixed import NOT_SUPPORTED, SUPPORTED, UNCLEAR
+from framewitness.operators.checks import join_small
+from framewitness.operators.safety import holds_blocked_term
 
 # --- Fixed values: (status, stage) of a run -----------------------------------
 RUN_STAGES = {
@@ -36,7 +37,7 @@ def run_status(
         "route_name",
         "issue_provided",
         "has_data",
-        "size(hypotheses) > 0 AS has_findings",
+        "counts.hypotheses > 0 AS has_findings",
         "issue_provided AND has_data AS has_evidence",
     )
     if notes is None:
@@ -69,7 +70,9 @@ def run_status(
     )
 
 
-def run_manifest(reviewed: DataFrame, comparison: DataFrame) -> DataFrame:
+def run_manifest(
+    reviewed: DataFrame, comparison: DataFrame, *, bounded: bool = False
+) -> DataFrame:
     """Counts of everything a case produced."""
     signals = comparison.selectExpr(
         "current_id AS dataset_id",
@@ -77,11 +80,9 @@ def run_manifest(reviewed: DataFrame, comparison: DataFrame) -> DataFrame:
         "signal_count AS comparison_signal_count",
         "compared_column_count",
     )
-    status = {
-        s: f"bigint(size(filter(hypotheses, h -> h.status = '{s}')))"
-        for s in HYPOTHESIS_STATUSES
-    }
-    return reviewed.join(signals, ["dataset_id", "baseline_id"], "left").selectExpr(
+    # As for evidence, one row per pair meets very many cases.
+    joined = join_small(reviewed, signals, ["dataset_id", "baseline_id"], bounded)
+    return joined.selectExpr(
         "case_id",
         "issue_type",
         "route_name",
@@ -91,16 +92,15 @@ def run_manifest(reviewed: DataFrame, comparison: DataFrame) -> DataFrame:
         "has_baseline AS baseline_available",
         "comparison_signal_count",
         "compared_column_count",
-        f"bigint(size(array_distinct({pick('evidence', 'check_id')})))"
-        " AS checks_executed_count",
-        "bigint(size(evidence)) AS evidence_item_count",
-        "bigint(size(checks_not_run)) AS checks_not_run_count",
-        "bigint(size(hypotheses)) AS hypothesis_count",
-        f"{status[SUPPORTED]} AS supported_hypothesis_count",
-        f"{status['not_supported_by_evidence']} AS not_supported_hypothesis_count",
-        f"{status['unclear']} AS unclear_hypothesis_count",
-        "bigint(size(supported_signals)) AS supported_signal_count",
-        "bigint(size(unclear_items)) AS unclear_item_count",
+        "counts.checks_executed AS checks_executed_count",
+        "counts.evidence AS evidence_item_count",
+        "counts.not_run AS checks_not_run_count",
+        "counts.hypotheses AS hypothesis_count",
+        f"counts.{SUPPORTED} AS supported_hypothesis_count",
+        f"counts.{NOT_SUPPORTED} AS not_supported_hypothesis_count",
+        f"counts.{UNCLEAR} AS unclear_hypothesis_count",
+        "counts.supported_signals AS supported_signal_count",
+        "counts.unclear_items AS unclear_item_count",
         "CASE WHEN issue_provided AND has_data THEN 'review_required' END"
         " AS finding_status",
     )
@@ -134,23 +134,25 @@ def safe_summary(reviewed: DataFrame) -> DataFrame:
         hypotheses=rules,
         findings=struct_of(
             finding_status="'review_required'",
-            supported_signal_count="size(supported_signals)",
-            not_supported_signal_count="size(not_supported_signals)",
-            unclear_item_count="size(unclear_items)",
+            supported_signal_count="counts.supported_signals",
+            not_supported_signal_count="counts.not_supported_signals",
+            unclear_item_count="counts.unclear_items",
             recommended_checks="recommended_checks",
         ),
     )
     return (
-        reviewed.filter("issue_provided AND has_data")
+        reviewed.filter("counts.hypotheses > 0")
         .selectExpr(
             "case_id",
             "issue_type",
-            "size(evidence) AS evidence_count",
-            "size(hypotheses) AS hypothesis_count",
-            "size(unclear_items) AS unclear_count",
-            "size(recommended_checks) AS check_count",
+            "counts.evidence AS evidence_count",
+            "counts.hypotheses AS hypothesis_count",
+            "counts.unclear_items AS unclear_count",
+            "counts.recommended_checks AS check_count",
             f"to_json({payload}) AS payload",
         )
-        .withColumn("is_safe", F.expr(f"NOT {has_blocked_term('payload')}"))
+        .withColumn("folded", F.expr("lower(payload)"))
+        .withColumn("is_safe", F.expr(f"NOT {holds_blocked_term('folded')}"))
+        .drop("folded")
         .withColumn("payload", F.expr("IF(is_safe, payload, NULL)"))
     )

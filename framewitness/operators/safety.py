@@ -10,11 +10,36 @@ from framewitness.functions.expr import array_of, contains_any, quoted
 from framewitness.functions.fixed import BLOCKED_TERMS, FORBIDDEN_FIELDS
 
 
+# Parts that several of the terms with an underscore have in common.
+_SHARED_PARTS = ("_rows", "_values", "value_", "raw_")
+
 
 def has_blocked_term(text: str) -> str:
     """True when the text holds a blocked term, in any case. Null text: false."""
-    lower = [term.lower() for term in BLOCKED_TERMS]
-    return f"coalesce({contains_any(f'lower({text})', lower)}, false)"
+    return f"coalesce({holds_blocked_term(f'lower({text})')}, false)"
+
+
+def holds_blocked_term(folded: str) -> str:
+    """The same for text already in lower case.
+
+    Each term costs a pass over the text. A term that holds another one is left
+    to that one, and terms that share a part are looked for only where the part
+    occurs, which changes nothing in the answer.
+    """
+    terms = [term.lower() for term in BLOCKED_TERMS]
+    rest = [t for t in terms if not any(o != t and o in t for o in terms)]
+    marked, tests = [], []
+    for part in _SHARED_PARTS:
+        group = [t for t in rest if part in t]
+        rest = [t for t in rest if part not in t]
+        marked.append(
+            f"contains({folded}, '{part}') AND {contains_any(folded, group)}"
+        )
+    underscored = [t for t in rest if "_" in t]
+    marked.append(contains_any(folded, underscored))
+    tests.append(f"contains({folded}, '_') AND ({' OR '.join(marked)})")
+    tests.append(contains_any(folded, [t for t in rest if "_" not in t]))
+    return f"(({') OR ('.join(tests)}))"
 
 
 def blocked_terms(text: str) -> str:

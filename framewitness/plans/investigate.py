@@ -6,12 +6,19 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from framewitness.operators import checks, compare, profile, review, runs
 from framewitness.sources.stages import stage_table
 from framewitness.sources.tables import Table
 
 
+# What the outcome of a case depends on.
+_KEY = ("issue_type", "dataset_id", "baseline_id", "mentioned")
+# An outcome holds some ten kilobytes of nested rows.
+BROADCAST_OUTCOMES = 2_000
+
+
 @dataclass(frozen=True)
 class Investigation:
     """Lazy results. ``reviewed`` has one row per case; the rest is cut from it."""
@@ -19,6 +26,7 @@ class Investigation:
     profile: DataFrame
     comparison: DataFrame
     reviewed: DataFrame
+    bounded: bool
 
     def evidence(self) -> DataFrame:
         return checks.evidence_ledger(self.reviewed)
@@ -30,7 +38,7 @@ class Investigation:
         return review.findings_summary(self.reviewed)
 
     def runs(self) -> DataFrame:
-        return runs.run_manifest(self.reviewed, self.comparison)
+        return runs.run_manifest(self.reviewed, self.comparison, bounded=self.bounded)
 
 
 def investigate(
@@ -58,5 +66,20 @@ def investigate(
     named = spark.createDataFrame(pairs, "current_id string, baseline_id string")
     compared = stage_table(compare.compare(staged, named), "comparison")
     facts = checks.table_facts(staged)
-    evidence = checks.case_evidence(cases, facts, compared)
-    return Investigation(staged, compared, review.review(evidence))
+    # A table may be in several pairs, and every pair carries bounded details.
+    columns = sum(table.column_count for table in tables) * max(1, len(pairs))
+    bounded = columns <= checks.BROADCAST_COLUMNS
+    keyed = checks.case_keys(cases, facts, bounded=bounded).withColumn(
+        "outcome_key", F.expr(f"to_json(struct({', '.join(_KEY)}))")
+    )
+    # Cases with the same key share one outcome, which is worked out once.
+    different = keyed.select("outcome_key", "issue_provided", *_KEY).distinct()
+    different = different.withColumnRenamed("outcome_key", "case_id")
+    evidence = checks.evaluate(different, facts, compared, bounded=bounded)
+    outcomes = stage_table(review.review(evidence), "outcomes")
+    few = outcomes.count() <= BROADCAST_OUTCOMES
+    shared = outcomes.withColumnRenamed("case_id", "outcome_key").drop(
+        "issue_provided", *_KEY
+    )
+    reviewed = checks.join_small(keyed, shared, ["outcome_key"], few)
+    return Investigation(staged, compared, reviewed.drop("outcome_key", "mentioned"), bounded)

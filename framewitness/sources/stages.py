@@ -10,15 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from framewitness.operators.safety import forbidden_fields
 
 
-def write_stage(df: DataFrame, path: str, *, fmt: str = "json") -> None:
-    """Write one stage, one folder per case; refuses forbidden field names."""
+def write_stage(
+    df: DataFrame, path: str, *, fmt: str = "json", by_case: bool = False
+) -> None:
+    """Write one stage; refuses forbidden field names.
+
+    ``by_case`` makes one folder per case. That suits a few cases to hand over;
+    with very many, leave it off and filter on case_id.
+    """
     if fmt not in ("json", "parquet"):
         raise ValueError(f"unsupported stage format: {fmt}")
     found = forbidden_fields(df.schema)
     if found:
         raise ValueError(f"fields that must not be written: {', '.join(found)}")
     writer = df.write.mode("overwrite").format(fmt)
-    if "case_id" in df.columns:
+    if by_case:
         writer = writer.partitionBy("case_id")
     writer.save(path)
 
