@@ -7,7 +7,7 @@ them is a built-in: there are no UDFs.
 
 from __future__ import annotations
 
-from framewitness.functions.fixed import DATE_TEXT_PATTERN
+from framewitness.functions.fixed import BLANK_PATTERN, DATE_TEXT_PATTERN
 
 _NANOS_PER_DAY = 86_400_000_000_000
 _NANOS_LIMIT = "9.2E18D"
@@ -82,7 +82,7 @@ def iso_date(value: str) -> str:
 
 
 def is_blank(text: str) -> str:
-    return f"({text} IS NULL OR {text} RLIKE r'^\\s*$')"
+    return f"({text} IS NULL OR {text} RLIKE r'{BLANK_PATTERN}')"
 
 
 def contains_any(text: str, terms) -> str:

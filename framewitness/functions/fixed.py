@@ -191,6 +191,7 @@ DATE_TEXT_PATTERN = (
     r"^[1-9]\d{3}-\d{2}-\d{2}"
     r"([ T]([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,9})?)?)?$"
 )
+BLANK_PATTERN = r"(?U)^[\s\x1c-\x1f]*$"
 INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 DECIMAL_PATTERN = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 INFINITY_PATTERN = r"^\s*[+-]?(?i:inf|infinity)\s*$"

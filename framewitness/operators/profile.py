@@ -167,9 +167,11 @@ class _Source:
 def _wide(table: Table, sources: list[_Source], asked) -> DataFrame:
     """Counts, numbers and lengths: one aggregate over the raw rows."""
     parts = []
-    for start in range(0, len(sources), _WIDE_COLUMNS):
+    # A source that is not columnar is read once, however wide it is.
+    step = _WIDE_COLUMNS if table.columnar else len(sources)
+    for start in range(0, len(sources), step):
         structs = []
-        for source in sources[start : start + _WIDE_COLUMNS]:
+        for source in sources[start : start + step]:
             value = source.value()
             fields = {
                 "id": str(source.id),

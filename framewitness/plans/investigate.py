@@ -72,14 +72,25 @@ def investigate(
     keyed = checks.case_keys(cases, facts, bounded=bounded).withColumn(
         "outcome_key", F.expr(f"to_json(struct({', '.join(_KEY)}))")
     )
-    # Cases with the same key share one outcome, which is worked out once.
-    different = keyed.select("outcome_key", "issue_provided", *_KEY).distinct()
-    different = different.withColumnRenamed("outcome_key", "case_id")
-    evidence = checks.evaluate(different, facts, compared, bounded=bounded)
-    outcomes = stage_table(review.review(evidence), "outcomes")
-    few = outcomes.count() <= BROADCAST_OUTCOMES
-    shared = outcomes.withColumnRenamed("case_id", "outcome_key").drop(
-        "issue_provided", *_KEY
+    # Cases with the same key share one outcome. As long as these are few, each is
+    # worked out once and broadcast; else every case is evaluated where it is.
+    keys = stage_table(
+        keyed.select(F.col("outcome_key").alias("case_id"), "issue_provided", *_KEY)
+        .distinct(),
+        "keys",
+    )
+
+    def outcome(rows: DataFrame) -> DataFrame:
+        return review.review(checks.evaluate(rows, facts, compared, bounded=bounded))
+
+    if keys.count() <= BROADCAST_OUTCOMES:
+        outcomes = stage_table(outcome(keys), "outcomes")
+        shared = outcomes.withColumnRenamed("case_id", "outcome_key").drop(
+            "issue_provided", *_KEY
+        )
+        reviewed = keyed.join(F.broadcast(shared), "outcome_key")
+    else:
+        reviewed = outcome(keyed)
+    return Investigation(
+        staged, compared, reviewed.drop("outcome_key", "mentioned"), bounded
     )
-    reviewed = checks.join_small(keyed, shared, ["outcome_key"], few)
-    return Investigation(staged, compared, reviewed.drop("outcome_key", "mentioned"), bounded)

@@ -253,3 +253,16 @@ def test_bad_arguments(spark):
         investigate(rows, [now, now])
     with pytest.raises(ValueError):
         investigate(rows, [now], [("now", "before")])
+
+
+def test_many_different_outcomes_are_evaluated_per_case(spark, found, monkeypatch):
+    import importlib
+
+    plan = importlib.import_module("framewitness.plans.investigate")
+    monkeypatch.setattr(plan, "BROADCAST_OUTCOMES", 3)
+    now, before = snapshots(spark)
+    rows = cases(spark, *[(s, "now", "before") for s in STATEMENTS])
+    direct = investigate(rows, [now, before], [("now", "before")])
+    got = {tuple(r) for r in review.findings_summary(direct.reviewed).collect()}
+    want = review.findings_summary(found.reviewed).filter("case_id < 8").collect()
+    assert got == {tuple(r) for r in want} and len(got) == 7

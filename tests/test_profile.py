@@ -202,3 +202,13 @@ def test_only_asked_columns_are_scanned(spark):
     plan = P.column_profile(t, columns=["l_orderkey"], measures=("unique",))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_orderkey:bigint>" in text
+
+
+def test_filters_reach_the_scan(spark):
+    from framewitness.catalog import inputs
+
+    recent, _ = inputs.orders_by_date(spark, "/root/testdata/sf0.001")
+    plan = P.column_profile(recent, columns=["o_totalprice"], measures=("numeric",))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in text
+    assert "ReadSchema: struct<o_totalprice:double,o_orderdate:timestamp_ntz>" in text

@@ -24,6 +24,7 @@ STATEMENTS = [
     ("it looks odd", "general_suspected_issue", []),
     ("  \t\n", "missing_issue_statement", []),
     ("", "missing_issue_statement", []),
+    ("\u00a0\u2003", "missing_issue_statement", []),
     (None, "missing_issue_statement", []),
 ]
 
@@ -51,7 +52,7 @@ def test_routes(routed):
 
 def test_tokens_leave_out_stop_words(routed):
     assert routed[2].issue_tokens == ["mail"]
-    assert routed[16].issue_tokens == []
+    assert routed[17].issue_tokens == []
 
 
 def test_candidates(spark):
