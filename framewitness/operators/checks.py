@@ -37,9 +37,10 @@ from framewitness.functions.wording import (
 from framewitness.operators.profile import table_summary
 from framewitness.operators.routing import (
     candidate_rule,
-    classify,
     mentions_column,
     route_rules,
+    with_issue_type,
+    with_issue_words,
 )
 
 # Up to this many columns in all, facts stay far below what a broadcast may hold:
@@ -475,11 +476,13 @@ def case_keys(cases: DataFrame, facts: DataFrame, *, bounded: bool) -> DataFrame
         f"transform(columns, c -> struct(c.position, {words},"
         " replace(c.folded, '_', ' ') AS spoken)) AS names",
     )
-    mentioned = f"""CASE WHEN issue_type IN ('null_increase', 'schema_change')
+    reads_names = "issue_type IN ('null_increase', 'schema_change')"
+    mentioned = f"""CASE WHEN {reads_names}
         THEN transform(filter(names, n -> {mentions_column("n.words", "n.spoken")}),
             n -> n.position)
         END"""
-    joined = join_small(classify(cases), names, ["dataset_id"], bounded)
+    worded = with_issue_words(with_issue_type(cases), reads_names)
+    joined = join_small(worded, names, ["dataset_id"], bounded)
     return joined.select(
         "case_id",
         "issue_statement",

@@ -153,15 +153,28 @@ def candidate_rule(name: str, kind: str, mentioned: str) -> str:
         ELSE false END"""
 
 
-def classify(cases: DataFrame) -> DataFrame:
-    """Adds issue_type, classification_status, matched_terms, issue_tokens."""
+def with_issue_type(cases: DataFrame) -> DataFrame:
+    """Adds the folded statement, its issue_type and issue_provided."""
     return (
         cases.withColumn("folded", F.expr("lower(issue_statement)"))
         .withColumn("issue_type", F.expr(issue_type("folded")))
-        .withColumn("issue_tokens", F.expr(issue_tokens("folded")))
-        .withColumn("matched_terms", F.expr(matched_terms("folded")))
-        .withColumn("issue_phrase", F.expr("array_join(array_sort(issue_tokens), ' ')"))
         .withColumn("issue_provided", F.expr(f"issue_type <> '{MISSING}'"))
+    )
+
+
+def with_issue_words(typed: DataFrame, needed: str = "true") -> DataFrame:
+    """Adds issue_tokens and issue_phrase; empty where they are not needed."""
+    tokens = f"IF({needed}, {issue_tokens('folded')}, {array_of(())})"
+    return typed.withColumn("issue_tokens", F.expr(tokens)).withColumn(
+        "issue_phrase", F.expr("array_join(array_sort(issue_tokens), ' ')")
+    )
+
+
+def classify(cases: DataFrame) -> DataFrame:
+    """Adds issue_type, classification_status, matched_terms, issue_tokens."""
+    return (
+        with_issue_words(with_issue_type(cases))
+        .withColumn("matched_terms", F.expr(matched_terms("folded")))
         .withColumn(
             "classification_status",
             F.expr(f"IF(issue_provided, 'classified_for_planning', '{MISSING}')"),

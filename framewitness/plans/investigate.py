@@ -50,8 +50,9 @@ def investigate(
 
     ``cases`` has case_id, issue_statement, dataset_id, baseline_id; ``pairs``
     names the (current, baseline) tables to compare. Profiling is the only pass
-    over the data. Its result has one row per column and is written to the
-    shared folder, so no later output scans the data again.
+    over the data of the tables, and classifying the only pass over the
+    statements. Both results are written to the shared folder, so no later output
+    repeats that work.
     """
     spark = cases.sparkSession
     tables = list(tables)
@@ -69,21 +70,21 @@ def investigate(
     # A table may be in several pairs, and every pair carries bounded details.
     columns = sum(table.column_count for table in tables) * max(1, len(pairs))
     bounded = columns <= checks.BROADCAST_COLUMNS
-    keyed = checks.case_keys(cases, facts, bounded=bounded).withColumn(
+    classified = checks.case_keys(cases, facts, bounded=bounded).withColumn(
         "outcome_key", F.expr(f"to_json(struct({', '.join(_KEY)}))")
     )
+    # Written once, so that no output classifies the statements again.
+    keyed = stage_table(classified, "cases")
     # Cases with the same key share one outcome. As long as these are few, each is
     # worked out once and broadcast; else every case is evaluated where it is.
-    keys = stage_table(
-        keyed.select(F.col("outcome_key").alias("case_id"), "issue_provided", *_KEY)
-        .distinct(),
-        "keys",
-    )
+    keys = keyed.select(
+        F.col("outcome_key").alias("case_id"), "issue_provided", *_KEY
+    ).distinct()
 
     def outcome(rows: DataFrame) -> DataFrame:
         return review.review(checks.evaluate(rows, facts, compared, bounded=bounded))
 
-    if keys.count() <= BROADCAST_OUTCOMES:
+    if keys.limit(BROADCAST_OUTCOMES + 1).count() <= BROADCAST_OUTCOMES:
         outcomes = stage_table(outcome(keys), "outcomes")
         shared = outcomes.withColumnRenamed("case_id", "outcome_key").drop(
             "issue_provided", *_KEY
