@@ -71,14 +71,14 @@ def epoch_nanos_to_date(value: str, *, whole: bool) -> str:
 
 
 def iso_timestamp(value: str) -> str:
-    """ISO text; the six-digit fraction appears only when it is not zero."""
-    seconds = f"date_format({value}, \"yyyy-MM-dd'T'HH:mm:ss\")"
-    fraction = f"date_format({value}, 'SSSSSS')"
-    return f"{seconds} || IF({fraction} = '000000', '', '.' || {fraction})"
+    """ISO text of a zone-free timestamp; a fraction, if any, has six digits."""
+    text = f"replace(string({value}), ' ', 'T')"
+    return f"IF(contains({text}, '.'), rpad({text}, 26, '0'), {text})"
 
 
 def iso_date(value: str) -> str:
-    return f"date_format({value}, 'yyyy-MM-dd')"
+    """ISO text of a date."""
+    return f"string({value})"
 
 
 def is_blank(text: str) -> str:
