@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from framewitness.llm import byte_bpe, exact_dedup
+from framewitness.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, toxicity
 from framewitness.llm.shared import table, written
 
 STAGES = [
+    ("toxicity", toxicity.stage),
     ("exact_dedup", exact_dedup.stage),
+    ("jaccard_join", jaccard_join.stage),
+    ("decontaminate", decontaminate.stage),
     ("byte_bpe", byte_bpe.stage),
 ]
 

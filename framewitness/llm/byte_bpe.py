@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -46,6 +47,8 @@ class Vocabulary:
     def __init__(self, ranks: str):
         from tokenizers import Tokenizer, models, pre_tokenizers
 
+        # The tasks are parallel already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(public_tokenizers.path(ranks), "rb") as lines:
             rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         shown = byte_characters()

@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from framewitness.llm import byte_bpe, exact_dedup, sharding
+from framewitness.llm import (
+    byte_bpe,
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    line_dedup,
+    sharding,
+    substring_dedup,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
 from framewitness.llm.shared import table
 
 
@@ -11,9 +22,16 @@ def _over_documents(operator):
 
 
 QUERIES = {
+    "op1_line_dedup": _over_documents(line_dedup.digests),
+    "op2_suffix_dedup": _over_documents(suffix_dedup.digests),
+    "op3_jaccard_join": _over_documents(jaccard_join.joined),
+    "op4_decontaminate": decontaminate.over_documents,
     "op5_byte_bpe": _over_documents(byte_bpe.digests),
+    "op6_token_counts": _over_documents(token_counts.token_counts),
+    "op7_substring_dedup": _over_documents(substring_dedup.digests),
     "op8_sharding": _over_documents(sharding.shards),
     "op9_exact_dedup": _over_documents(exact_dedup.decisions),
+    "op10_toxicity": toxicity.scores,
 }
 
 ORACLE = {

@@ -174,3 +174,30 @@ def anchors(grams: np.ndarray, bounds: np.ndarray, window: int, gram: int):
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], len(starts)) - 1
     return p[heads], starts[heads], starts[tails]
+
+
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
+
+
+def trimmed(buffer, starts, ends, rounds: int = 4):
+    """The spans without up to ``rounds`` ASCII marks at each side; never empty."""
+    starts, ends = starts.copy(), ends.copy()
+    for _ in range(rounds):
+        starts += _MARK[buffer[starts]] & (starts < ends - 1)
+        ends -= _MARK[buffer[ends - 1]] & (starts < ends - 1)
+    return starts, ends
+
+
+def member(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The position of each value among the sorted keys, or -1."""
+    if not len(keys):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return np.where(keys[at] == values, at, -1)
+
+
+def hash_text(text: str) -> int:
+    """The hash that ``word_hashes`` gives a word of these bytes."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    return int(word_hashes(data, np.array([0]), np.array([len(data)]))[0])
