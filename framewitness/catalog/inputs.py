@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from framewitness.functions.expr import quoted
 from framewitness.sources.tables import Table, read_parquet
@@ -97,6 +98,36 @@ def parties(spark: SparkSession, sf: str) -> tuple[Table, Table]:
     )
 
 
+def wide_and_narrow(spark: SparkSession, sf: str) -> tuple[Table, Table]:
+    """Order lines with their part and order, 23 columns, and the regions."""
+    lines = (
+        rows(spark, sf, "lineitem")
+        .join(rows(spark, sf, "part"), F.expr("l_partkey = p_partkey"))
+        .join(rows(spark, sf, "orders"), F.expr("l_orderkey = o_orderkey"))
+    )
+    return Table.of(lines, "lines_wide"), table(spark, sf, "region")
+
+
+LONG_DATE_TAIL = " at the counter of the branch office where the order was received"
+
+
+def orders_with_long_dates(spark: SparkSession, sf: str) -> Table:
+    """Orders by a text of over 64 bytes that begins with the date."""
+    text = f"date_format(o_orderdate, 'yyyy/MM/dd') || {quoted(LONG_DATE_TAIL)}"
+    dated = rows(spark, sf, "orders").selectExpr("o_orderkey", f"{text} AS received")
+    return Table.of(dated, "orders_long", columnar=True)
+
+
+def big_numbers(spark: SparkSession, sf: str) -> Table:
+    """Whole numbers above 2^53, their negatives, and decimals."""
+    big = rows(spark, sf, "lineitem").selectExpr(
+        "l_orderkey + 9007199254740993L AS big",
+        "-(l_orderkey + 9007199254740993L) AS negative",
+        "CAST(l_extendedprice AS DECIMAL(15,2)) AS price",
+    )
+    return Table.of(big, "big", columnar=True)
+
+
 def events_without_errors(spark: SparkSession, sf: str) -> tuple[Table, Table]:
     events = rows(spark, sf, "events")
     return (

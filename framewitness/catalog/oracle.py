@@ -151,6 +151,13 @@ _DATASETS = {
     ),
 }
 
+_DATASETS["region"] = ("region", [("r_regionkey", "integer"), ("r_name", "string")])
+_DATASETS["lines_wide"] = (
+    "(FROM lineitem JOIN part ON l_partkey = p_partkey"
+    " JOIN orders ON l_orderkey = o_orderkey)",
+    [*_DATASETS["lineitem"][1], *_DATASETS["part"][1], *_ORDERS],
+)
+
 _DATE_TEXT = (
     r"[1-9]\d{3}-\d{2}-\d{2}"
     r"([ T]([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,9})?)?)?"
@@ -281,6 +288,28 @@ ORACLE["profile_datetime"] = _from_profile(
     expected AS dt_expected_days, missing AS dt_missing_days""",
     "WHERE inferred_kind = 'datetime'",
 )
+_TAIL = " at the counter of the branch office where the order was received"
+_RECEIVED = f"""SELECT strptime(strftime(o_orderdate, '%Y/%m/%d') || '{_TAIL}',
+    '%Y/%m/%d{_TAIL}') AS moment FROM orders"""
+ORACLE["profile_long_dates"] = f"""
+    SELECT asked, 'datetime' AS inferred_kind, count(moment) AS dt_parsed_count,
+        strftime(min(moment), '%Y-%m-%dT%H:%M:%S') AS dt_min,
+        strftime(max(moment), '%Y-%m-%dT%H:%M:%S') AS dt_max,
+        count(DISTINCT moment::DATE) AS dt_day_count,
+        datediff('day', min(moment), max(moment)) + 1 - count(DISTINCT moment::DATE)
+            AS dt_missing_days
+    FROM ({_RECEIVED}), (VALUES ('dates'), ('unique,dates')) v(asked) GROUP BY asked"""
+_BIG = "(l_orderkey::HUGEINT + 9007199254740993)"
+ORACLE["profile_big_integers"] = " UNION ALL ".join(
+    f"""SELECT asked, '{name}' AS column_name, min({of})::VARCHAR AS num_min_exact,
+        max({of})::VARCHAR AS num_max_exact, sum({of})::VARCHAR AS num_total_exact
+    FROM lineitem, (VALUES ('numeric'), ('unique,numeric')) v(asked) GROUP BY asked"""
+    for name, of in (
+        ("big", _BIG),
+        ("negative", f"-{_BIG}"),
+        ("price", "l_extendedprice::DECIMAL(15,2)"),
+    )
+)
 ORACLE["profile_text_length"] = _from_profile(
     ["documents"],
     """column_name, txt_min_len::BIGINT AS txt_min_len,
@@ -451,14 +480,12 @@ ORACLE["plan_inputs"] = _routing(
 def _compare(pairs) -> str:
     """CTEs over pairs: m (columns matched by name) and one CTE per section."""
     values = ", ".join(f"('{a}', '{b}')" for a, b in pairs)
-    top = fixed.DETAIL_LIMIT
     number = "IN ('integer', 'decimal')"
     category = "IN ('text', 'boolean')"
     cs, bs = _pct("c.unique_count", "c.row_count"), _pct("b.unique_count", "b.row_count")
 
-    def ranked(section: str, condition: str, order: str) -> str:
-        return f"""{section} AS (SELECT * FROM m WHERE {condition} QUALIFY
-            row_number() OVER (PARTITION BY ds, bs ORDER BY {order} column_name) <= {top})"""
+    def changed(section: str, condition: str) -> str:
+        return f"{section} AS (SELECT * FROM m WHERE {condition})"
 
     return f"""pairs(ds, bs) AS (VALUES {values}),
     cu AS (SELECT ds, bs, p.* FROM pairs JOIN prof p ON p.dataset_id = ds),
@@ -488,11 +515,11 @@ def _compare(pairs) -> str:
             THEN c.duplicate_value_count - b.duplicate_value_count END AS ddup
         FROM cu c FULL JOIN ba b
         ON c.ds = b.ds AND c.bs = b.bs AND c.column_name = b.column_name),
-    {ranked('top_null', 'dnull <> 0', 'abs(dnull) DESC,')},
-    {ranked('top_num', 'dnum <> 0', 'abs(dnum) DESC,')},
-    {ranked('top_date', 'drange OR dmiss <> 0', '')},
-    {ranked('top_cat', 'duq <> 0', 'abs(duq) DESC,')},
-    {ranked('top_dup', 'ddup <> 0', 'abs(ddup) DESC,')},
+    {changed('top_null', 'dnull <> 0')},
+    {changed('top_num', 'dnum <> 0')},
+    {changed('top_date', 'drange OR dmiss <> 0')},
+    {changed('top_cat', 'duq <> 0')},
+    {changed('top_dup', 'ddup <> 0')},
     sums AS (SELECT dataset_id, max(row_count) AS n, count(*) AS cols,
         sum(null_count)::BIGINT AS nulls, count(*) FILTER (null_count > 0) AS null_cols,
         count(*) FILTER (inferred_kind {number}) AS numbers,
@@ -521,8 +548,7 @@ def _compare(pairs) -> str:
         c.cols AS c_cols, b.cols AS b_cols, c.cols - b.cols AS d_cols,
         c.nulls - b.nulls AS d_nulls, c.numbers - b.numbers AS d_numbers,
         c.dates - b.dates AS d_dates, c.texts - b.texts AS d_texts,
-        least(n_added, {top}) + least(n_removed, {top}) + kind_changes
-            + null_up + null_down AS signals
+        n_added + n_removed + kind_changes + null_up + null_down AS signals
         FROM sect s JOIN sums c ON c.dataset_id = s.ds JOIN sums b ON b.dataset_id = s.bs)"""
 
 
@@ -530,12 +556,13 @@ def _pair(a: str, b: str, select: str) -> str:
     return f"WITH {_profile(a, b)}, {_compare([(a, b)])} {select}"
 
 
-_O, _D, _P, _E, _R = (
+_O, _D, _P, _E, _R, _W = (
     ("orders_recent", "orders_earlier"),
     ("docs_now", "docs_before"),
     ("customers", "suppliers"),
     ("events_now", "events_before"),
     ("orders_again", "orders_once"),
+    ("lines_wide", "region"),
 )
 ORACLE["cmp_row_count"] = _pair(
     *_O,
@@ -549,13 +576,12 @@ ORACLE["cmp_column_count"] = _pair(
     b_cols AS baseline, d_cols AS delta, {_pct('d_cols', 'b_cols')} AS delta_percentage
     FROM cmp""",
 )
-ORACLE["cmp_schema"] = _pair(
-    *_P,
-    """SELECT c_cols AS current_column_count, b_cols AS baseline_column_count, added,
+_SCHEMA = """SELECT c_cols AS current_column_count, b_cols AS baseline_column_count, added,
     removed, shared AS shared_count, kind_changes AS kind_change_count,
     0::BIGINT AS current_duplicate_names, 0::BIGINT AS baseline_duplicate_names,
-    0::BIGINT AS current_empty_names, 0::BIGINT AS baseline_empty_names FROM cmp""",
-)
+    0::BIGINT AS current_empty_names, 0::BIGINT AS baseline_empty_names FROM cmp"""
+ORACLE["cmp_schema"] = _pair(*_P, _SCHEMA)
+ORACLE["cmp_schema_wide"] = _pair(*_W, _SCHEMA)
 ORACLE["cmp_kind_changes"] = _pair(
     *_P,
     """SELECT column_name, ck AS current_kind, bk AS baseline_kind FROM m
@@ -609,11 +635,10 @@ _GENERAL = """d_rows AS row_count_delta, d_cols AS column_count_delta,
     0::BIGINT AS duplicate_column_name_count_delta,
     0::BIGINT AS empty_column_name_count_delta"""
 ORACLE["cmp_general"] = _pair(*_P, f"SELECT {_GENERAL} FROM cmp")
-ORACLE["cmp_signal_count"] = _pair(
-    *_P,
-    """SELECT d_rows AS row_delta, signals AS signal_count,
-    shared AS compared_column_count FROM cmp""",
-)
+_SIGNAL_COUNTS = """SELECT d_rows AS row_delta, signals AS signal_count,
+    shared AS compared_column_count FROM cmp"""
+ORACLE["cmp_signal_count"] = _pair(*_P, _SIGNAL_COUNTS)
+ORACLE["cmp_signal_count_wide"] = _pair(*_W, _SIGNAL_COUNTS)
 
 # --- evidence -----------------------------------------------------------------
 
@@ -663,7 +688,6 @@ def _assessed() -> str:
             string_agg(column_name, ',' ORDER BY position)
                 FILTER (day_min IS NOT NULL) AS day_names,
             round(min(total), 2) AS sum_low, round(max(total), 2) AS sum_high,
-            array_to_string((list(column_name ORDER BY position))[1:5], ',') AS five,
             string_agg(column_name, ',' ORDER BY position) AS ass_names,
             max(unique_count) AS uq_top FROM ass GROUP BY ALL) a
             ON a_idx = t.idx AND a_ds = t.ds AND a_bs IS NOT DISTINCT FROM t.bs
@@ -724,7 +748,7 @@ _ITEMS = {
         "date_gap", 2, "coalesce(gone, 0) > 0", True, "absent", "day_names", None,
     ),
     "numeric_total_summary": (
-        "total_change", 1, "coalesce(n_ass, 0) > 0", False, "unclear", "five",
+        "total_change", 1, "coalesce(n_ass, 0) > 0", False, "unclear", "ass_names",
         [
             ("assessed_numeric_column_count", _Z("n_ass")),
             ("numeric_columns_with_totals", _Z("n_ass")),
@@ -1010,6 +1034,10 @@ ORACLE["ev_baseline_schema"] = _baseline(
     _P, "baseline_schema_comparison",
     "current_columns", "baseline_columns", "shared_columns", "kind_changes",
 )
+ORACLE["ev_baseline_schema_wide"] = _baseline(
+    _W, "baseline_schema_comparison",
+    "current_columns", "baseline_columns", "shared_columns", "kind_changes",
+)
 ORACLE["ev_baseline_category"] = _baseline(
     _E, "baseline_category_shape_comparison",
     "columns_compared", "columns_with_delta", "max_delta", "flag_changes",
@@ -1177,8 +1205,7 @@ def _key_metrics() -> str:
             )
     return f"""every AS ({' UNION ALL '.join(branches)}),
     km AS (SELECT *, row_number() OVER (PARTITION BY idx, ds, bs, item ORDER BY n)
-        AS ordinal FROM every WHERE value IS NOT NULL OR text IS NOT NULL
-        QUALIFY ordinal <= 4)"""
+        AS ordinal FROM every WHERE value IS NOT NULL OR text IS NOT NULL)"""
 
 
 ORACLE["report_key_metrics"] = _ledger(

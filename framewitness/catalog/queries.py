@@ -63,7 +63,7 @@ def intake_type_inference(spark, sf):
 @query
 def profile_nulls(spark, sf):
     now, _ = inputs.labelled_documents(spark, sf)
-    return profile.column_profile(now, measures=()).select(
+    return profile.column_profile(now, measures=("nulls",)).select(
         "column_name", "row_count", "non_null_count", "null_count", "null_percentage"
     )
 
@@ -86,7 +86,7 @@ def profile_duplicates(spark, sf):
 
 def _dated_profiles(spark, sf) -> DataFrame:
     tables = [inputs.table(spark, sf, "events"), inputs.orders_with_date_text(spark, sf)]
-    return profile.profiles(tables, measures=("dates",))
+    return profile.profiles(tables, measures=("nulls", "dates"))
 
 
 @query
@@ -123,6 +123,37 @@ def profile_datetime(spark, sf):
     )
 
 
+@query
+def profile_long_dates(spark, sf):
+    # The kind of a text may depend neither on its length nor on what else is asked.
+    pattern = f"yyyy/MM/dd'{inputs.LONG_DATE_TAIL}'"
+    found = []
+    for measures in (("dates",), ("unique", "dates")):
+        dated = profile.column_profile(
+            inputs.orders_with_long_dates(spark, sf),
+            measures=measures,
+            date_formats=(pattern,),
+        )
+        found.append(dated.filter("column_name = 'received'").withColumn(
+            "asked", F.lit(",".join(measures))
+        ))
+    return found[0].unionByName(found[1]).select(
+        "asked", "inferred_kind", "dt_parsed_count", "dt_min", "dt_max",
+        "dt_day_count", "dt_missing_days",
+    )
+
+
+@query
+def profile_big_integers(spark, sf):
+    found = []
+    for measures in (("numeric",), ("unique", "numeric")):
+        exact = profile.column_profile(inputs.big_numbers(spark, sf), measures=measures)
+        found.append(exact.withColumn("asked", F.lit(",".join(measures))))
+    return found[0].unionByName(found[1]).select(
+        "asked", "column_name", "num_min_exact", "num_max_exact", "num_total_exact"
+    )
+
+
 @query
 def profile_text_length(spark, sf):
     documents = profile.column_profile(
@@ -145,7 +176,7 @@ def profile_duplicate_names(spark, sf):
         "o_orderstatus e", "o_orderdate f",
     )
     table = Table.of(export, "export", names, columnar=True)
-    found = profile.duplicate_names(profile.column_profile(table, measures=()))
+    found = profile.duplicate_names(profile.column_profile(table, measures=("nulls",)))
     return found.select("column_name", "occurrences", "is_empty_name", "non_null_count")
 
 
@@ -225,7 +256,7 @@ def _case_tables(spark, sf) -> list[Table]:
 def candidate_columns(spark, sf):
     # Written first, so that the join with the cases sees how small it is.
     kinds = stage_table(
-        profile.profiles(_case_tables(spark, sf), measures=("dates",)), "kinds"
+        profile.profiles(_case_tables(spark, sf), measures=("nulls", "dates")), "kinds"
     )
     found = routing.candidate_columns(inputs.issue_cases(spark, sf), kinds)
     return found.groupBy("dataset_id", "issue_type", "position", "column_name").agg(
@@ -333,7 +364,7 @@ def check_key_nulls(spark, sf):
             _RELATED,
         ],
         columns=_key_names(lineitem),
-        measures=(),
+        measures=("nulls",),
     )
 
 
@@ -354,7 +385,7 @@ def check_current_nulls(spark, sf):
             _number("total_cells_assessed", "total_cells"),
             _RELATED,
         ],
-        measures=(),
+        measures=("nulls",),
     )
 
 
@@ -440,7 +471,7 @@ def check_schema(spark, sf):
             *[kind(k) for k in ("integer", "decimal", "datetime", "text", "boolean")],
             _RELATED,
         ],
-        measures=("dates",),
+        measures=("nulls", "dates"),
     )
 
 
@@ -476,7 +507,7 @@ def check_general_profile(spark, sf):
     )
     return _current_check(
         spark, now, "Something feels off", "general_profile_signal_summary",
-        [_number(n, n) for n in names], measures=("dates",),
+        [_number(n, n) for n in names], measures=("nulls", "dates"),
     )
 
 
@@ -498,18 +529,16 @@ def _comparison_of_orders(spark, sf, *measures: str, **options) -> DataFrame:
 
 
 def _comparison_of_documents(spark, sf) -> DataFrame:
-    return _compared(spark, inputs.labelled_documents(spark, sf), measures=())
+    return _compared(spark, inputs.labelled_documents(spark, sf), measures=("nulls",))
 
 
 def _comparison_of_parties(spark, sf) -> DataFrame:
-    return _compared(spark, inputs.parties(spark, sf), measures=("dates",))
+    return _compared(spark, inputs.parties(spark, sf), measures=("nulls", "dates"))
 
 
 def _comparison_of_events(spark, sf) -> DataFrame:
     sides = inputs.events_without_errors(spark, sf)
-    return _compared(
-        spark, sides, columns=("event_type", "props"), measures=("unique", "dates")
-    )
+    return _compared(spark, sides, measures=("unique", "dates"))
 
 
 def _comparison_of_deliveries(spark, sf) -> DataFrame:
@@ -538,9 +567,8 @@ def cmp_column_count(spark, sf):
     )
 
 
-@query
-def cmp_schema(spark, sf):
-    return _comparison_of_parties(spark, sf).selectExpr(
+def _schema_row(compared: DataFrame) -> DataFrame:
+    return compared.selectExpr(
         "schema.current_column_count",
         "schema.baseline_column_count",
         f"{_joined('schema.added_columns')} AS added",
@@ -554,6 +582,20 @@ def cmp_schema(spark, sf):
     )
 
 
+def _comparison_of_widths(spark, sf) -> DataFrame:
+    return _compared(spark, inputs.wide_and_narrow(spark, sf), measures=("nulls", "dates"))
+
+
+@query
+def cmp_schema(spark, sf):
+    return _schema_row(_comparison_of_parties(spark, sf))
+
+
+@query
+def cmp_schema_wide(spark, sf):
+    return _schema_row(_comparison_of_widths(spark, sf))
+
+
 @query
 def cmp_kind_changes(spark, sf):
     return _plain(compare.details(_comparison_of_parties(spark, sf), "kind_changes"))
@@ -602,11 +644,17 @@ def cmp_general(spark, sf):
     return _comparison_of_parties(spark, sf).selectExpr("general.*")
 
 
+_SIGNALS = ("rows.delta AS row_delta", "signal_count", "compared_column_count")
+
+
 @query
 def cmp_signal_count(spark, sf):
-    return _comparison_of_parties(spark, sf).selectExpr(
-        "rows.delta AS row_delta", "signal_count", "compared_column_count"
-    )
+    return _comparison_of_parties(spark, sf).selectExpr(*_SIGNALS)
+
+
+@query
+def cmp_signal_count_wide(spark, sf):
+    return _comparison_of_widths(spark, sf).selectExpr(*_SIGNALS)
 
 
 # --- baseline evidence --------------------------------------------------------
@@ -662,7 +710,7 @@ def ev_baseline_nulls(spark, sf):
             _number("columns_with_lower_null_percentage", "columns_lower"),
             _number("max_null_percentage_delta", "max_delta", "DOUBLE"),
         ],
-        measures=(),
+        measures=("nulls",),
     )
 
 
@@ -701,11 +749,10 @@ def ev_baseline_totals(spark, sf):
     )
 
 
-@query
-def ev_baseline_schema(spark, sf):
+def _schema_evidence(spark, sides) -> DataFrame:
     return _baseline_check(
         spark,
-        inputs.parties(spark, sf),
+        sides,
         "The schema moved",
         "baseline_schema_comparison",
         [
@@ -714,10 +761,20 @@ def ev_baseline_schema(spark, sf):
             _number("shared_column_count", "shared_columns"),
             _number("inferred_kind_change_count", "kind_changes"),
         ],
-        measures=("dates",),
+        measures=("nulls", "dates"),
     )
 
 
+@query
+def ev_baseline_schema(spark, sf):
+    return _schema_evidence(spark, inputs.parties(spark, sf))
+
+
+@query
+def ev_baseline_schema_wide(spark, sf):
+    return _schema_evidence(spark, inputs.wide_and_narrow(spark, sf))
+
+
 @query
 def ev_baseline_category(spark, sf):
     return _baseline_check(
@@ -731,7 +788,6 @@ def ev_baseline_category(spark, sf):
             _number("max_unique_count_delta", "max_delta"),
             _number("columns_with_high_cardinality_signal_delta", "flag_changes"),
         ],
-        columns=("event_type", "props"),
         measures=("unique", "dates"),
     )
 
@@ -750,7 +806,7 @@ def ev_baseline_general(spark, sf):
         "Something feels off",
         "baseline_general_summary",
         [_number(n, n) for n in names],
-        measures=("dates",),
+        measures=("nulls", "dates"),
     )
 
 

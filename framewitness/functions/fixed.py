@@ -135,11 +135,8 @@ NOT_ASSESSED = "not_assessed"
 HYPOTHESIS_STATUSES = (SUPPORTED, NOT_SUPPORTED, UNCLEAR, NOT_ASSESSED)
 
 # --- Fixed values: limits -----------------------------------------------------
-DETAIL_LIMIT = 20
-RELATED_TOTAL_COLUMNS = 5
 CATEGORY_SHARE_LIMIT = 50.0
 DATE_PARSE_SHARE = 80.0
-REPORT_METRICS_PER_ITEM = 4
 
 # --- Fixed values: metric names a report leaves out ---------------------------
 UNREPORTED_METRIC_PARTS = (

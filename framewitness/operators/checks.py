@@ -26,7 +26,6 @@ from framewitness.functions.fixed import (
     CATEGORY_TERMS,
     DATE_TERMS,
     KEY_TERMS,
-    RELATED_TOTAL_COLUMNS,
 )
 from framewitness.functions.wording import (
     CHECK_NAMES,
@@ -34,7 +33,7 @@ from framewitness.functions.wording import (
     EVIDENCE_LIMITATIONS,
     NOT_RUN_REASONS,
 )
-from framewitness.operators.profile import table_summary
+from framewitness.operators.profile import table_measures
 from framewitness.operators.routing import (
     candidate_rule,
     mentions_column,
@@ -68,13 +67,12 @@ _NO_ITEMS = f"CAST(array() AS ARRAY<{_ITEM}>)"
 def table_facts(profile: DataFrame) -> DataFrame:
     """One row per table: its summary, and its columns in order as one array.
 
-    A group holds one entry per column of one table.
+    A group holds one entry per column of one table; the profile is read once.
     """
-    fields = ", ".join(_FACTS)
-    columns = profile.groupBy("dataset_id").agg(
-        F.expr(f"array_sort(collect_list(struct({fields})))").alias("columns")
+    columns = f"array_sort(collect_list(struct({', '.join(_FACTS)})))"
+    return profile.groupBy("dataset_id").agg(
+        F.expr(columns).alias("columns"), *table_measures()
     )
-    return columns.join(table_summary(profile), "dataset_id")
 
 
 # --- choosing columns ---------------------------------------------------------
@@ -252,7 +250,7 @@ def _total_items() -> list[str]:
                 _number("min_column_total", f"round(array_min({totals}), 2)"),
                 _number("max_column_total", f"round(array_max({totals}), 2)"),
             ],
-            related=f"slice({pick('assessed', 'name')}, 1, {RELATED_TOTAL_COLUMNS})",
+            related=pick("assessed", "name"),
             otherwise="unclear",
         ),
         _item("row_count_summary", "true", [_number("row_count", "row_count")]),
@@ -464,15 +462,24 @@ def join_small(
     return salted.join(copies, [*keys, "salt"], "left").drop("salt")
 
 
-def case_keys(cases: DataFrame, facts: DataFrame, *, bounded: bool) -> DataFrame:
+_CASE_KEYS = (
+    "case_id", "issue_statement", "issue_type", "issue_provided", "dataset_id",
+    "baseline_id",
+)
+
+
+def case_keys(
+    cases: DataFrame, facts: DataFrame, *, bounded: bool, with_facts: bool = False
+) -> DataFrame:
     """Classified cases with everything their evidence depends on.
 
     That is the issue type, the table, the baseline and, for the two types that
-    read column names from the statement, the columns it mentions.
+    read column names from the statement, the columns it mentions. ``with_facts``
+    keeps the facts of the table too, so that they are joined once.
     """
     words = "regexp_extract_all(c.folded, '([a-z0-9]+)', 1) AS words"
     names = facts.selectExpr(
-        "dataset_id",
+        "*" if with_facts else "dataset_id",
         f"transform(columns, c -> struct(c.position, {words},"
         " replace(c.folded, '_', ' ') AS spoken)) AS names",
     )
@@ -483,27 +490,26 @@ def case_keys(cases: DataFrame, facts: DataFrame, *, bounded: bool) -> DataFrame
         END"""
     worded = with_issue_words(with_issue_type(cases), reads_names)
     joined = join_small(worded, names, ["dataset_id"], bounded)
-    return joined.select(
-        "case_id",
-        "issue_statement",
-        "issue_type",
-        "issue_provided",
-        "dataset_id",
-        "baseline_id",
-        F.expr(f"coalesce({mentioned}, CAST(array() AS ARRAY<INT>))").alias("mentioned"),
-    )
+    kept = [c for c in facts.columns if c != "dataset_id"] if with_facts else []
+    found = F.expr(f"coalesce({mentioned}, CAST(array() AS ARRAY<INT>))")
+    return joined.select(*_CASE_KEYS, found.alias("mentioned"), *kept)
 
 
 def evaluate(
     keyed: DataFrame,
-    facts: DataFrame,
+    facts: DataFrame | None,
     comparison: DataFrame | None = None,
     *,
     bounded: bool,
 ) -> DataFrame:
-    """Adds the evidence items and the checks not run to every row of ``keyed``."""
+    """Adds the evidence items and the checks not run to every row of ``keyed``.
+
+    ``facts`` is None where ``keyed`` has them already.
+    """
     rules = F.broadcast(route_rules(keyed.sparkSession))
-    joined = join_small(keyed.join(rules, "issue_type"), facts, ["dataset_id"], bounded)
+    joined = keyed.join(rules, "issue_type")
+    if facts is not None:
+        joined = join_small(joined, facts, ["dataset_id"], bounded)
     current = {t: f"array({', '.join(b())})" for t, b in _CURRENT_ITEMS.items()}
     if comparison is None:
         joined = joined.withColumn("has_baseline", F.lit(False))
@@ -536,7 +542,7 @@ def evaluate(
         .withColumn("evidence", F.expr(f"transform(items, (e, i) -> {numbered})"))
         .withColumn("checks_not_run", F.expr(_not_run()))
         .select(
-            *keyed.columns,
+            *[c for c in (*_CASE_KEYS, "mentioned", "outcome_key") if c in keyed.columns],
             "route_name",
             "has_data",
             "has_baseline",
@@ -566,8 +572,8 @@ def case_evidence(
     it: a small one lets both be broadcast, so that cases never move.
     """
     bounded = column_bound is not None and column_bound <= BROADCAST_COLUMNS
-    keyed = case_keys(cases, facts, bounded=bounded)
-    return evaluate(keyed, facts, comparison, bounded=bounded)
+    keyed = case_keys(cases, facts, bounded=bounded, with_facts=True)
+    return evaluate(keyed, None, comparison, bounded=bounded)
 
 
 def _not_run() -> str:

@@ -12,12 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewitness.functions.expr import contains_any, pct, struct_of
-from framewitness.functions.fixed import (
-    CATEGORY_SHARE_LIMIT,
-    DETAIL_LIMIT,
-    KEY_TERMS,
-)
-from framewitness.operators.profile import table_summary
+from framewitness.functions.fixed import CATEGORY_SHARE_LIMIT, KEY_TERMS
+from framewitness.operators.profile import TABLE_MEASURES
 
 _KEY = ["current_id", "baseline_id"]
 
@@ -27,21 +23,32 @@ _COLUMN_FIELDS = (
 )
 
 
-def matched_columns(profile: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Full outer match of both sides' columns by name: structs c and b."""
-    fields = ", ".join(_COLUMN_FIELDS)
-    columns = profile.filter("name_occurrence = 1").selectExpr(
-        "dataset_id", "column_name", f"struct({fields}) AS side"
-    )
+_SIDES = ("c", "b")
 
-    def side(id_column: str, name: str) -> DataFrame:
-        chosen = columns.withColumnRenamed("dataset_id", id_column)
-        return pairs.join(chosen, id_column).select(
-            *_KEY, "column_name", F.col("side").alias(name)
-        )
 
-    return side("current_id", "c").join(
-        side("baseline_id", "b"), [*_KEY, "column_name"], "full_outer"
+def matched_columns(profile: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Both sides' columns by name, structs c and b, from one reading of the profile.
+
+    Every column meets the pairs its table is in, on the side it takes there, and the
+    two sides of a name are grouped. Measures of the tables come along per name.
+    """
+    sides = pairs.select(*_KEY).distinct().selectExpr(
+        *_KEY,
+        "inline(array(struct('c' AS side, current_id AS dataset_id),"
+        " struct('b' AS side, baseline_id AS dataset_id)))",
+    )
+    fields = f"struct({', '.join(_COLUMN_FIELDS)})"
+    found = {}
+    for side in _SIDES:
+        chosen = f"side = '{side}'"
+        first = f"IF({chosen} AND name_occurrence = 1, {fields}, NULL)"
+        found[side] = f"any_value({first}, true)"
+        for name, (of, call) in TABLE_MEASURES.items():
+            found[f"{side}_{name}"] = f"{call}(IF({chosen}, {of}, NULL))"
+    return (
+        profile.join(sides, "dataset_id")
+        .groupBy(*_KEY, "column_name")
+        .agg(*[F.expr(text).alias(name) for name, text in found.items()])
     )
 
 
@@ -57,6 +64,7 @@ def _derive(matched: DataFrame) -> DataFrame:
             "column_name",
             "c",
             "b",
+            *[f"{side}_{name}" for side in _SIDES for name in TABLE_MEASURES],
             "c IS NOT NULL AND b IS NOT NULL AS shared",
             f"{share_c} AS c_share",
             f"{share_b} AS b_share",
@@ -87,12 +95,12 @@ def _derive(matched: DataFrame) -> DataFrame:
 
 
 def _details(condition: str, order: str, **fields: str) -> str:
-    """First rows of a section by size of change, then name; bounded."""
+    """The rows of a section by size of change, then name."""
     entry = struct_of(ord=order, column_name="column_name", **fields)
     collected = f"array_sort(collect_list(IF({condition}, {entry}, NULL)))"
     names = ["column_name", *fields]
     plain = struct_of(**{name: f"x.{name}" for name in names})
-    return f"transform(slice({collected}, 1, {DETAIL_LIMIT}), x -> {plain})"
+    return f"transform({collected}, x -> {plain})"
 
 
 def _sections() -> dict[str, str]:
@@ -199,18 +207,22 @@ _SUMMARY_DELTAS = {
 
 
 def compare(profile: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Every comparison section, one row per pair."""
+    """Every comparison section, one row per pair of tables that the profile holds.
+
+    Details and names are complete. What the profile did not measure is null there,
+    and counts as no difference.
+    """
+    sections = _sections()
+    for side in _SIDES:
+        whole = {n: f"{call}({side}_{n})" for n, (_, call) in TABLE_MEASURES.items()}
+        sections[f"{side}_table"] = struct_of(**whole)
     grouped = (
         _derive(matched_columns(profile, pairs))
         .groupBy(*_KEY)
-        .agg(*[F.expr(text).alias(name) for name, text in _sections().items()])
+        .agg(*[F.expr(text).alias(name) for name, text in sections.items()])
+        .filter("c_table.column_count > 0 AND b_table.column_count > 0")
+        .withColumnsRenamed({"c_table": "c", "b_table": "b"})
     )
-    summary = table_summary(profile).selectExpr("dataset_id", "struct(*) AS side")
-
-    def side(id_column: str, name: str) -> DataFrame:
-        return summary.select(
-            F.col("dataset_id").alias(id_column), F.col("side").alias(name)
-        )
 
     def change(measure: str) -> str:
         delta = f"(c.{measure} - b.{measure})"
@@ -224,8 +236,8 @@ def compare(profile: DataFrame, pairs: DataFrame) -> DataFrame:
     schema = struct_of(
         current_column_count="c.column_count",
         baseline_column_count="b.column_count",
-        added_columns=f"slice(added, 1, {DETAIL_LIMIT})",
-        removed_columns=f"slice(removed, 1, {DETAIL_LIMIT})",
+        added_columns="added",
+        removed_columns="removed",
         shared_column_count="shared_column_count",
         current_duplicate_names="c.duplicate_column_name_count",
         baseline_duplicate_names="b.duplicate_column_name_count",
@@ -237,15 +249,12 @@ def compare(profile: DataFrame, pairs: DataFrame) -> DataFrame:
     general = struct_of(
         **{name: f"c.{of} - b.{of}" for name, of in _SUMMARY_DELTAS.items()}
     )
-    # Added and removed names count after the detail limit, kind changes in full.
     signals = (
         "size(schema.added_columns) + size(schema.removed_columns)"
         " + kind_change_count + nulls.columns_higher + nulls.columns_lower"
     )
     return (
-        grouped.join(side("current_id", "c"), "current_id")
-        .join(side("baseline_id", "b"), "baseline_id")
-        .selectExpr(
+        grouped.selectExpr(
             *_KEY,
             f"{change('row_count')} AS rows",
             f"{change('column_count')} AS column_counts",

@@ -2,8 +2,9 @@
 
 Three physical shapes produce the same measures:
 
-* no unique counts asked for: one wide aggregate, one pass, nothing shuffled but
-  one row per task (days, if asked for, are grouped by day first);
+* no unique counts asked for: one wide aggregate, nothing shuffled but one row per
+  task; columns that may hold dates are grouped by day first. Either way a column is
+  read once, and a source that is not columnar is read in a single pass;
 * unique counts over a columnar source: the columns of one type are read together
   and grouped as (position, value) rows, so every column is read once, a shuffled
   row is one value and one count, and a wide table needs no more jobs;
@@ -13,7 +14,11 @@ Three physical shapes produce the same measures:
 In the last two every further measure is computed from the grouped values, so
 parsing and length work is done once per different value. A value that fills a
 third of the table collapses in the map-side aggregation. Long strings are
-grouped by their SHA-256 digest, so whole texts are never shuffled.
+grouped by their SHA-256 digest, so whole texts are never shuffled; a date in them is
+parsed from the text itself.
+
+Whole numbers and decimals are added and compared exactly, as whole numbers of their
+last digit.
 """
 
 from __future__ import annotations
@@ -39,12 +44,10 @@ from framewitness.functions.expr import (
 from framewitness.functions.fixed import DATE_PARSE_SHARE, DATE_TERMS
 from framewitness.sources.tables import Table
 
-ALL_MEASURES = frozenset({"unique", "numeric", "dates", "text"})
+ALL_MEASURES = frozenset({"nulls", "unique", "numeric", "dates", "text"})
 
 # Strings up to this many bytes are grouped as they are; longer ones by digest.
 _SHORT_TEXT_BYTES = 64
-# Columns handled by one generated projection, so that it stays compilable.
-_WIDE_COLUMNS = 64
 
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _DECIMALS = (T.FloatType, T.DoubleType, T.DecimalType)
@@ -53,7 +56,14 @@ _DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 # Raw measures of each group, with their types.
 _RAW = {
     "unique": {"unique_count": "BIGINT"},
-    "numeric": {"num_min": "DOUBLE", "num_max": "DOUBLE", "num_sum": "DOUBLE"},
+    "numeric": {
+        "num_min": "DOUBLE",
+        "num_max": "DOUBLE",
+        "num_sum": "DOUBLE",
+        "exact_min": "DECIMAL(38,0)",
+        "exact_max": "DECIMAL(38,0)",
+        "exact_sum": "DECIMAL(38,0)",
+    },
     "text": {"len_min": "BIGINT", "len_max": "BIGINT", "len_sum": "BIGINT"},
     "dates": {
         "parsed_count": "BIGINT",
@@ -151,6 +161,32 @@ class _Source:
             return f"double(int({value}))"
         return f"double({value})" if self.is_number else "CAST(NULL AS DOUBLE)"
 
+    @property
+    def scale(self) -> int | None:
+        """Digits after the point of a number that is kept exactly."""
+        if self.kind == "integer":
+            return 0
+        kind = self.data_type
+        if isinstance(kind, T.DecimalType) and kind.precision + kind.scale <= 37:
+            return kind.scale
+        return None
+
+    def exact(self, value: str) -> str:
+        """A number as a whole number of its last digit."""
+        if self.scale is None:
+            return "CAST(NULL AS DECIMAL(38,0))"
+        shifted = f"{value} * {10 ** self.scale}BD" if self.scale else value
+        return f"CAST({shifted} AS DECIMAL(38,0))"
+
+    def counted(self, asked) -> bool:
+        """Whether its cells are counted: if that is asked for, or comes for free."""
+        return (
+            "nulls" in asked
+            or ("numeric" in asked and self.is_number)
+            or ("text" in asked and self.is_text)
+            or ("dates" in asked and self.may_hold_dates)
+        )
+
     def moment(self, value: str, formats: tuple[str, ...]) -> str:
         if self.kind == "datetime":
             return f"CAST({value} AS TIMESTAMP_NTZ)"
@@ -166,75 +202,132 @@ class _Source:
 
 def _wide(table: Table, sources: list[_Source], asked) -> DataFrame:
     """Counts, numbers and lengths: one aggregate over the raw rows."""
-    parts = []
-    # A source that is not columnar is read once, however wide it is.
-    step = _WIDE_COLUMNS if table.columnar else len(sources)
-    for start in range(0, len(sources), step):
-        structs = []
-        for source in sources[start : start + step]:
-            value = source.value()
-            fields = {
-                "id": str(source.id),
-                "row_count": "count(1)",
-                "non_null_count": f"count({value})",
-            }
-            if "numeric" in asked:
-                number = source.number(value)
-                present = source.is_number
-                for name, call in ("min", "min"), ("max", "max"), ("sum", "sum"):
-                    measure = f"{call}({number})" if present else number
-                    fields[f"num_{name}"] = measure
-            if "text" in asked:
-                for name in ("min", "max", "sum"):
-                    measure = f"{name}(length({value}))" if source.is_text else "NULL"
-                    fields[f"len_{name}"] = f"CAST({measure} AS BIGINT)"
-            structs.append(struct_of(**fields))
-        wide = table.frame.agg(F.expr(f"array({', '.join(structs)})").alias("rows"))
-        parts.append(wide.selectExpr("inline(rows)"))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _days(sources: list[_Source], formats) -> DataFrame | None:
-    """Date measures of the columns that may hold dates.
-
-    Rows are grouped by day before they meet, so the shuffle carries at most one
-    row per column, day and task.
+    structs = []
+    for source in sources:
+        value = source.value()
+        cells = f"count({value})" if source.counted(asked) else "CAST(NULL AS BIGINT)"
+        fields = {"id": str(source.id), "row_count": "count(1)", "non_null_count": cells}
+        if "numeric" in asked:
+            number, exact = source.number(value), source.exact(value)
+            for name, call in ("min", "min"), ("max", "max"), ("sum", "try_sum"):
+                wanted = source.is_number
+                fields[f"num_{name}"] = f"{call}({number})" if wanted else number
+                wanted = source.scale is not None
+                measure = f"{call}({exact})" if wanted else exact
+                fields[f"exact_{name}"] = f"CAST({measure} AS DECIMAL(38,0))"
+        if "text" in asked:
+            for name in ("min", "max", "sum"):
+                measure = f"{name}(length({value}))" if source.is_text else "NULL"
+                fields[f"len_{name}"] = f"CAST({measure} AS BIGINT)"
+        structs.append(struct_of(**fields))
+    wide = table.frame.agg(F.expr(f"array({', '.join(structs)})").alias("rows"))
+    return wide.selectExpr("inline(rows)")
+
+
+def _by_day(table: Table, sources: list[_Source], asked, formats) -> DataFrame:
+    """The same measures and those of dates, in one pass over the columns given.
+
+    Rows are grouped by column and day before they meet, so the shuffle carries at most
+    one row per column, day and task.
     """
 
     def row(source: _Source) -> str:
         value = source.value()
         moment = source.moment(value, formats)
-        day = f"date({source.day(value, moment)})"
-        return struct_of(id=str(source.id), moment=moment, day=day)
+        fields = {
+            "id": str(source.id),
+            "present": f"{value} IS NOT NULL",
+            "moment": moment,
+            "day": f"date({source.day(value, moment)})",
+        }
+        if "numeric" in asked:
+            fields |= {"number": source.number(value), "exact": source.exact(value)}
+        if "text" in asked:
+            length = f"length({value})" if source.is_text else "NULL"
+            fields["length"] = f"CAST({length} AS BIGINT)"
+        return struct_of(**fields)
 
-    parts = [
-        table.frame.selectExpr(f"inline(array({', '.join(map(row, members))}))")
-        for table, members in _by_table([s for s in sources if s.may_hold_dates])
-    ]
-    if not parts:
-        return None
-    by_day = reduce(DataFrame.unionByName, parts).groupBy("id", "day")
-    counted = by_day.agg(
-        F.expr("count(1)").alias("n"),
-        F.min("moment").alias("first"),
-        F.max("moment").alias("last"),
+    first = {
+        "n": "count(1)",
+        "cells": "count_if(present)",
+        "first": "min(moment)",
+        "last": "max(moment)",
+    }
+    last = {
+        "row_count": "sum(n)",
+        "non_null_count": "sum(cells)",
+        "parsed_count": "coalesce(sum(IF(day IS NOT NULL, n, 0)), 0)",
+        "moment_min": "min(first)",
+        "moment_max": "max(last)",
+        "day_min": "min(day)",
+        "day_max": "max(day)",
+        "day_count": "count(day)",
+    }
+    slots = [("numeric", "number", "num"), ("numeric", "exact", "exact"), ("text", "length", "len")]
+    for group, slot, name in slots:
+        if group in asked:
+            for call in ("min", "max", "sum"):
+                added = f"try_sum({slot})" if call == "sum" else f"{call}({slot})"
+                kind = _RAW[group][f"{name}_{call}"]
+                first[f"{name}_{call}"] = f"CAST({added} AS {kind})"
+                again = "try_sum" if call == "sum" else call
+                last[f"{name}_{call}"] = f"CAST({again}({name}_{call}) AS {kind})"
+    cells = table.frame.selectExpr(f"inline(array({', '.join(map(row, sources))}))")
+    found = cells.groupBy("id", "day").agg(*_named(first))
+    # A row per column keeps the columns of an empty table in the result.
+    spark = table.frame.sparkSession
+    ids = ", ".join(str(source.id) for source in sources)
+    anchor = spark.range(1).selectExpr(f"explode(array({ids})) AS id").selectExpr(
+        "id", "0L AS n", "0L AS cells"
     )
-    return counted.groupBy("id").agg(
-        F.expr("coalesce(sum(IF(day IS NOT NULL, n, 0)), 0)").alias("parsed_count"),
-        F.min("first").alias("moment_min"),
-        F.max("last").alias("moment_max"),
-        F.min("day").alias("day_min"),
-        F.max("day").alias("day_max"),
-        F.count("day").alias("day_count"),
+    return found.unionByName(anchor, allowMissingColumns=True).groupBy("id").agg(
+        *_named(last)
     )
 
 
+def _with_row_counts(found: DataFrame, first: _Source, others: list[_Source]):
+    """Rows for columns of which nothing but the table's row count is asked."""
+    ids = ", ".join(str(s.id) for s in (first, *others))
+    measures = [c for c in found.columns if c not in ("id", "row_count")]
+    return found.selectExpr(
+        f"explode(IF(id = {first.id}, array({ids}), array(id))) AS own", "*"
+    ).selectExpr(
+        "own AS id", "row_count", *[f"IF(own = id, {c}, NULL) AS {c}" for c in measures]
+    )
+
+
+def _named(measures: dict[str, str]) -> list:
+    return [F.expr(text).alias(name) for name, text in measures.items()]
+
+
 def _ungrouped(sources: list[_Source], asked, formats) -> DataFrame:
-    parts = [_wide(table, members, asked) for table, members in _by_table(sources)]
-    raw = reduce(DataFrame.unionByName, parts)
-    days = _days(sources, formats) if "dates" in asked else None
-    # At most one row per column on either side.
-    return raw if days is None else raw.join(F.broadcast(days), "id", "left")
+    parts = []
+    for table, members in _by_table(sources):
+        dated = [s for s in members if "dates" in asked and s.may_hold_dates]
+        if dated and not table.columnar:
+            dated = members  # a source that is read whole is read once
+        plain = [s for s in members if s not in dated]
+        if dated and plain and not any(s.counted(asked) for s in plain):
+            days = _by_day(table, dated, asked, formats)
+            parts.append(_with_row_counts(days, dated[0], plain))
+            continue
+        if plain:
+            parts.append(_wide(table, plain, asked))
+        if dated:
+            parts.append(_by_day(table, dated, asked, formats))
+    known = {"id", "row_count", "non_null_count"}.union(*(set(p.columns) for p in parts))
+    every = {name: type_ for group in _RAW.values() for name, type_ in group.items()}
+    order = ["id", "row_count", "non_null_count", *[n for n in every if n in known]]
+    typed = [
+        part.select(
+            *[
+                F.col(n) if n in part.columns else F.lit(None).cast(every[n]).alias(n)
+                for n in order
+            ]
+        )
+        for part in parts
+    ]
+    return reduce(DataFrame.unionByName, typed)
 
 
 def _by_table(sources: list[_Source]) -> list[tuple[Table, list[_Source]]]:
@@ -245,12 +338,13 @@ def _by_table(sources: list[_Source]) -> list[tuple[Table, list[_Source]]]:
     return list(groups.values())
 
 
-def _cell(id_, n, present, number, length, moment, day) -> list[str]:
+def _cell(id_, n, present, number, exact, length, moment, day) -> list[str]:
     return [
         f"int({id_}) AS id",
         f"bigint({n}) AS n",
         f"{present} AS present",
         f"double({number}) AS number",
+        f"CAST({exact} AS DECIMAL(38,0)) AS exact",
         f"bigint({length}) AS length",
         f"CAST({moment} AS TIMESTAMP_NTZ) AS moment",
         f"date({day}) AS day",
@@ -270,6 +364,7 @@ def _cells_of_column(table: Table, source: _Source, asked, formats) -> DataFrame
             "n",
             "key IS NOT NULL" if source.comparable else "key",
             source.number("key"),
+            source.exact("key"),
             "NULL",
             moment,
             day,
@@ -296,19 +391,25 @@ def _cells_of_family(
     """One row per column and different value, for columns of one type."""
     types = {"whole": "BIGINT", "real": "DOUBLE", "clock": "TIMESTAMP_NTZ"}
 
+    is_text = family == "text"
+    # Without further formats only short texts can be dates, and those are their keys.
+    dated = is_text and "dates" in asked and bool(formats)
     def row(source: _Source) -> str:
         value, fields = source.value(), {"id": str(source.id)}
         if family == "text":
             fields["key"] = _text_key(value)
             fields["size"] = f"length({value})"
+            if dated:
+                fields["moment"] = parse_timestamp(value, formats)
         else:
             fields["key"] = f"CAST({value} AS {types[family]})"
         return struct_of(**fields)
 
-    is_text = family == "text"
     numeric = family in ("whole", "real")
     moment = day = "NULL"
-    if "dates" in asked and is_text:
+    if dated:
+        moment = day = "moment"
+    elif "dates" in asked and is_text:
         moment = day = parse_timestamp("key", formats)
     elif "dates" in asked and family == "clock":
         moment = day = "key"
@@ -319,7 +420,7 @@ def _cells_of_family(
             day = f"IF(id IN ({', '.join(named)}), {read}, NULL)"
     return (
         table.frame.selectExpr(f"inline(array({', '.join(map(row, sources))}))")
-        .groupBy("id", "key", *(["size"] if is_text else []))
+        .groupBy("id", "key", *(["size"] if is_text else []), *(["moment"] if dated else []))
         .agg(F.expr("count(1)").alias("n"))
         .selectExpr(
             *_cell(
@@ -327,6 +428,7 @@ def _cells_of_family(
                 "n",
                 "key IS NOT NULL",
                 "key" if numeric else "NULL",
+                "key" if family == "whole" else "NULL",
                 "size" if is_text else "NULL",
                 moment,
                 day,
@@ -355,6 +457,8 @@ def _cells_in_one_pass(
             real = value
         elif kind == "string":
             text, whole = _text_key(value), f"length({value})"
+            if "dates" in asked and formats:
+                clock = parse_timestamp(value, formats)
         elif kind == "datetime":
             clock = value
             if isinstance(source.data_type, T.TimestampType):
@@ -380,13 +484,19 @@ def _cells_in_one_pass(
     is_text = among(lambda s: s.is_text)
     moment = day = "NULL"
     if "dates" in asked:
-        moment = parse_timestamp(f"IF({is_text}, text, NULL)", formats)
-        moment = f"coalesce(clock, {moment})"
+        moment = "clock"
+        if not formats:
+            parsed = parse_timestamp(f"IF({is_text}, text, NULL)")
+            moment = f"coalesce(clock, {parsed})"
         from_whole = epoch_nanos_to_date("whole", whole=True)
         from_real = epoch_nanos_to_date("real", whole=False)
         numeric_day = f"coalesce({from_whole}, {from_real})"
         named = among(lambda s: s.is_date_named_number)
         day = f"coalesce(date({moment}), IF({named}, {numeric_day}, NULL))"
+    # All digits of a decimal, in the order they are written.
+    digits = (
+        "IF(text RLIKE '^-?0E', 0, try_cast(replace(text, '.', '') AS DECIMAL(38,0)))"
+    )
     return grouped.selectExpr(
         *_cell(
             "id",
@@ -394,6 +504,9 @@ def _cells_in_one_pass(
             "(whole IS NOT NULL OR real IS NOT NULL OR text IS NOT NULL"
             " OR clock IS NOT NULL)",
             f"IF({among(lambda s: s.is_number)}, coalesce(real, whole), NULL)",
+            f"CASE WHEN {among(lambda s: s.scale == 0 and s.kind == 'integer')} THEN whole"
+            f" WHEN {among(lambda s: s.scale is not None and s.kind == 'decimal')} THEN {digits}"
+            " END",
             f"IF({is_text}, whole, NULL)",
             moment,
             day,
@@ -412,10 +525,8 @@ def _cells(table: Table, sources: list[_Source], asked, formats) -> list[DataFra
     for family, members in groups.items():
         if family == "any":
             parts.append(_cells_in_one_pass(table, members, asked, formats))
-            continue
-        for start in range(0, len(members), _WIDE_COLUMNS):
-            chunk = members[start : start + _WIDE_COLUMNS]
-            parts.append(_cells_of_family(table, chunk, family, asked, formats))
+        else:
+            parts.append(_cells_of_family(table, members, family, asked, formats))
     return parts
 
 
@@ -427,7 +538,7 @@ def _grouped(sources: list[_Source], asked, formats) -> DataFrame:
     # A zero-weight row per column keeps columns of an empty table in the result.
     spark = sources[0].table.frame.sparkSession
     anchor = spark.range(len(sources)).selectExpr("int(id) AS id")
-    nulls = ["NULL"] * 4
+    nulls = ["NULL"] * 5
     parts.append(anchor.selectExpr(*_cell("id", "0", "false", *nulls)))
     cells = reduce(DataFrame.unionByName, parts)
     opaque = [str(s.id) for s in sources if not s.comparable]
@@ -442,6 +553,9 @@ def _grouped(sources: list[_Source], asked, formats) -> DataFrame:
     if "numeric" in asked:
         measures["num_min"], measures["num_max"] = "min(number)", "max(number)"
         measures["num_sum"] = "sum(number * n)"
+        measures["exact_min"], measures["exact_max"] = "min(exact)", "max(exact)"
+        added = "try_sum(try_multiply(exact, CAST(n AS DECIMAL(20,0))))"
+        measures["exact_sum"] = f"CAST({added} AS DECIMAL(38,0))"
     if "text" in asked:
         measures["len_min"], measures["len_max"] = "min(length)", "max(length)"
         measures["len_sum"] = "sum(length * n)"
@@ -450,9 +564,7 @@ def _grouped(sources: list[_Source], asked, formats) -> DataFrame:
         measures["moment_min"], measures["moment_max"] = "min(moment)", "max(moment)"
         measures["day_min"], measures["day_max"] = "min(day)", "max(day)"
         measures["day_count"] = "count(DISTINCT day)"
-    return cells.groupBy("id").agg(
-        *[F.expr(text).alias(name) for name, text in measures.items()]
-    )
+    return cells.groupBy("id").agg(*_named(measures))
 
 
 def profiles(
@@ -465,9 +577,11 @@ def profiles(
     """One row of aggregates per column of every table.
 
     ``columns`` keeps only columns with these display names; ``measures`` keeps
-    only the named groups (unique, numeric, dates, text), and what is not asked
-    for is neither read nor computed. Null counts always come along. The kind of
-    a string column needs the 'dates' group; without it strings count as text.
+    only the named groups (nulls, unique, numeric, dates, text), and what is not
+    asked for is neither read nor computed: with no group only rows are counted.
+    Null counts come along where a column is read anyway. The kind of a string
+    column needs the 'dates' group; without it strings count as text. A column
+    whose cells are not counted is never of kind 'empty'.
     """
     asked = frozenset(measures)
     if not asked <= ALL_MEASURES:
@@ -511,10 +625,12 @@ def _finish(sources: list[_Source], raw: DataFrame) -> DataFrame:
         *[n if n in known else f"CAST(NULL AS {t}) AS {n}" for n, t in every.items()],
         f"{at([s.kind for s in sources])} AS base_kind",
         f"{at([s.is_number for s in sources])} AS is_numeric_type",
+        f"nullif({at([-1 if s.scale is None else s.scale for s in sources])}, -1) AS scale",
         f"{pct('parsed_count', 'non_null_count')} AS parse_share",
     ).selectExpr(
         "*",
         "row_count - non_null_count AS null_count",
+        "coalesce(double(exact_sum) / power(10, scale), num_sum) AS num_added",
         f"""CASE WHEN non_null_count = 0 THEN 'empty'
             WHEN base_kind <> 'string' THEN base_kind
             WHEN parse_share >= {DATE_PARSE_SHARE} THEN 'datetime'
@@ -547,8 +663,11 @@ def _finish(sources: list[_Source], raw: DataFrame) -> DataFrame:
         ),
         when(number, "num_min", "num_min"),
         when(number, "num_max", "num_max"),
-        when(number, "try_divide(num_sum, non_null_count)", "num_mean"),
-        when("is_numeric_type", "coalesce(num_sum, 0.0D)", "num_total"),
+        when(number, "try_divide(num_added, non_null_count)", "num_mean"),
+        when("is_numeric_type", "coalesce(num_added, 0.0D)", "num_total"),
+        when(number, _written("exact_min"), "num_min_exact"),
+        when(number, _written("exact_max"), "num_max_exact"),
+        when(number, _written("exact_sum"), "num_total_exact"),
         when(date, "parsed_count", "dt_parsed_count"),
         when(date, "parse_share", "dt_parse_percentage"),
         when(date, iso_timestamp("moment_min"), "dt_min"),
@@ -568,6 +687,16 @@ def _finish(sources: list[_Source], raw: DataFrame) -> DataFrame:
     )
 
 
+def _written(number: str) -> str:
+    """A whole number of last digits with its point set; null if it is not exact."""
+    digits = f"lpad(string(abs({number})), greatest(length(string(abs({number}))), scale + 1), '0')"
+    point = f"substring({digits}, 1, length({digits}) - scale) || '.' || right({digits}, scale)"
+    return (
+        f"CASE WHEN scale = 0 THEN string({number})"
+        f" WHEN scale > 0 THEN IF({number} < 0, '-', '') || {point} END"
+    )
+
+
 def duplicate_names(profile: DataFrame) -> DataFrame:
     """Repeated and blank display names of each profiled table."""
     return (
@@ -588,19 +717,25 @@ def kind_counts(profile: DataFrame) -> DataFrame:
     )
 
 
+#: Measures of a table from its columns: per column, and how they are put together.
+TABLE_MEASURES = {
+    "row_count": ("row_count", "max"),
+    "column_count": ("1L", "sum"),
+    "total_null_cells": ("null_count", "sum"),
+    "columns_with_nulls": ("bigint(null_count > 0)", "sum"),
+    "numeric_column_count": ("bigint(inferred_kind IN ('integer', 'decimal'))", "sum"),
+    "datetime_column_count": ("bigint(inferred_kind = 'datetime')", "sum"),
+    "text_column_count": ("bigint(inferred_kind = 'text')", "sum"),
+    "duplicate_column_name_count": ("bigint(name_occurrence = 2)", "sum"),
+    "empty_column_name_count": ("bigint(is_blank_name)", "sum"),
+}
+
+
+def table_measures() -> list:
+    """The aggregates of a profile that is grouped by table."""
+    return _named({n: f"{call}({of})" for n, (of, call) in TABLE_MEASURES.items()})
+
+
 def table_summary(profile: DataFrame) -> DataFrame:
     """One row per table: shape, null cells, kinds and name problems."""
-    measures = {
-        "row_count": "max(row_count)",
-        "column_count": "count(1)",
-        "total_null_cells": "sum(null_count)",
-        "columns_with_nulls": "count_if(null_count > 0)",
-        "numeric_column_count": "count_if(inferred_kind IN ('integer', 'decimal'))",
-        "datetime_column_count": "count_if(inferred_kind = 'datetime')",
-        "text_column_count": "count_if(inferred_kind = 'text')",
-        "duplicate_column_name_count": "count_if(name_occurrence = 2)",
-        "empty_column_name_count": "count_if(is_blank_name)",
-    }
-    return profile.groupBy("dataset_id").agg(
-        *[F.expr(text).alias(name) for name, text in measures.items()]
-    )
+    return profile.groupBy("dataset_id").agg(*table_measures())

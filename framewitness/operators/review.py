@@ -10,7 +10,6 @@ from framewitness.functions.fixed import (
     HYPOTHESIS_STATUSES,
     NOT_ASSESSED,
     NOT_SUPPORTED,
-    REPORT_METRICS_PER_ITEM,
     SUPPORTED,
     UNCLEAR,
     UNREPORTED_METRIC_PARTS,
@@ -214,8 +213,8 @@ def findings_summary(reviewed: DataFrame) -> DataFrame:
     )
 
 
-def report_key_metrics(reviewed: DataFrame) -> DataFrame:
-    """First scalar metrics of each evidence item, for a report."""
+def report_key_metrics(reviewed: DataFrame, *, top: int | None = None) -> DataFrame:
+    """Scalar metrics of each evidence item, for a report; the first ``top`` if given."""
     hidden = " OR ".join(
         f"contains(lower(m.name), {quoted(p)})" for p in UNREPORTED_METRIC_PARTS
     )
@@ -226,7 +225,8 @@ def report_key_metrics(reviewed: DataFrame) -> DataFrame:
         .selectExpr(
             "case_id",
             "evidence_id",
-            f"posexplode(slice({shown}, 1, {REPORT_METRICS_PER_ITEM})) AS (pos, m)",
+            f"posexplode({shown if top is None else f'slice({shown}, 1, {top})'})"
+            " AS (pos, m)",
         )
         .selectExpr(
             "case_id",

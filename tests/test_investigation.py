@@ -190,7 +190,9 @@ def test_report_rows(found):
     per_item: dict = {}
     for m in metrics:
         per_item.setdefault(m.evidence_id, []).append(m.metric)
-    assert len(per_item["ev-001"]) == 4 and "column_deltas" not in per_item["ev-002"]
+    assert len(per_item["ev-001"]) == 6 and "column_deltas" not in per_item["ev-002"]
+    few = review.report_key_metrics(found.reviewed, top=4).filter("case_id = 1")
+    assert few.filter("evidence_id = 'ev-001'").count() == 4
     rows = {(r.case_id, r.evidence_id): r.related_columns for r in
             review.report_evidence_rows(found.reviewed).collect()}
     assert rows[(0, "ev-001")] == "customer_id" and rows[(0, "ev-002")] == "None"
