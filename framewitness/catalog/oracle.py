@@ -239,18 +239,20 @@ ORACLE["dataset_shape"] = """SELECT
     (SELECT count(*) FROM (DESCRIBE orders)) AS column_count"""
 
 
-def _typed(name: str) -> str:
+def _typed(table: str, name: str) -> str:
     text = f"{name}::VARCHAR"
     whole = f"regexp_full_match({text}, '[+-]?[0-9]+')"
     return f"""SELECT '{name}' AS column_name,
         CASE WHEN bool_and({whole}) THEN 'bigint'
              WHEN count(try_cast({text} AS DOUBLE)) = count(*) THEN 'double'
              ELSE 'string' END AS inferred_type,
-        count({name}) AS non_null_count FROM customer"""
+        count({name}) AS non_null_count FROM {table}"""
 
 
 ORACLE["intake_type_inference"] = " UNION ALL ".join(
-    _typed(name) for name, _ in _DATASETS["customer"][1]
+    _typed(table, name)
+    for table in ("customer", "documents")
+    for name, _ in _DATASETS[table][1]
 )
 
 

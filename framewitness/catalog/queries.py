@@ -52,9 +52,12 @@ def dataset_shape(spark, sf):
 
 @query
 def intake_type_inference(spark, sf):
-    customer = inputs.rows(spark, sf, "customer")
-    text = customer.selectExpr(*[f"string({c}) AS {c}" for c in customer.columns])
-    return type_inference(Table.of(text, "customer")).drop("position")
+    found = []
+    for name in ("customer", "documents"):
+        rows = inputs.rows(spark, sf, name)
+        text = rows.selectExpr(*[f"string({c}) AS {c}" for c in rows.columns])
+        found.append(type_inference(Table.of(text, name)).drop("position"))
+    return found[0].unionByName(found[1])
 
 
 # --- profile ------------------------------------------------------------------

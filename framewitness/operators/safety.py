@@ -74,3 +74,40 @@ def forbidden_fields(data_type: T.DataType) -> list[str]:
         found += forbidden_fields(data_type.keyType)
         found += forbidden_fields(data_type.valueType)
     return found
+
+
+def holds_forbidden_key(value: str, data_type: T.DataType) -> str | None:
+    """Whether a value holds a forbidden name as a map key or in JSON text, at any
+    depth; None for a type that can't."""
+    if isinstance(data_type, T.StringType):
+        names = "|".join(FORBIDDEN_FIELDS)
+        return f"coalesce({value} RLIKE r'\"({names})\"\\s*:', false)"
+    tests = []
+    if isinstance(data_type, T.StructType):
+        parts = [
+            holds_forbidden_key(f"{value}.`{field.name}`", field.dataType)
+            for field in data_type.fields
+        ]
+        tests += [part for part in parts if part]
+    elif isinstance(data_type, T.ArrayType):
+        inside = holds_forbidden_key("x", data_type.elementType)
+        tests += [f"exists({value}, x -> {inside})"] if inside else []
+    elif isinstance(data_type, T.MapType):
+        if isinstance(data_type.keyType, T.StringType):
+            keys = f"arrays_overlap(map_keys({value}), {array_of(FORBIDDEN_FIELDS)})"
+            tests.append(f"coalesce({keys}, false)")
+        for side, kind in ("keys", data_type.keyType), ("values", data_type.valueType):
+            inside = holds_forbidden_key("x", kind)
+            tests += [f"exists(map_{side}({value}), x -> {inside})"] if inside else []
+    return f"coalesce({' OR '.join(tests)}, false)" if tests else None
+
+
+def guarded(df: DataFrame) -> DataFrame:
+    """The same rows; reading one that holds a forbidden key fails the job."""
+    tests = [holds_forbidden_key(f"`{f.name}`", f.dataType) for f in df.schema.fields]
+    tests = [test for test in tests if test]
+    if not tests:
+        return df
+    message = "a row holds a field name that must not be written"
+    found = f"IF({' OR '.join(tests)}, raise_error('{message}'), true)"
+    return df.filter(found)

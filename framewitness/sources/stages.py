@@ -7,13 +7,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewitness.operators.safety import forbidden_fields
+from framewitness.operators.safety import forbidden_fields, guarded
 
 
 def write_stage(
     df: DataFrame, path: str, *, fmt: str = "json", by_case: bool = False
 ) -> None:
-    """Write one stage; refuses forbidden field names.
+    """Write one stage; refuses forbidden field names, also as map keys and in JSON.
 
     ``by_case`` makes one folder per case. That suits a few cases to hand over;
     with very many, leave it off and filter on case_id.
@@ -23,7 +23,7 @@ def write_stage(
     found = forbidden_fields(df.schema)
     if found:
         raise ValueError(f"fields that must not be written: {', '.join(found)}")
-    writer = df.write.mode("overwrite").format(fmt)
+    writer = guarded(df).write.mode("overwrite").format(fmt)
     if by_case:
         writer = writer.partitionBy("case_id")
     writer.save(path)

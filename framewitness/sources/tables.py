@@ -10,9 +10,11 @@ import re
 from collections import Counter
 from dataclasses import dataclass, replace
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewitness.functions.expr import quoted, struct_of
 from framewitness.functions.fixed import (
@@ -76,6 +78,10 @@ class Table:
         )
 
 
+_MISFIT = "_misfit"
+_END = "(end of row)"
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -84,7 +90,13 @@ def read_csv(
     multiline: bool = False,
     sheet: str | None = None,
 ) -> Table:
-    """Read CSV with a header row; null tokens and types follow pandas."""
+    """Read CSV with a header row; null tokens and types follow pandas.
+
+    Rows with more cells than the header are an error, and so are, unless
+    ``multiline`` is given, lines with an odd number of quotes: they are parts of
+    rows with line breaks in a cell. Rows with fewer cells end in nulls. Where the
+    header's names are all different, every file must have the same header.
+    """
     if sheet is not None:
         raise ValueError("a sheet can only be chosen for spreadsheet input")
     _require(spark, path, ".csv")
@@ -95,32 +107,78 @@ def read_csv(
     if header is None:
         raise ValueError(f"no header row in {path}")
     names = [("" if name is None else name).removeprefix("\ufeff") for name in header]
-    schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    rows = reader.schema(schema).csv(path, header=True)
-    table = Table.of(rows, dataset_id, names, source_name=path, source_format="csv")
-    return typed(table)
+    plain = all(names) and len({name.lower() for name in names}) == len(names)
+    columns = names if plain else [f"c{i}" for i in range(len(names))]
+    fields = [T.StructField(c, T.StringType()) for c in (*columns, _MISFIT)]
+    rows = (
+        reader.schema(T.StructType(fields))
+        .option("columnNameOfCorruptRecord", _MISFIT)
+        .option("enforceSchema", not plain)
+        .csv(path, header=True)
+    )
+    torn = "0L" if multiline else _torn_lines(spark, path)
+    cells = rows.toDF(*[f"c{i}" for i in range(len(names))], _MISFIT)
+    table = Table.of(
+        cells.drop(_MISFIT), dataset_id, names, source_name=path, source_format="csv"
+    )
+    # A mark behind the row's last cell falls among as many cells as the header has, and
+    # one more, unless the row has more cells than the header.
+    wider = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    options = "map('quote', '\"', 'escape', '\"')"
+    parsed = f"from_csv({_MISFIT} || ',{_END}', '{wider}', {options})"
+    marked = f"map_values(from_json(to_json({parsed}), 'map<string,string>'))"
+    extra = f"NOT array_contains({marked}, '{_END}')"
+    found = cells.agg(
+        F.expr(_measured(table)).alias("rows"),
+        F.expr(f"count_if({_MISFIT} IS NOT NULL AND {extra})").alias("wide"),
+    ).first()
+    if torn != "0L" and (count := torn.first()[0]):
+        raise ValueError(
+            f"{count} lines of {path} have an odd number of quotes; cells with line"
+            " breaks need multiline=True"
+        )
+    if found["wide"]:
+        raise ValueError(f"{found['wide']} rows of {path} have more cells than the header")
+    types = {r["position"]: _inferred(r) for r in found["rows"]}
+    return _with_types(table, types)
+
+
+def _torn_lines(spark: SparkSession, path: str) -> DataFrame:
+    quotes = "length(value) - length(replace(value, '\"', ''))"
+    return spark.read.text(path).agg(F.expr(f"count_if(({quotes}) % 2 = 1)"))
 
 
 def read_parquet(spark: SparkSession, path: str, dataset_id: str) -> Table:
-    _require(spark, path, ".parquet")
+    """Any parquet file or folder, partitioned or not, whatever its name."""
+    try:
+        frame = spark.read.parquet(path)
+    except (PySparkException, Py4JJavaError) as error:
+        if "PATH_NOT_FOUND" in str(error):
+            raise ValueError(f"input does not exist: {path}") from error
+        raise ValueError(f"unsupported extension or content, not parquet: {path}") from error
     return Table.of(
-        spark.read.parquet(path),
-        dataset_id,
-        source_name=path,
-        source_format="parquet",
-        columnar=True,
+        frame, dataset_id, source_name=path, source_format="parquet", columnar=True
     )
 
 
 def read_table(spark: SparkSession, name: str, dataset_id: str) -> Table:
-    """A catalog table."""
+    """A catalog table; read by column where its provider stores columns."""
     if not spark.catalog.tableExists(name):
         raise ValueError(f"table does not exist: {name}")
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'Provider'")
+    provider = described.first()
     return Table.of(
-        spark.table(name), dataset_id, source_name=name, source_format="table"
+        spark.table(name),
+        dataset_id,
+        source_name=name,
+        source_format="table",
+        columnar=provider is not None and provider["data_type"].lower() in _COLUMNAR,
     )
 
 
+_COLUMNAR = ("parquet", "orc", "delta", "iceberg", "hudi")
+
+
 def _require(spark: SparkSession, path: str, extension: str) -> None:
     try:
         spark.read.text(path)
@@ -138,12 +196,8 @@ def _text(name: str) -> str:
     return f"IF({name} IN ({tokens}), NULL, {name})"
 
 
-def type_inference(table: Table) -> DataFrame:
-    """Inferred type of every column of an all-text table, from one aggregate.
-
-    A column is boolean, bigint, decimal(20,0) or double when every non-null
-    cell reads as such, else string; an all-null column is a double.
-    """
+def _measured(table: Table) -> str:
+    """An aggregate: what the cells of each column of an all-text table read as."""
     structs = []
     for i, name in enumerate(table.names):
         text = _text(f"c{i}")
@@ -163,24 +217,55 @@ def type_inference(table: Table) -> DataFrame:
                 numbers=f"count_if({finite} OR {text} RLIKE r'{INFINITY_PATTERN}')",
             )
         )
-    wide = table.frame.agg(F.expr(f"array({', '.join(structs)})").alias("rows"))
-    # Whole numbers too long for 64 bits stay text, as in pandas.
+    return f"array({', '.join(structs)})"
+
+
+# Whole numbers too long for 64 bits stay text, as in pandas.
+_TYPES = (
+    ("double", "non_null_count = 0"),
+    ("boolean", "booleans = non_null_count"),
+    ("bigint", "integers = non_null_count"),
+    ("decimal(20,0)", "unsigneds = non_null_count"),
+    ("double", "numbers = non_null_count AND digits < non_null_count"),
+)
+
+
+def _inferred(row) -> str:
+    """The type of one column, from its row of ``_measured``."""
+    cells = row["non_null_count"]
+    reads = (
+        cells == 0,
+        row["booleans"] == cells,
+        row["integers"] == cells,
+        row["unsigneds"] == cells,
+        row["numbers"] == cells and row["digits"] < cells,
+    )
+    return next((t for (t, _), fits in zip(_TYPES, reads) if fits), "string")
+
+
+def type_inference(table: Table) -> DataFrame:
+    """Inferred type of every column of an all-text table, from one aggregate.
+
+    A column is boolean, bigint, decimal(20,0) or double when every non-null
+    cell reads as such, else string; an all-null column is a double.
+    """
+    wide = table.frame.agg(F.expr(_measured(table)).alias("rows"))
+    whens = " ".join(f"WHEN {condition} THEN '{name}'" for name, condition in _TYPES)
     return wide.selectExpr("inline(rows)").selectExpr(
         "position",
         "column_name",
-        """CASE WHEN non_null_count = 0 THEN 'double'
-            WHEN booleans = non_null_count THEN 'boolean'
-            WHEN integers = non_null_count THEN 'bigint'
-            WHEN unsigneds = non_null_count THEN 'decimal(20,0)'
-            WHEN numbers = non_null_count AND digits < non_null_count THEN 'double'
-            ELSE 'string' END AS inferred_type""",
+        f"CASE {whens} ELSE 'string' END AS inferred_type",
         "non_null_count",
     )
 
 
 def typed(table: Table) -> Table:
     """Apply null tokens and inferred types (one row per column is collected)."""
-    types = {r["position"]: r["inferred_type"] for r in type_inference(table).collect()}
+    rows = type_inference(table).collect()
+    return _with_types(table, {r["position"]: r["inferred_type"] for r in rows})
+
+
+def _with_types(table: Table, types: dict[int, str]) -> Table:
     columns = []
     for i in range(table.column_count):
         text = _text(f"c{i}")

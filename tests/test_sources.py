@@ -70,6 +70,55 @@ def test_bad_sources_raise(spark, tmp_path):
         read_table(spark, "no_such_table", "t")
 
 
+def test_csv_rows_that_do_not_fit_raise(spark, tmp_path):
+    with pytest.raises(ValueError, match="1 rows .* more cells"):
+        read_csv(spark, _csv(tmp_path, "a,b\n1,2\n3,4,5\n6\n"), "t")
+    with pytest.raises(ValueError, match="1 rows .* more cells"):
+        read_csv(spark, _csv(tmp_path, "a,b\n1,2,\n"), "t")
+    short = read_csv(spark, _csv(tmp_path, "a,b\n1,2\n6\n"), "t")
+    assert sorted(map(tuple, short.frame.collect()), key=repr) == [(1, 2), (6, None)]
+
+
+def test_csv_line_breaks_in_cells(spark, tmp_path):
+    path = _csv(tmp_path, 'a,b\n1,"x\ny"\n2,"says ""hi"""\n')
+    with pytest.raises(ValueError, match="multiline=True"):
+        read_csv(spark, path, "t")
+    whole = read_csv(spark, path, "t", multiline=True)
+    assert sorted(map(tuple, whole.frame.collect())) == [(1, "x\ny"), (2, 'says "hi"')]
+
+
+def test_csv_files_share_a_header(spark, tmp_path):
+    folder = tmp_path / "two.csv"
+    folder.mkdir()
+    (folder / "one.csv").write_text("a,b\n1,2\n")
+    (folder / "two.csv").write_text("b,a\n1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, str(folder), "t").frame.collect()
+
+
+def test_lake_sources(spark, tmp_path):
+    df = spark.range(4).selectExpr("id", "id % 2 AS part")
+    df.write.partitionBy("part").parquet(str(tmp_path / "orders_folder"))
+    t = read_parquet(spark, str(tmp_path / "orders_folder"), "t")
+    assert t.columnar and sorted(t.names) == ["id", "part"] and t.frame.count() == 4
+    with pytest.raises(ValueError, match="does not exist"):
+        read_parquet(spark, str(tmp_path / "nowhere"), "t")
+    df.createOrReplaceTempView("a_view")
+    assert not read_table(spark, "a_view", "t").columnar
+
+
+def test_forbidden_keys_in_values(spark, tmp_path):
+    good = "SELECT 1 AS case_id, '{\"kinds\": 1}' AS text, map('a', array('b')) AS m"
+    write_stage(spark.sql(good), str(tmp_path / "good"), fmt="parquet")
+    for bad in (
+        "SELECT 1 AS case_id, '{\"top_values\" : [1]}' AS text",
+        "SELECT 1 AS case_id, map('top_values', 1) AS m",
+        "SELECT 1 AS case_id, array(named_struct('x', '{\"examples\":1}')) AS x",
+    ):
+        with pytest.raises(Exception, match="must not be written"):
+            write_stage(spark.sql(bad), str(tmp_path / "bad"), fmt="parquet")
+
+
 def test_type_inference_rows(spark):
     t = table(spark, [("1", "x"), ("2", "")], "a string, b string")
     rows = {r.column_name: (r.inferred_type, r.non_null_count)
