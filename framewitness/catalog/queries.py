@@ -14,7 +14,6 @@ from framewitness.functions.fixed import KEY_TERMS
 from framewitness.operators import checks, compare, notes, profile, review
 from framewitness.operators import routing, runs, safety
 from framewitness.plans import Investigation, investigate
-from framewitness.sources.stages import stage_table
 from framewitness.sources.tables import Table, type_inference
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +25,23 @@ def query(function: Query) -> Query:
     return function
 
 
+# How to release what the query before kept; its result stays usable, as Spark works it
+# out again. One query's frames are kept at a time, and no result of another is reused.
+_BEFORE: list[Callable[[], object]] = []
+
+
+def _release(closing: Callable[[], object]) -> None:
+    while _BEFORE:
+        _BEFORE.pop()()
+    _BEFORE.append(closing)
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    kept = df.persist()
+    _release(kept.unpersist)
+    return kept
+
+
 def _joined(array: str) -> str:
     return f"array_join({array}, ',')"
 
@@ -257,10 +273,7 @@ def _case_tables(spark, sf) -> list[Table]:
 
 @query
 def candidate_columns(spark, sf):
-    # Written first, so that the join with the cases sees how small it is.
-    kinds = stage_table(
-        profile.profiles(_case_tables(spark, sf), measures=("nulls", "dates")), "kinds"
-    )
+    kinds = profile.profiles(_case_tables(spark, sf), measures=("nulls", "dates"))
     found = routing.candidate_columns(inputs.issue_cases(spark, sf), kinds)
     return found.groupBy("dataset_id", "issue_type", "position", "column_name").agg(
         F.expr("count(1)").alias("case_count")
@@ -326,7 +339,7 @@ _RELATED = f"{_joined('related_columns')} AS related_columns"
 def _current_check(spark, table, statement, check_id, outputs, **options) -> DataFrame:
     facts = checks.table_facts(profile.column_profile(table, **options))
     case = _one_case(spark, statement, table.dataset_id)
-    evidence = checks.case_evidence(case, facts, column_bound=table.column_count)
+    evidence = checks.case_evidence(case, facts)
     ledger = checks.evidence_ledger(evidence)
     return ledger.filter(F.col("check_id") == check_id).selectExpr(*_SIGNAL, *outputs)
 
@@ -665,17 +678,15 @@ def cmp_signal_count_wide(spark, sf):
 
 def _baseline_check(spark, sides, statement, check_id, outputs, **options) -> DataFrame:
     current, baseline = sides
-    # Two readers of one profile: one row per column, written once.
-    staged = stage_table(profile.profiles(sides, **options), "profile")
+    # Two readers of one profile, one row per column, which is kept between them.
+    staged = _kept(profile.profiles(sides, **options))
     pair = spark.range(1).selectExpr(
         f"{quoted(current.dataset_id)} AS current_id",
         f"{quoted(baseline.dataset_id)} AS baseline_id",
     )
     compared = compare.compare(staged, pair)
     case = _one_case(spark, statement, current.dataset_id, baseline.dataset_id)
-    evidence = checks.case_evidence(
-        case, checks.table_facts(staged), compared, column_bound=current.column_count
-    )
+    evidence = checks.case_evidence(case, checks.table_facts(staged), compared)
     ledger = checks.evidence_ledger(evidence)
     return ledger.filter(F.col("check_id") == check_id).selectExpr(
         *_SIGNAL, _RELATED, *outputs
@@ -817,9 +828,11 @@ def ev_baseline_general(spark, sf):
 
 
 def _investigation(spark, sf) -> Investigation:
-    return investigate(
+    found = investigate(
         inputs.issue_cases(spark, sf), _case_tables(spark, sf), inputs.CASE_PAIRS
     )
+    _release(found.close)
+    return found
 
 
 @query

@@ -42,11 +42,6 @@ from framewitness.operators.routing import (
     with_issue_words,
 )
 
-# Up to this many columns in all, facts stay far below what a broadcast may hold:
-# one column is a struct of some 200 bytes, and a pair has no more columns.
-BROADCAST_COLUMNS = 100_000
-_SALTS = 64
-
 _FACTS = (
     "position", "column_name AS name", "lower(column_name) AS folded",
     "inferred_kind AS kind", "is_numeric_type AS is_number", "row_count",
@@ -447,19 +442,13 @@ def _by_type(branches: dict[str, str], otherwise: str) -> str:
     return f"CASE issue_type {whens} ELSE {otherwise} END"
 
 
-def join_small(
-    cases: DataFrame, small: DataFrame, keys: list[str], bounded: bool
-) -> DataFrame:
+def with_shared(cases: DataFrame, shared: DataFrame, keys: list[str]) -> DataFrame:
     """Left join of cases with rows that many cases share.
 
-    Without a known bound the join shuffles; a salt then spreads the cases that
-    share one row, or have none, over many tasks.
+    A plain equi-join: adaptive execution broadcasts the shared rows if their real size
+    allows it, and otherwise splits the keys that very many cases have, null among them.
     """
-    if bounded:
-        return cases.join(F.broadcast(small), keys, "left")
-    salted = cases.withColumn("salt", F.expr(f"pmod(xxhash64(case_id), {_SALTS})"))
-    copies = small.withColumn("salt", F.expr(f"explode(sequence(0L, {_SALTS - 1}L))"))
-    return salted.join(copies, [*keys, "salt"], "left").drop("salt")
+    return cases.join(shared, keys, "left")
 
 
 _CASE_KEYS = (
@@ -469,7 +458,7 @@ _CASE_KEYS = (
 
 
 def case_keys(
-    cases: DataFrame, facts: DataFrame, *, bounded: bool, with_facts: bool = False
+    cases: DataFrame, facts: DataFrame, *, with_facts: bool = False
 ) -> DataFrame:
     """Classified cases with everything their evidence depends on.
 
@@ -489,7 +478,7 @@ def case_keys(
             n -> n.position)
         END"""
     worded = with_issue_words(with_issue_type(cases), reads_names)
-    joined = join_small(worded, names, ["dataset_id"], bounded)
+    joined = with_shared(worded, names, ["dataset_id"])
     kept = [c for c in facts.columns if c != "dataset_id"] if with_facts else []
     found = F.expr(f"coalesce({mentioned}, CAST(array() AS ARRAY<INT>))")
     return joined.select(*_CASE_KEYS, found.alias("mentioned"), *kept)
@@ -499,8 +488,6 @@ def evaluate(
     keyed: DataFrame,
     facts: DataFrame | None,
     comparison: DataFrame | None = None,
-    *,
-    bounded: bool,
 ) -> DataFrame:
     """Adds the evidence items and the checks not run to every row of ``keyed``.
 
@@ -509,7 +496,7 @@ def evaluate(
     rules = F.broadcast(route_rules(keyed.sparkSession))
     joined = keyed.join(rules, "issue_type")
     if facts is not None:
-        joined = join_small(joined, facts, ["dataset_id"], bounded)
+        joined = with_shared(joined, facts, ["dataset_id"])
     current = {t: f"array({', '.join(b())})" for t, b in _CURRENT_ITEMS.items()}
     if comparison is None:
         joined = joined.withColumn("has_baseline", F.lit(False))
@@ -517,7 +504,7 @@ def evaluate(
     else:
         sections = comparison.withColumnRenamed("current_id", "dataset_id")
         keys = ["dataset_id", "baseline_id"]
-        joined = join_small(joined, sections, keys, bounded)
+        joined = with_shared(joined, sections, keys)
         joined = joined.withColumn("has_baseline", F.expr("rows IS NOT NULL"))
         compared = _by_type(_baseline_items(), "NULL")
         baseline = f"IF(has_baseline, array({compared}), {_NO_ITEMS})"
@@ -562,18 +549,12 @@ def case_evidence(
     cases: DataFrame,
     facts: DataFrame,
     comparison: DataFrame | None = None,
-    *,
-    column_bound: int | None = None,
 ) -> DataFrame:
     """One row per case with its evidence items and the checks not run.
 
     ``facts`` has one row per table and ``comparison`` one row per pair.
-    ``column_bound`` is the number of columns behind them, if the caller knows
-    it: a small one lets both be broadcast, so that cases never move.
     """
-    bounded = column_bound is not None and column_bound <= BROADCAST_COLUMNS
-    keyed = case_keys(cases, facts, bounded=bounded, with_facts=True)
-    return evaluate(keyed, None, comparison, bounded=bounded)
+    return evaluate(case_keys(cases, facts, with_facts=True), None, comparison)
 
 
 def _not_run() -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framewitness.functions.expr import quoted, struct_of
 from framewitness.functions.fixed import NOT_SUPPORTED, SUPPORTED, UNCLEAR
-from framewitness.operators.checks import join_small
+from framewitness.operators.checks import with_shared
 from framewitness.operators.safety import holds_blocked_term
 
 # --- Fixed values: (status, stage) of a run -----------------------------------
@@ -70,9 +70,7 @@ def run_status(
     )
 
 
-def run_manifest(
-    reviewed: DataFrame, comparison: DataFrame, *, bounded: bool = False
-) -> DataFrame:
+def run_manifest(reviewed: DataFrame, comparison: DataFrame) -> DataFrame:
     """Counts of everything a case produced."""
     signals = comparison.selectExpr(
         "current_id AS dataset_id",
@@ -81,7 +79,7 @@ def run_manifest(
         "compared_column_count",
     )
     # As for evidence, one row per pair meets very many cases.
-    joined = join_small(reviewed, signals, ["dataset_id", "baseline_id"], bounded)
+    joined = with_shared(reviewed, signals, ["dataset_id", "baseline_id"])
     return joined.selectExpr(
         "case_id",
         "issue_type",

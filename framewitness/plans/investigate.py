@@ -3,30 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewitness.operators import checks, compare, profile, review, runs
-from framewitness.sources.stages import stage_table
 from framewitness.sources.tables import Table
 
 
 # What the outcome of a case depends on.
 _KEY = ("issue_type", "dataset_id", "baseline_id", "mentioned")
-# An outcome holds some ten kilobytes of nested rows.
-BROADCAST_OUTCOMES = 2_000
 
 
 @dataclass(frozen=True)
 class Investigation:
-    """Lazy results. ``reviewed`` has one row per case; the rest is cut from it."""
+    """Lazy results: nothing runs before an output is read.
+
+    ``reviewed`` has one row per case; the rest is cut from it. What several outputs
+    need is kept by the executors from its first use on, and worked out again from the
+    tables if one is lost. ``close`` releases it; the outputs stay usable.
+    """
 
     profile: DataFrame
     comparison: DataFrame
     reviewed: DataFrame
-    bounded: bool
+    kept: tuple[DataFrame, ...] = field(default=(), repr=False)
 
     def evidence(self) -> DataFrame:
         return checks.evidence_ledger(self.reviewed)
@@ -38,7 +40,17 @@ class Investigation:
         return review.findings_summary(self.reviewed)
 
     def runs(self) -> DataFrame:
-        return runs.run_manifest(self.reviewed, self.comparison, bounded=self.bounded)
+        return runs.run_manifest(self.reviewed, self.comparison)
+
+    def close(self) -> None:
+        for frame in self.kept:
+            frame.unpersist()
+
+    def __enter__(self) -> Investigation:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
 
 def investigate(
@@ -51,8 +63,8 @@ def investigate(
     ``cases`` has case_id, issue_statement, dataset_id, baseline_id; ``pairs``
     names the (current, baseline) tables to compare. Profiling is the only pass
     over the data of the tables, and classifying the only pass over the
-    statements. Both results are written to the shared folder, so no later output
-    repeats that work.
+    statements. Cases with the same key share one outcome, which is worked out
+    once; one plan serves any number of cases, tables and columns.
     """
     spark = cases.sparkSession
     tables = list(tables)
@@ -63,35 +75,23 @@ def investigate(
     unknown = {name for pair in pairs for name in pair} - known
     if unknown:
         raise ValueError(f"pairs name unknown tables: {sorted(unknown)}")
-    staged = stage_table(profile.profiles(tables), "profile")
+    profiled = profile.profiles(tables).persist()
     named = spark.createDataFrame(pairs, "current_id string, baseline_id string")
-    compared = stage_table(compare.compare(staged, named), "comparison")
-    facts = checks.table_facts(staged)
-    # A table may be in several pairs, and every pair carries bounded details.
-    columns = sum(table.column_count for table in tables) * max(1, len(pairs))
-    bounded = columns <= checks.BROADCAST_COLUMNS
-    classified = checks.case_keys(cases, facts, bounded=bounded).withColumn(
+    compared = compare.compare(profiled, named).persist()
+    facts = checks.table_facts(profiled)
+    keyed = checks.case_keys(cases, facts).withColumn(
         "outcome_key", F.expr(f"to_json(struct({', '.join(_KEY)}))")
     )
-    # Written once, so that no output classifies the statements again.
-    keyed = stage_table(classified, "cases")
-    # Cases with the same key share one outcome. As long as these are few, each is
-    # worked out once and broadcast; else every case is evaluated where it is.
+    # Kept, so that no output classifies the statements again.
+    keyed = keyed.persist()
     keys = keyed.select(
         F.col("outcome_key").alias("case_id"), "issue_provided", *_KEY
     ).distinct()
-
-    def outcome(rows: DataFrame) -> DataFrame:
-        return review.review(checks.evaluate(rows, facts, compared, bounded=bounded))
-
-    if keys.limit(BROADCAST_OUTCOMES + 1).count() <= BROADCAST_OUTCOMES:
-        outcomes = stage_table(outcome(keys), "outcomes")
-        shared = outcomes.withColumnRenamed("case_id", "outcome_key").drop(
-            "issue_provided", *_KEY
-        )
-        reviewed = keyed.join(F.broadcast(shared), "outcome_key")
-    else:
-        reviewed = outcome(keyed)
+    outcomes = review.review(checks.evaluate(keys, facts, compared)).persist()
+    shared = outcomes.withColumnRenamed("case_id", "outcome_key").drop(
+        "issue_provided", "issue_statement", *_KEY
+    )
+    reviewed = keyed.join(shared, "outcome_key").drop("outcome_key", "mentioned")
     return Investigation(
-        staged, compared, reviewed.drop("outcome_key", "mentioned"), bounded
+        profiled, compared, reviewed, (profiled, compared, keyed, outcomes)
     )

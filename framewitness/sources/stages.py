@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from framewitness.operators.safety import forbidden_fields, guarded
 
@@ -29,23 +28,11 @@ def write_stage(
     writer.save(path)
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write a small derived table to the cluster's shared folder, read it back.
+def stage_table(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """Write a derived table to a folder that all executors share, read it back.
 
-    Later stages then start from the written rows instead of scanning the data
-    again, survive the loss of executors, and Spark sees the real size when it
-    picks a join.
+    Later work then starts from the written rows. The caller owns the folder.
     """
-    spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/framewitness/{name}-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if spark.conf.get("spark.master", "").startswith("local"):
-        return tempfile.mkdtemp(prefix="framewitness-")
-    raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return df.sparkSession.read.schema(df.schema).parquet(path)

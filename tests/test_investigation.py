@@ -257,14 +257,34 @@ def test_bad_arguments(spark):
         investigate(rows, [now], [("now", "before")])
 
 
-def test_many_different_outcomes_are_evaluated_per_case(spark, found, monkeypatch):
-    import importlib
+def _jobs(spark) -> int:
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup("building"))
 
-    plan = importlib.import_module("framewitness.plans.investigate")
-    monkeypatch.setattr(plan, "BROADCAST_OUTCOMES", 3)
+
+def test_building_starts_no_job_and_leaves_nothing(spark):
     now, before = snapshots(spark)
     rows = cases(spark, *[(s, "now", "before") for s in STATEMENTS])
-    direct = investigate(rows, [now, before], [("now", "before")])
-    got = {tuple(r) for r in review.findings_summary(direct.reviewed).collect()}
-    want = review.findings_summary(found.reviewed).filter("case_id < 8").collect()
-    assert got == {tuple(r) for r in want} and len(got) == 7
+    spark.sparkContext.setJobGroup("building", "")
+    try:
+        found = investigate(rows, [now, before], [("now", "before")])
+        outputs = found.evidence(), found.hypotheses(), found.findings(), found.runs()
+        assert _jobs(spark) == 0
+        first = [sorted(map(str, df.collect())) for df in outputs]
+        assert _jobs(spark) > 0
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    found.close()
+    assert not any(frame.is_cached for frame in found.kept)
+    again = found.evidence(), found.hypotheses(), found.findings(), found.runs()
+    assert [sorted(map(str, df.collect())) for df in again] == first
+
+
+def test_one_table_with_all_cases(spark):
+    t = table(spark, [(1, "a"), (2, "a")], "order_id int, label string", "t")
+    many = spark.range(5_000).selectExpr(
+        "id AS case_id", "'Order keys keep repeating, case ' || id AS issue_statement",
+        "IF(id % 10 = 0, NULL, 't') AS dataset_id", "CAST(NULL AS STRING) AS baseline_id",
+    )
+    with investigate(many, [t]) as found:
+        assert found.reviewed.count() == 5_000
+        assert found.evidence().filter("check_id = 'key_null_summary'").count() == 4_500

@@ -129,7 +129,7 @@ def test_type_inference_rows(spark):
 def test_stage_tables_keep_schema_and_refuse_forbidden_fields(spark, tmp_path):
     t = table(spark, [(1, "x"), (2, None)], "a int, b string")
     profile = P.column_profile(t)
-    staged = stage_table(profile, "test")
+    staged = stage_table(profile, str(tmp_path), "test")
     assert staged.dtypes == profile.dtypes and staged.count() == 2
     out = str(tmp_path / "out")
     rows = spark.createDataFrame([(1, "x")], "case_id int, check_id string")
