@@ -13,12 +13,15 @@ by rarity, as a count-min sketch of all shingles of fixed size estimates it, so
 passage in a third of all documents is in no signature unless a set has little else.
 Sets of up to ``SMALL`` shingles get so many partitions that each holds one shingle.
 
-Links. The first round verifies one pair per set: with the smallest set it shares a
-signature with. The second verifies every set with the smallest of each of its groups,
-the third all pairs of groups whose sets are still in different components, which a link
-could join. No pair inside one component is looked at: it can't change the result. Pairs
-are verified exactly, with the shingles of the whole texts. Texts are shuffled once a
-round; a set that many pairs need is copied to slices of them.
+Links. Groups with the same members count once. The first round verifies one pair per
+set: with the smallest set it shares a signature with. The second verifies every set with
+the smallest of each of its groups, the third the pairs of groups whose sets are still in
+different components, which a link could join. No pair inside one component is looked at:
+it can't change the result. The third round leaves out, inside a task, the pairs that a
+parity sketch excludes: each shingle flips one bit, so that two sketches differ in no more
+bits than the sets do in shingles. Groups above ``BLOCK`` sets are compared block by
+block. Pairs are verified exactly, with the shingles of the whole texts; a set that many
+pairs need is copied to slices of them.
 
 Defined results: words are runs of other characters than ``[\\x20\\x09-\\x0D]``, A-Z in
 lower case; under five words the whole sequence is one shingle; without words (null,
@@ -48,6 +51,10 @@ SMALL = 128
 CELLS = 1 << 20
 #: Pairs that one copy of a text serves.
 SLICE = 500
+#: Sets of a group that are compared in one task.
+BLOCK = 20_000
+#: Documents whose numbers may be broadcast, 8 bytes each; beyond it a join is shuffled.
+FEW = 1_000_000
 
 
 def _blocks(batch, name="text"):
@@ -104,6 +111,37 @@ def differing(size, other):
     return (size + other) // 7
 
 
+def partitions(top: np.ndarray) -> np.ndarray:
+    """Partitions of the domain for an instance with sets up to this size.
+
+    The fewer, the more a signature says; but more than k of a set's must hold a shingle.
+    The expected surplus is seven standard deviations or more; up to SMALL it is certain.
+    """
+    most = differing(top, top)
+    share = np.where(most >= 97, 1.3, np.where(most >= 49, 1.6, 2.0))
+    return np.where(top <= SMALL, 1 << 40, np.ceil(share * (most + 1))).astype(np.uint64)
+
+
+def parity_sketches(values, cuts) -> list[bytes]:
+    """One bit string per set, about as many bits as shingles: each flips one."""
+    sizes = np.diff(cuts)
+    bits = 64 * (1 << np.ceil(np.log2(np.maximum(sizes, 64) / 64)).astype(int))
+    base = np.append(0, np.cumsum(bits))
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    spot = mixed(values ^ np.uint64(0x5C5C5C5C5C5C5C5C)) & (bits[text] - 1).astype(np.uint64)
+    flips = np.bincount(base[text] + spot.astype(np.int64), minlength=base[-1]) & 1
+    packed = np.packbits(flips.astype(np.uint8)).tobytes()
+    return [packed[a:b] for a, b in zip(base // 8, base[1:] // 8)]
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch with fewer bits: both halves over each other, as often as needed."""
+    words = np.frombuffer(sketch, np.uint64)
+    while len(words) > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
 def signatures(values, cuts, rank):
     """(text, signature) of all sets of a block; ``rank`` is how common a shingle is."""
     sizes = np.diff(cuts)
@@ -114,7 +152,7 @@ def signatures(values, cuts, rank):
         other = top if step == 0 else np.minimum(top, sizes * SIMILAR[1] // SIMILAR[0])
         most = differing(sizes, other)
         # The same for all sets of an instance: it follows from the band's largest size.
-        cells = np.where(top <= SMALL, 1 << 40, 3 * (differing(top, top) + 1)).astype(np.uint64)
+        cells = partitions(top)
         text = np.repeat(np.arange(len(sizes)), sizes)
         part = mixed(values + instance[text].astype(np.uint64)) % cells[text]
         order = np.lexsort((part, text))
@@ -175,7 +213,7 @@ def _nodes(docs: DataFrame) -> DataFrame:
 
 
 def sizes_and_keys(docs: DataFrame) -> DataFrame:
-    """One narrow row per document: node, n_shingles and the hashes of its set."""
+    """One narrow row per document: node, n_shingles, hashes and sketch of its set."""
 
     def run(batches):
         for batch in batches:
@@ -186,15 +224,18 @@ def sizes_and_keys(docs: DataFrame) -> DataFrame:
                 size = rows.stop - rows.start
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(rows.start, size), batch.column("node").slice(rows.start, size)]
-                    + [pa.array(np.diff(cuts), pa.int64()), pa.array(first), pa.array(second)],
-                    names=["doc_id", "node", "n_shingles", "h1", "h2"],
+                    + [pa.array(np.diff(cuts), pa.int64()), pa.array(first), pa.array(second)]
+                    + [pa.array(parity_sketches(values, cuts), pa.binary())],
+                    names=["doc_id", "node", "n_shingles", "h1", "h2", "sketch"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, node long, n_shingles long, h1 long, h2 long")
+    schema = "doc_id long, node long, n_shingles long, h1 long, h2 long, sketch binary"
+    return docs.mapInArrow(run, schema)
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """The groups of documents with a common signature: ``part`` tells groups apart."""
+    """The groups of documents with a common signature, equal ones once: token, node and
+    pivot, the smallest node."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(sketch(docs))
     n = parts(spark)
@@ -254,17 +295,18 @@ def groups(docs: DataFrame) -> DataFrame:
         group[1:] = (tokens[1:] != tokens[:-1]) | (own[1:] != own[:-1])
         new = group.copy()
         new[1:] |= nodes[1:] != nodes[:-1]
-        nodes, group, tokens = nodes[new], np.flatnonzero(group[new]), tokens[new]
+        nodes, group = nodes[new], np.flatnonzero(group[new])
         counts = np.diff(np.append(group, len(nodes)))
-        for number in range(0, len(group), 1 << 16):
-            some = slice(number, number + (1 << 16))
-            wide = np.flatnonzero(counts[some] > 1) + number
-            if not len(wide):
-                continue
+        # A group is known by its members, so that many signatures make one group.
+        tokens = mixed(np.add.reduceat(mixed(nodes.view(np.uint64)), group) + counts.astype(np.uint64))
+        several = np.flatnonzero(counts > 1)
+        several = several[np.unique(tokens[several], return_index=True)[1]]
+        for begin in range(0, len(several), 1 << 16):
+            wide = several[begin : begin + (1 << 16)]
             sizes = counts[wide]
             inside = np.repeat(group[wide] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(tokens[group[wide]], sizes).view(np.int64)), pa.array(nodes[inside]), pa.array(np.repeat(nodes[group[wide]], sizes))],
+                [pa.array(np.repeat(tokens[wide], sizes).view(np.int64)), pa.array(nodes[inside]), pa.array(np.repeat(nodes[group[wide]], sizes))],
                 names=["token", "node", "pivot"],
             )
 
@@ -272,11 +314,10 @@ def groups(docs: DataFrame) -> DataFrame:
     return packed.mapInArrow(gather, "token long, node long, pivot long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sets are similar; v may be in many of them."""
-    spark = docs.sparkSession
-    n = parts(spark)
-    texts = docs.select("node", "text").repartition(n, "node")
+    n = parts(texts.sparkSession)
+    texts = texts.repartition(n, "node")
     pairs = written(pairs.select("u", "v").distinct(), "pairs")
     often = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
     right = (
@@ -323,6 +364,63 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
 
 
+def across_components(labelled: DataFrame) -> DataFrame:
+    """Pairs of one group in different components that sizes and sketches allow: (u, v).
+
+    ``labelled`` has token, node, root, least, most and sketch (null: any).
+    """
+    spark = labelled.sparkSession
+    counts = labelled.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = counts.where("blocks > 1")
+    own = F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(F.lit(0))
+    units = labelled.join(blocks, "token", "left").withColumn("own", own.cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+    units = units.withColumn("other", other).select(
+        "token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        "own", "node", "root", "least", "most", "sketch",
+    )
+
+    def run(batches):
+        tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+        if not tables:
+            return
+        rows = pa.concat_tables(tables).combine_chunks()
+        order = np.lexsort(tuple(rows[c].to_numpy() for c in ("high", "low", "token")))
+        token, low, high, own, node, root, least, most = (
+            rows[c].to_numpy()[order]
+            for c in ("token", "low", "high", "own", "node", "root", "least", "most")
+        )
+        sketches = rows["sketch"].take(pa.array(order)).to_pylist()
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        cuts = np.append(np.flatnonzero(new), len(token)).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            known = np.array([x is not None for x in sketches[a:b]])
+            words = min((len(x) // 8 for x in sketches[a:b] if x is not None), default=1)
+            bits = np.stack([folded(x, words) if x is not None else np.zeros(words, np.uint64) for x in sketches[a:b]])
+            found = []
+            for i in range(b - a - 1):
+                j = slice(a + i + 1, b)
+                num, den = SIMILAR
+                fits = (root[j] != root[a + i]) & (num * least[j] <= den * most[a + i]) & (num * least[a + i] <= den * most[j])
+                if low[a] != high[a]:
+                    fits &= own[j] != own[a + i]
+                at = np.flatnonzero(fits)
+                if len(at):
+                    apart = np.bitwise_count(bits[i + 1 + at] ^ bits[i]).sum(1)
+                    near = apart <= differing(most[a + i], most[j][at])
+                    at = at[near | ~known[i] | ~known[i + 1 + at]]
+                    found.append(np.stack([np.full(len(at), i), i + 1 + at]))
+            if found:
+                one, two = node[a:b][np.concatenate(found, 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], names=["u", "v"]
+                )
+
+    dealt = units.repartition(parts(spark), "token", "low", "high")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
 def links(docs: DataFrame, narrow: DataFrame) -> DataFrame:
     """Components of the similarity graph over nodes: (node, root)."""
     full = narrow.where("n_shingles > 0")
@@ -330,30 +428,36 @@ def links(docs: DataFrame, narrow: DataFrame) -> DataFrame:
     # Copies are linked with the smallest of them and need no verification.
     copies = full.join(classes, ["h1", "h2", "n_shingles"]).select(F.col("node").alias("u"), F.col("rep").alias("v"))
     rep = written(copies.where("u <> v").distinct(), "copies")
-    found = groups(docs)
-    found = found.join(rep.select(F.col("u").alias("node"), "v"), "node", "left")
+    found = written(groups(docs).distinct(), "groups")
+    reps = rep.groupBy("u").agg(F.min("v").alias("v"))
+    found = found.join(reps.withColumnRenamed("u", "node"), "node", "left")
     found = found.select("token", F.coalesce("v", "node").alias("node"), "pivot")
-    found = found.join(rep.select(F.col("u").alias("pivot"), "v"), "pivot", "left")
-    found = written(found.select("token", "node", F.coalesce("v", "pivot").alias("pivot")), "groups")
-    size = full.groupBy("node").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    found = found.join(reps.withColumnRenamed("u", "pivot"), "pivot", "left")
+    found = written(found.select("token", "node", F.coalesce("v", "pivot").alias("pivot")).distinct(), "groups")
+    size = full.groupBy("node").agg(
+        F.min("n_shingles").alias("least"),
+        F.max("n_shingles").alias("most"),
+        F.when(F.count(F.lit(1)) == 1, F.first("sketch")).alias("sketch"),
+    )
+    needed = found.select("node").union(found.select("pivot")).distinct()
+    if needed.count() <= FEW:
+        needed = F.broadcast(needed)
+    texts = written(docs.select("node", "text").join(needed, "node", "left_semi"), "texts")
     stars = found.where("node <> pivot").select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v"))
     stars = written(_possible(stars.distinct(), size), "stars")
     first = stars.groupBy("u").agg(F.min("v").alias("v"))
-    edges = written(rep.unionByName(verified(docs, first)), "edges")
+    edges = written(rep.unionByName(verified(texts, first)), "edges")
     roots = written(components(edges), "roots")
     rest = _between(stars.join(first, ["u", "v"], "left_anti"), roots)
-    edges = written(edges.unionByName(verified(docs, rest)), "edges")
+    edges = written(edges.unionByName(verified(texts, rest)), "edges")
     roots = written(components(edges), "roots")
     # Groups that still hold several components, all pairs across them but the stars.
     labelled = found.select("token", "node").distinct().join(roots, "node", "left")
     labelled = labelled.select("token", "node", F.coalesce("root", "node").alias("root"))
-    open_groups = labelled.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"))
-    labelled = labelled.join(open_groups.where("a <> b").select("token"), "token", "left_semi")
-    one = labelled.select("token", F.col("node").alias("u"), F.col("root").alias("u_root"))
-    two = labelled.select("token", F.col("node").alias("v"), F.col("root").alias("v_root"))
-    across = one.join(two, "token").where("u > v AND u_root <> v_root").select("u", "v").distinct()
-    across = _possible(across.join(stars, ["u", "v"], "left_anti"), size)
-    edges = written(edges.unionByName(verified(docs, across)), "edges")
+    several = labelled.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+    labelled = labelled.join(several.where("a <> b").select("token"), "token", "left_semi")
+    across = across_components(labelled.join(size, "node")).join(stars, ["u", "v"], "left_anti")
+    edges = written(edges.unionByName(verified(texts, across)), "edges")
     return components(edges)
 
 
