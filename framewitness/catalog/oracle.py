@@ -1125,6 +1125,24 @@ ORACLE["hypotheses"] = _reviewed(
     f"""SELECT c.case_id, hypothesis_id, status, signal_level, supporting, contradicting,
     inconclusive FROM {_joined_cases('hyp')}"""
 )
+_SAID = ", ".join(
+    f"('{t}', {n}, {_q(rule['statement'])})"
+    for t, rules in wording.HYPOTHESES.items()
+    for n, rule in enumerate(rules, start=1)
+)
+
+
+def _shown(ids: str) -> str:
+    return f"CASE WHEN {ids} = '' THEN 'None' ELSE replace({ids}, ',', ', ') END AS {ids}"
+
+
+ORACLE["report_hypothesis_rows"] = _reviewed(
+    f"""SELECT c.case_id, hypothesis_id, status, signal_level, said.statement,
+    {_shown('supporting')}, {_shown('contradicting')}, {_shown('inconclusive')}
+    FROM {_joined_cases('hyp')}
+    JOIN said ON said.issue_type = x.issue_type AND said.n = x.n""",
+    f"said(issue_type, n, statement) AS (VALUES {_SAID})",
+)
 _COUNTS = ", ".join(
     f"count(*) FILTER (x.status = '{s}') AS {s}" for s in fixed.HYPOTHESIS_STATUSES
 )
@@ -1272,8 +1290,15 @@ _HYPS = f"""hc AS (SELECT c.case_id, count(*) AS hyps,
     oc AS (SELECT c.case_id, count(*) AS opens FROM {_joined_cases('open')} GROUP BY 1)"""
 ORACLE["safe_summary"] = _reviewed(
     """SELECT case_id, c.issue_type, items AS evidence_count, hyps AS hypothesis_count,
-    opens AS unclear_count, checks_n AS check_count, true AS is_safe
+    opens AS unclear_count, checks_n AS check_count, true AS is_safe,
+    statement, u.n AS current_rows, u.cols AS current_columns,
+    coalesce(v.n, -1) AS baseline_rows, coalesce(v.cols, -1) AS baseline_columns,
+    checks AS executed, coalesce(not_run, 0) AS not_run,
+    sup AS supported_by_evidence, nos AS not_supported_by_evidence, unc AS unclear,
+    hyps - sup - nos - unc AS not_assessed
     FROM cases c JOIN ec USING (case_id) JOIN hc USING (case_id) JOIN oc USING (case_id)
+    LEFT JOIN nc USING (case_id) JOIN sums u ON u.dataset_id = c.ds
+    LEFT JOIN sums v ON v.dataset_id = c.bs
     JOIN (SELECT issue_type, count(*) AS checks_n FROM texts GROUP BY 1) t
     ON t.issue_type = c.issue_type""",
     _plan(),

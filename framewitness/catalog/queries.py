@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from framewitness.catalog import inputs
 from framewitness.functions.expr import quoted
-from framewitness.functions.fixed import KEY_TERMS
+from framewitness.functions.fixed import HYPOTHESIS_STATUSES, KEY_TERMS
 from framewitness.operators import checks, compare, notes, profile, review
 from framewitness.operators import routing, runs, safety
 from framewitness.plans import Investigation, investigate
@@ -925,6 +925,13 @@ def report_evidence_rows(spark, sf):
     )
 
 
+@query
+def report_hypothesis_rows(spark, sf):
+    return review.report_hypothesis_rows(_investigation(spark, sf).reviewed).drop(
+        "rationale"
+    )
+
+
 # --- safety -------------------------------------------------------------------
 
 
@@ -973,7 +980,23 @@ def validate_notes(spark, sf):
 
 @query
 def safe_summary(spark, sf):
-    return runs.safe_summary(_investigation(spark, sf).reviewed).drop("payload")
+    summaries = runs.safe_summary(_investigation(spark, sf).reviewed)
+
+    def field(path: str, name: str) -> str:
+        return f"coalesce(bigint(get_json_object(payload, '$.{path}')), -1L) AS {name}"
+
+    context, evidence = "run_context", "evidence_summary"
+    return summaries.selectExpr(
+        "* EXCEPT (payload)",
+        "get_json_object(payload, '$.issue.statement') AS statement",
+        field(f"{context}.current_row_count", "current_rows"),
+        field(f"{context}.current_column_count", "current_columns"),
+        field(f"{context}.baseline_row_count", "baseline_rows"),
+        field(f"{context}.baseline_column_count", "baseline_columns"),
+        field(f"{evidence}.checks_executed_count", "executed"),
+        field(f"{evidence}.checks_not_run_count", "not_run"),
+        *[field(f"hypothesis_summary.{status}", status) for status in HYPOTHESIS_STATUSES],
+    )
 
 
 @query

@@ -499,13 +499,26 @@ def evaluate(
         joined = with_shared(joined, facts, ["dataset_id"])
     current = {t: f"array({', '.join(b())})" for t, b in _CURRENT_ITEMS.items()}
     if comparison is None:
-        joined = joined.withColumn("has_baseline", F.lit(False))
+        nothing = F.lit(None).cast("bigint")
+        joined = joined.withColumns(
+            {
+                "has_baseline": F.lit(False),
+                "baseline_row_count": nothing,
+                "baseline_column_count": nothing,
+            }
+        )
         baseline = _NO_ITEMS
     else:
         sections = comparison.withColumnRenamed("current_id", "dataset_id")
         keys = ["dataset_id", "baseline_id"]
         joined = with_shared(joined, sections, keys)
-        joined = joined.withColumn("has_baseline", F.expr("rows IS NOT NULL"))
+        joined = joined.withColumns(
+            {
+                "has_baseline": F.expr("rows IS NOT NULL"),
+                "baseline_row_count": F.expr("rows.baseline"),
+                "baseline_column_count": F.expr("column_counts.baseline"),
+            }
+        )
         compared = _by_type(_baseline_items(), "NULL")
         baseline = f"IF(has_baseline, array({compared}), {_NO_ITEMS})"
     rule = candidate_rule(
@@ -535,6 +548,8 @@ def evaluate(
             "has_baseline",
             "row_count",
             "column_count",
+            "baseline_row_count",
+            "baseline_column_count",
             F.expr(pick("candidates", "name")).alias("candidate_columns"),
             "planned_checks",
             "evidence",

@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewitness.functions.expr import quoted, struct_of
-from framewitness.functions.fixed import NOT_SUPPORTED, SUPPORTED, UNCLEAR
+from framewitness.functions.fixed import (
+    HYPOTHESIS_STATUSES,
+    NOT_SUPPORTED,
+    SUPPORTED,
+    UNCLEAR,
+)
 from framewitness.operators.checks import with_shared
 from framewitness.operators.safety import holds_blocked_term
 
@@ -127,9 +132,19 @@ def safe_summary(reviewed: DataFrame) -> DataFrame:
             current_row_count="row_count",
             current_column_count="column_count",
             baseline_available="has_baseline",
+            baseline_row_count="baseline_row_count",
+            baseline_column_count="baseline_column_count",
+        ),
+        evidence_summary=struct_of(
+            evidence_item_count="counts.evidence",
+            checks_executed_count="counts.checks_executed",
+            checks_not_run_count="counts.not_run",
+            evidence_items=items,
+        ),
+        hypothesis_summary=struct_of(
+            **{status: f"counts.{status}" for status in HYPOTHESIS_STATUSES},
+            hypotheses=rules,
         ),
-        evidence_items=items,
-        hypotheses=rules,
         findings=struct_of(
             finding_status="'review_required'",
             supported_signal_count="counts.supported_signals",
