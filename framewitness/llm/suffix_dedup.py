@@ -45,13 +45,18 @@ PIECE = 1 << 22
 INDEX_BYTES = 1 << 21
 _LAST = np.iinfo(np.int64).max
 
-_SPOT = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("id", "<i8"), ("key", "<i8"), ("start", "<i4"), ("more", "<i4")])
+#: Anchors and contexts are 48 bits wide; a context counts within its anchor only.
+_SPOT = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("id", "<i8"), ("key", "<i4"), ("start", "<i4"), ("more", "u1"), ("flag", "u1")])
+_FOUND = ("anchor", "context", "id", "key", "start", "more")
+_DEALT = ("anchor", "id", "key", "start", "more", "flag")
+_SETTLED, _STILL, _HOT = range(3)
+_CUT = np.uint64(16)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     """Rows are known by doc_id and text, so that rows of one doc_id don't mix."""
     docs = only_text(docs)
-    return docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("key"), "text")
+    return docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.hash("text").alias("key"), "text")
 
 
 def _blocks(batch):
@@ -77,7 +82,7 @@ def _pack(rows: np.ndarray, bucket: np.ndarray, names, extra: list[bytes] | None
     rows, bucket = rows[order], bucket[order]
     heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     cuts = np.append(heads, len(rows))
-    blobs = [b"".join(rows[name][a:b].tobytes() for name in names) for a, b in zip(cuts, cuts[1:])]
+    blobs = [b"".join(_column(rows, name, a, b) for name in names) for a, b in zip(cuts, cuts[1:])]
     columns = [pa.array(bucket[heads], pa.int32()), pa.array(np.diff(cuts), pa.int32()), pa.array(blobs, pa.binary())]
     if extra is not None:
         contexts = [extra[i] for i in order.tolist()]
@@ -85,14 +90,30 @@ def _pack(rows: np.ndarray, bucket: np.ndarray, names, extra: list[bytes] | None
     return pa.RecordBatch.from_arrays(columns, names=["bucket", "n", "blob", "bytes"][: len(columns)])
 
 
+def _column(rows, name, a, b) -> bytes:
+    values = rows[name][a:b]
+    if name in ("anchor", "context"):
+        return values.astype("<u4").tobytes() + (values >> np.uint64(32)).astype("<u2").tobytes()
+    return values.tobytes()
+
+
 def _unpack(blob: bytes, n: int, names) -> np.ndarray:
     rows, at = np.zeros(n, _SPOT), 0
     for name in names:
-        rows[name] = np.frombuffer(blob, _SPOT[name], n, at)
-        at += n * _SPOT[name].itemsize
+        if name in ("anchor", "context"):
+            low = np.frombuffer(blob, "<u4", n, at).astype(np.uint64)
+            rows[name] = low | np.frombuffer(blob, "<u2", n, at + 4 * n).astype(np.uint64) << np.uint64(32)
+            at += 6 * n
+        else:
+            rows[name] = np.frombuffer(blob, _SPOT[name], n, at)
+            at += n * _SPOT[name].itemsize
     return rows
 
 
+def _bucket(anchors: np.ndarray, buckets: int) -> np.ndarray:
+    return ((anchors >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32)
+
+
 def _starts_of(rows: np.ndarray, *names: str) -> np.ndarray:
     new = np.ones(len(rows), bool)
     if len(rows):
@@ -121,42 +142,58 @@ def spots(docs: DataFrame, window: int, gram: int, buckets: int) -> DataFrame:
                         continue
                     text = np.searchsorted(bounds, a, "right") - 1
                     rows = np.zeros(len(p), _SPOT)
-                    rows["anchor"] = grams[p]
-                    rows["context"] = mixed(hashes.of(a, b + window) ^ (p - a).astype(np.uint64))
+                    rows["anchor"] = grams[p] >> _CUT
+                    rows["context"] = mixed(hashes.of(a, b + window) ^ (p - a).astype(np.uint64)) >> _CUT
                     rows["id"], rows["key"] = ids[at[text]], keys[at[text]]
                     rows["start"], rows["more"] = a - bounds[text] + shift, b - a
-                    yield _pack(rows, ((rows["anchor"] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32), _SPOT.names)
+                    yield _pack(rows, _bucket(rows["anchor"], buckets), _FOUND)
 
     return docs.mapInArrow(run, "bucket int, n int, blob binary")
 
 
-def _per_document(settled: np.ndarray, still: np.ndarray, hot: np.ndarray):
-    """One Arrow row per document: settled (start, more) pairs; open anchors, starts, mores, hot."""
-    both = np.concatenate([settled, still])
-    tag = np.concatenate([np.zeros(len(settled), bool), np.ones(len(still), bool)])
-    flag = np.concatenate([np.zeros(len(settled), bool), hot])
-    order = np.lexsort((both["start"], both["key"], both["id"]))
-    both, tag, flag = both[order], tag[order], flag[order]
-    cuts = np.append(_starts_of(both, "id", "key"), len(both))
-    spans, opens = [], []
-    for a, b in zip(cuts, cuts[1:]):
-        some, on = both[a:b], tag[a:b]
-        spans.append(np.stack([some["start"][~on], some["more"][~on]], 1).tobytes())
-        o = some[on]
-        opens.append(o["anchor"].tobytes() + o["start"].tobytes() + o["more"].astype(np.uint8).tobytes() + flag[a:b][on].tobytes())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(both["id"][cuts[:-1]]), pa.array(both["key"][cuts[:-1]]), pa.array(spans, pa.binary()), pa.array(opens, pa.binary())],
-        names=["id", "key", "spans", "open"],
-    )
+def _dealt(rows: np.ndarray, buckets: int):
+    """Rows packed by their document."""
+    spread = mixed(rows["id"].view(np.uint64) + rows["key"].astype(np.uint64))
+    return _pack(rows, (spread % np.uint64(buckets)).astype(np.int32), _DEALT)
+
+
+def by_document(packed: DataFrame) -> DataFrame:
+    """One row per document: settled (start, more) pairs; open anchors, starts, mores, hot."""
+
+    def run(batches):
+        found = [
+            _unpack(blob, n, _DEALT)
+            for batch in batches
+            for n, blob in zip(batch.column("n").to_pylist(), batch.column("blob").to_pylist())
+        ]
+        if not found:
+            return
+        rows = np.concatenate(found)
+        rows = rows[np.lexsort((rows["start"], rows["key"], rows["id"]))]
+        cuts = np.append(_starts_of(rows, "id", "key"), len(rows))
+        spans, opens = [], []
+        for a, b in zip(cuts, cuts[1:]):
+            some = rows[a:b]
+            done = some[some["flag"] == _SETTLED]
+            spans.append(np.stack([done["start"], done["more"]], 1).astype("<i4").tobytes())
+            o = some[some["flag"] != _SETTLED]
+            opens.append(o["anchor"].tobytes() + o["start"].tobytes() + o["more"].tobytes() + (o["flag"] == _HOT).tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows["id"][cuts[:-1]]), pa.array(rows["key"][cuts[:-1]]), pa.array(spans, pa.binary()), pa.array(opens, pa.binary())],
+            names=["id", "key", "spans", "open"],
+        )
+
+    dealt = packed.repartition(parts(packed.sparkSession), "bucket")
+    return dealt.mapInArrow(run, "id long, key int, spans binary, open binary")
 
 
-def settle(packed: DataFrame, hot: int) -> DataFrame:
-    """Per document: the windows that whole contexts settle, and the occurrences left."""
+def settle(packed: DataFrame, hot: int, buckets: int) -> DataFrame:
+    """The windows that whole contexts settle, and the occurrences left, by document."""
 
     def run(batches):
         found = []
         for batch in batches:
-            found += [_unpack(blob, n, _SPOT.names) for n, blob in zip(batch.column("n").to_pylist(), batch.column("blob").to_pylist())]
+            found += [_unpack(blob, n, _FOUND) for n, blob in zip(batch.column("n").to_pylist(), batch.column("blob").to_pylist())]
         if not found:
             return
         rows = np.concatenate(found)
@@ -172,10 +209,12 @@ def settle(packed: DataFrame, hot: int) -> DataFrame:
         by_context = np.repeat(np.where(last > first, several, 0), several)
         contexts = _each(by_context, heads, len(rows))
         still = ~repeated & (contexts > 1)
-        if repeated.any() or still.any():
-            yield _per_document(rows[repeated], rows[still], contexts[still] > hot)
+        rows["flag"] = np.where(still, np.where(contexts > hot, _HOT, _STILL), _SETTLED)
+        rows = rows[repeated | still]
+        if len(rows):
+            yield _dealt(rows, buckets)
 
-    return packed.mapInArrow(run, "id long, key long, spans binary, open binary")
+    return by_document(packed.mapInArrow(run, "bucket int, n int, blob binary"))
 
 
 def contexts(joined: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -187,7 +226,7 @@ def contexts(joined: DataFrame, window: int, buckets: int) -> DataFrame:
             for at, buffer, bounds in _blocks(batch):
                 data, some, out = buffer.tobytes(), [], []
                 for k, i in enumerate(at.tolist()):
-                    for blob in opened[i]:
+                    if blob := opened[i]:
                         n = len(blob) // 14
                         anchor = np.frombuffer(blob, "<u8", n)
                         start = np.frombuffer(blob, "<i4", n, 8 * n)
@@ -197,7 +236,7 @@ def contexts(joined: DataFrame, window: int, buckets: int) -> DataFrame:
                             sizes = more[hot] + 1
                             single = np.repeat(start[hot], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                             text = buffer[bounds[k] : bounds[k + 1]]
-                            own = Rolling(byte_values(text)).of(single, single + window)
+                            own = Rolling(byte_values(text)).of(single, single + window) >> _CUT
                             anchor = np.concatenate([anchor[~hot], own])
                             start, more = np.concatenate([start[~hot], single]), np.concatenate([more[~hot], np.zeros(len(single), np.int32)])
                         rows = np.zeros(len(anchor), _SPOT)
@@ -207,7 +246,7 @@ def contexts(joined: DataFrame, window: int, buckets: int) -> DataFrame:
                         out += [data[s : s + m + window] for s, m in zip(begin, more.tolist())]
                 if some:
                     rows = np.concatenate(some)
-                    yield _pack(rows, ((rows["anchor"] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32), _OPEN, out)
+                    yield _pack(rows, _bucket(rows["anchor"], buckets), _OPEN, out)
 
     return joined.mapInArrow(run, "bucket int, n int, blob binary, bytes binary")
 
@@ -311,8 +350,8 @@ def marked(contexts: list[bytes], ids: np.ndarray, window: int) -> list[np.ndarr
     return [where[a:b] - s for a, b, s in zip(cuts, cuts[1:], begins)]
 
 
-def index_buckets(packed: DataFrame, window: int) -> DataFrame:
-    """Per document: the windows marked by the bucket's indexes."""
+def index_buckets(packed: DataFrame, window: int, buckets: int) -> DataFrame:
+    """Per document: the windows marked by the buckets' indexes."""
 
     def run(batches):
         found, data = [], []
@@ -320,7 +359,7 @@ def index_buckets(packed: DataFrame, window: int) -> DataFrame:
             for n, blob, own in zip(*(batch.column(c).to_pylist() for c in ("n", "blob", "bytes"))):
                 rows = _unpack(blob, n, _OPEN)
                 found.append(rows)
-                cuts = np.append(0, np.cumsum(rows["more"] + window)).tolist()
+                cuts = np.append(0, np.cumsum(rows["more"].astype(np.int64) + window)).tolist()
                 data += [own[a:b] for a, b in zip(cuts, cuts[1:])]
         if not found:
             return
@@ -330,15 +369,15 @@ def index_buckets(packed: DataFrame, window: int) -> DataFrame:
         heads = np.append(_starts_of(rows, "anchor"), len(rows)).tolist()
         out, begin, size = [], 0, 0
         for a, b in zip(heads, heads[1:]):
-            size += int((rows["more"][a:b] + window).sum())
+            size += int(rows["more"][a:b].sum(dtype=np.int64)) + window * (b - a)
             if size >= INDEX_BYTES or b == len(rows):
                 out.append(_marked_rows(rows[begin:b], data[begin:b], window))
                 begin, size = b, 0
         out = np.concatenate(out)
         if len(out):
-            yield _per_document(out, out[:0], np.zeros(0, bool))
+            yield _dealt(out, buckets)
 
-    return packed.mapInArrow(run, "id long, key long, spans binary, open binary").drop("open")
+    return by_document(packed.mapInArrow(run, "bucket int, n int, blob binary")).drop("open")
 
 
 def _marked_rows(rows: np.ndarray, data: list[bytes], window: int) -> np.ndarray:
@@ -352,7 +391,7 @@ def _marked_rows(rows: np.ndarray, data: list[bytes], window: int) -> np.ndarray
     marks = marked(distinct, least, window)
     # A context that is in several rows of different ids: the larger ones are settled whole.
     for i, c in enumerate(which.tolist()):
-        offsets = marks[c] if rows["id"][i] == least[c] else np.arange(rows["more"][i] + 1)
+        offsets = marks[c] if rows["id"][i] == least[c] else np.arange(int(rows["more"][i]) + 1)
         if len(offsets):
             breaks = np.flatnonzero(np.diff(offsets) > 1)
             begins, ends = offsets[np.append(0, breaks + 1)], offsets[np.append(breaks, len(offsets) - 1)]
@@ -369,12 +408,12 @@ def deduped(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     docs, n = _rows(docs), parts(spark)
     buckets = 8 * n
     packed = spots(docs, window, gram, buckets).repartition(n, "bucket")
-    settled = written(settle(packed, hot), "settled")
+    settled = written(settle(packed, hot, buckets), "settled")
     # One exchange of the texts serves both joins.
     placed = docs.repartition(n, "id", "key")
-    left = settled.where(F.length("open") > 0).groupBy("id", "key").agg(F.collect_list("open").alias("open"))
+    left = settled.where(F.length("open") > 0).select("id", "key", "open")
     joined = placed.join(left.hint("shuffle_hash"), ["id", "key"]).select("doc_id", "id", "key", "text", "open")
-    indexed = index_buckets(contexts(joined, window, buckets).repartition(n, "bucket"), window)
+    indexed = index_buckets(contexts(joined, window, buckets).repartition(n, "bucket"), window, buckets)
     spans = settled.select("id", "key", "spans").where(F.length("spans") > 0).unionByName(indexed)
     spans = spans.groupBy("id", "key").agg(F.collect_list("spans").alias("spans"))
 
