@@ -5,9 +5,10 @@
    of its windows. Each partition counts its anchors in a count-min sketch; the sketches
    are shuffled in blocks of cells and added. The merged counts overestimate.
 2. A second pass over the texts takes only the windows whose anchor is estimated to be
-   there twice, groups them exactly by a 128-bit hash of all 50 words, and marks those
+   there twice, groups them exactly by a 96-bit hash of all 50 words, and marks those
    that also start in a document with a smaller doc_id.
-3. The marked starts meet their document again, and the covered words go.
+3. The marked starts are gathered by document, one row for each, meet their document
+   again, and the covered words go.
 
 No window is lost: an estimate below two proves that a window is alone. The sketch has a
 fixed size, at most ``2 * MOST_CELLS`` cells, and as bits at most 2 * MOST_CELLS / 8
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewitness.llm.kernels import Rolling, anchors, text_blocks, word_hashes, word_spans
+from framewitness.llm.kernels import Rolling, anchors, mixed, text_blocks, word_hashes, word_spans
 from framewitness.llm.shared import only_text, parts
 
 WINDOW, GRAM = 50, 20
@@ -128,7 +129,7 @@ def stretches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.repeat(a - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
-_ROW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("key", "<i8"), ("start", "<i4")])
+_ROW = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("id", "<i8"), ("key", "<i8"), ("start", "<i4")])
 
 
 def _packed(rows: np.ndarray, bucket: np.ndarray, settled: bool):
@@ -180,7 +181,8 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cel
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (int(size) // _BYTES_A_CELL).bit_length()))
     sent = spark.sparkContext.broadcast(sketch(docs, cells, window, gram))
-    buckets = 8 * parts(spark)
+    # Few places for the results, as each task sends a row to each.
+    buckets, places = 8 * parts(spark), 2 * parts(spark)
 
     def candidates(batches):
         bits = sent.value
@@ -197,16 +199,15 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cel
                 second = Rolling(word_hashes(buffer, starts, ends, 1), 1)
                 text = np.searchsorted(words, begin, "right") - 1
                 rows = np.zeros(len(begin), _ROW)
-                rows["h1"], rows["h2"] = first.of(begin, begin + window), second.of(begin, begin + window)
+                rows["h1"] = first.of(begin, begin + window)
+                rows["h2"] = second.of(begin, begin + window) >> np.uint64(32)
                 rows["id"], rows["key"], rows["start"] = ids[text], keys[at[text]], begin - words[text]
                 rows, settled = _repeated_in_block(rows)
                 for done in (False, True):
                     some = rows[settled == done]
+                    spread = some["h1"]
                     if done:  # these are known to be repeated; any bucket will do
-                        spread = some["h1"] + some["start"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                    else:
-                        # Of equal windows of one row one is sent, with all its starts.
-                        spread = some["h1"]
+                        spread = mixed(spread + some["start"].astype(np.uint64))
                     if len(some):
                         yield _packed(some, ((spread >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32), done)
 
@@ -219,10 +220,25 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cel
             rows, repeated = _repeated_in_block(np.concatenate(open_rows))
             done.append(rows[repeated])
         if done:
-            yield from _by_row(np.concatenate(done))
-
-    packed = docs.mapInArrow(candidates, "bucket int, settled boolean, n int, blob binary")
-    return packed.repartition(parts(spark), "bucket").mapInArrow(settle, "id long, key long, starts binary")
+            rows = np.concatenate(done)
+            rows = rows[np.lexsort((rows["start"], rows["key"], rows["id"]))]
+            if len(rows):
+                spread = mixed(rows["key"].view(np.uint64) ^ rows["id"].view(np.uint64))
+                yield _packed(rows, (spread % np.uint64(places)).astype(np.int32), True)
+
+    def gather(batches):
+        found = [
+            _unpacked(blob, n, True)
+            for batch in batches
+            for n, blob in zip(batch.column("n").to_pylist(), batch.column("blob").to_pylist())
+        ]
+        if found:
+            yield from _by_row(np.concatenate(found))
+
+    schema = "bucket int, settled boolean, n int, blob binary"
+    packed = docs.mapInArrow(candidates, schema).repartition(parts(spark), "bucket")
+    by_document = packed.mapInArrow(settle, schema).repartition(parts(spark), "bucket")
+    return by_document.mapInArrow(gather, "id long, key long, starts binary")
 
 
 def _by_row(rows: np.ndarray):
@@ -251,10 +267,9 @@ def covered(length: int, starts: np.ndarray, window: int) -> np.ndarray:
 
 
 def with_starts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Each row with the starts found for it: an array of packed pieces, or null."""
-    found = found.groupBy("id", "key").agg(F.collect_list("starts").alias("starts"))
+    """Each row with the starts found for it, or null."""
     docs = _texts(docs).withColumn("id", F.coalesce("doc_id", F.lit(_LAST)))
-    return docs.join(found, ["id", "key"], "left").select("doc_id", "text", "starts")
+    return docs.join(found.hint("shuffle_hash"), ["id", "key"], "left").select("doc_id", "text", "starts")
 
 
 def kept_text(buffer, bounds, starts, ends, words, kept):
@@ -286,7 +301,7 @@ def deduped(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cells: int
                 kept = np.ones(len(starts), bool)
                 for k, i in enumerate(at.tolist()):
                     if found[i]:
-                        gone = np.frombuffer(b"".join(found[i]), "<i4")
+                        gone = np.frombuffer(found[i], "<i4")
                         kept[words[k] : words[k + 1]] = ~covered(words[k + 1] - words[k], gone, window)
                 out, cuts = kept_text(buffer, bounds, starts, ends, words, kept)
                 data = out.tobytes()
