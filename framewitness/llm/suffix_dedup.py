@@ -408,12 +408,12 @@ def deduped(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     docs, n = _rows(docs), parts(spark)
     buckets = 8 * n
     packed = spots(docs, window, gram, buckets).repartition(n, "bucket")
-    settled = written(settle(packed, hot, buckets), "settled")
+    settled = written(settle(packed, hot, 2 * n), "settled")
     # One exchange of the texts serves both joins.
     placed = docs.repartition(n, "id", "key")
     left = settled.where(F.length("open") > 0).select("id", "key", "open")
     joined = placed.join(left.hint("shuffle_hash"), ["id", "key"]).select("doc_id", "id", "key", "text", "open")
-    indexed = index_buckets(contexts(joined, window, buckets).repartition(n, "bucket"), window, buckets)
+    indexed = index_buckets(contexts(joined, window, buckets).repartition(n, "bucket"), window, 2 * n)
     spans = settled.select("id", "key", "spans").where(F.length("spans") > 0).unionByName(indexed)
     spans = spans.groupBy("id", "key").agg(F.collect_list("spans").alias("spans"))
 
