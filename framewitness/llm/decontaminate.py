@@ -11,8 +11,8 @@ Items of fewer than ``SPAN`` words, but five at least, are sought whole and unch
 Items under five words say nothing about copying and are not sought.
 
 The documents' hashes are first held against a filter of fixed size (``FILTER`` bits, set
-where an item's hash falls; the driver collects at most that many places), so that only
-words around possible hits leave a task. All else is equi-joins without hints: the items
+where an item's hash falls; the driver gets no more than these bits), so that only words
+around possible hits leave a task. All else is equi-joins without hints: the items
 may be many. A hot hash of an item is met by rows that are one per passage.
 
 Defined results: a null or empty text or item has no words; words are runs of other
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewitness.llm.kernels import lower_ascii, mixed, text_blocks, trimmed, word_hashes, word_spans
-from framewitness.llm.shared import table, written
+from framewitness.llm.shared import bit_filter, table, unpacked, written
 
 SPAN = 12
 # The places that each mask looks at, eight of twelve, both ends included.
@@ -124,16 +124,14 @@ def _item_words(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, "item_id long, item binary")
 
 
-def passages(docs: DataFrame, places: list[int], shorter: list[int], side: int) -> DataFrame:
+def passages(docs: DataFrame, filtered: bytes, shorter: list[int], side: int) -> DataFrame:
     """Stretches of documents around possible hits: doc_id, the words of the stretch (and
     how many there are before it), and its hits."""
     spark = docs.sparkSession
-    filtered = np.zeros(FILTER, bool)
-    filtered[places] = True
-    sent = spark.sparkContext.broadcast(np.packbits(filtered))
+    sent = spark.sparkContext.broadcast(filtered)
 
     def run(batches):
-        bits = np.unpackbits(sent.value).view(bool)
+        bits = unpacked(sent.value)
         for batch in batches:
             ids = batch.column("doc_id")
             for at, values, words in _words(batch, "text"):
@@ -202,12 +200,11 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     sought = written(item_seeds(items), "seeds")
-    # Both are bounded: FILTER places, and SPAN lengths.
-    place = F.col("seed").bitwiseAND(F.lit(FILTER - 1)).cast("int").alias("place")
-    places = [r["place"] for r in sought.select(place).distinct().collect()]
+    filtered = bit_filter(sought.select("seed"), FILTER)
+    # One of SPAN - SHORTEST lengths each.
     shorter = sorted(r["n_words"] for r in sought.where(F.col("n_words") < SPAN).select("n_words").distinct().collect())
     longest = sought.agg(F.max("n_words")).first()[0] or 0
-    found = written(passages(docs, places, shorter, min(longest, 4_096) + _SIDE), "passages")
+    found = written(passages(docs, filtered, shorter, min(longest, 4_096) + _SIDE), "passages")
     found = found.withColumn("passage", F.xxhash64("doc_id", "before", "words"))
     hits = found.select("passage", F.explode(F.arrays_zip("seeds", "spots")).alias("hit"))
     hits = hits.select("passage", F.col("hit.seeds").alias("seed"), F.col("hit.spots").alias("spot"))

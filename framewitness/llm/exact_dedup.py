@@ -80,7 +80,8 @@ def exact_dedup(docs: DataFrame, *, slice_rows: int = SLICE_ROWS) -> DataFrame:
         F.first("id").over(within).alias("best"),
         F.count(F.lit(1)).over(within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"),
     )
-    return _merged(local)
+    # Written once: both the slices' winners and the decisions start from it.
+    return _merged(written(local, "sorted"))
 
 
 def _merged(local: DataFrame) -> DataFrame:

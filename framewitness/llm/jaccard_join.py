@@ -123,9 +123,9 @@ def partitions(top: np.ndarray) -> np.ndarray:
 
 
 def parity_sketches(values, cuts) -> list[bytes]:
-    """One bit string per set, about as many bits as shingles: each flips one."""
+    """One bit string per set, about four times as many bits as shingles: each flips one."""
     sizes = np.diff(cuts)
-    bits = 64 * (1 << np.ceil(np.log2(np.maximum(sizes, 64) / 64)).astype(int))
+    bits = 64 * (1 << np.ceil(np.log2(np.maximum(sizes, 16) / 16)).astype(int))
     base = np.append(0, np.cumsum(bits))
     text = np.repeat(np.arange(len(sizes)), sizes)
     spot = mixed(values ^ np.uint64(0x5C5C5C5C5C5C5C5C)) & (bits[text] - 1).astype(np.uint64)
@@ -394,6 +394,7 @@ def across_components(labelled: DataFrame) -> DataFrame:
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
         cuts = np.append(np.flatnonzero(new), len(token)).tolist()
+        pairs = []
         for a, b in zip(cuts, cuts[1:]):
             known = np.array([x is not None for x in sketches[a:b]])
             words = min((len(x) // 8 for x in sketches[a:b] if x is not None), default=1)
@@ -412,10 +413,12 @@ def across_components(labelled: DataFrame) -> DataFrame:
                     at = at[near | ~known[i] | ~known[i + 1 + at]]
                     found.append(np.stack([np.full(len(at), i), i + 1 + at]))
             if found:
-                one, two = node[a:b][np.concatenate(found, 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], names=["u", "v"]
-                )
+                pairs.append(np.sort(node[a:b][np.concatenate(found, 1)], 0))
+            if pairs and (b == len(token) or sum(x.shape[1] for x in pairs) > 1 << 20):
+                # Groups of one neighbourhood find the same pairs.
+                one, two = np.unique(np.concatenate(pairs, 1), axis=1)
+                pairs = []
+                yield pa.RecordBatch.from_arrays([pa.array(two), pa.array(one)], names=["u", "v"])
 
     dealt = units.repartition(parts(spark), "token", "low", "high")
     return dealt.mapInArrow(run, "u long, v long").distinct()

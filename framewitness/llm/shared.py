@@ -6,10 +6,13 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _RUNS: dict[str, str] = {}
+_SPOTS = 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +61,36 @@ def release(spark: SparkSession) -> None:
             pass
 
 
+def bit_filter(hashes: DataFrame, size: int) -> bytes:
+    """A filter of ``size`` bits (a power of two), set at each value of the only column.
+
+    However many values there are, the driver gets size / 8 bytes, put together in tasks
+    from blocks of ``_SPOTS`` bits; ``unpacked`` turns them into an array.
+    """
+    place = F.col(hashes.columns[0]).bitwiseAND(F.lit(size - 1))
+    block = F.shiftright(place, _SPOTS.bit_length() - 1).cast("int").alias("block")
+    spot = place.bitwiseAND(F.lit(_SPOTS - 1)).cast("int").alias("spot")
+    blocks = hashes.select(block, spot).distinct().groupBy("block").agg(F.collect_list("spot").alias("spots"))
+
+    def pack(batches):
+        for batch in batches:
+            packed = []
+            for spots in batch.column("spots").to_pylist():
+                bits = np.zeros(_SPOTS, bool)
+                bits[spots] = True
+                packed.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(packed, pa.binary())], names=["block", "bits"])
+
+    out = np.zeros((max(1, size // _SPOTS), _SPOTS // 8), np.uint8)
+    for row in blocks.mapInArrow(pack, "block int, bits binary").collect():
+        out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.tobytes()
+
+
+def unpacked(bits: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8)).view(bool)
+
+
 def normal_spaces(text):
     """The text without any character of ``[\\x20\\x09-\\x0D]``; null counts as empty."""
     out = F.coalesce(text, F.lit(""))
