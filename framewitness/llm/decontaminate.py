@@ -10,9 +10,9 @@ quarters of a shorter item's) with at most one changed word in four.
 Items of fewer than ``SPAN`` words, but five at least, are sought whole and unchanged.
 Items under five words say nothing about copying and are not sought.
 
-The documents' hashes are first held against a filter of fixed size (``FILTER`` bits, set
-where an item's hash falls; the driver gets no more than these bits), so that only words
-around possible hits leave a task. All else is equi-joins without hints: the items
+The documents' hashes are first held against two filters of fixed size (``FILTER`` bits
+each, set where the low and the high half of an item's hash fall; the driver gets no more
+than these bits), so that only words around possible hits leave a task. All else is equi-joins without hints: the items
 may be many. A hot hash of an item is met by rows that are one per passage.
 
 Defined results: a null or empty text or item has no words; words are runs of other
@@ -43,7 +43,7 @@ MASKS = (
 )
 SHORTEST = 5
 NEEDED, PENALTY = 13, 3
-FILTER = 1 << 22
+FILTER = 1 << 24
 #: Words kept on both sides of a hit besides the item's own length.
 _SIDE = 16
 
@@ -124,20 +124,23 @@ def _item_words(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, "item_id long, item binary")
 
 
-def passages(docs: DataFrame, filtered: bytes, shorter: list[int], side: int) -> DataFrame:
+def passages(docs: DataFrame, filters: tuple[bytes, bytes], shorter: list[int], side: int) -> DataFrame:
     """Stretches of documents around possible hits: doc_id, the words of the stretch (and
     how many there are before it), and its hits."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(filtered)
+    sent = spark.sparkContext.broadcast(filters)
+
+    mask = np.uint64(FILTER - 1)
 
     def run(batches):
-        bits = unpacked(sent.value)
+        low_bits, high_bits = map(unpacked, sent.value)
         for batch in batches:
             ids = batch.column("doc_id")
             for at, values, words in _words(batch, "text"):
                 spots, hashes = [], []
                 for place, seed in seeds(values, words, shorter):
-                    hit = bits[(seed & np.uint64(FILTER - 1)).astype(np.int64)]
+                    hit = np.flatnonzero(low_bits[(seed & mask).astype(np.int64)])
+                    hit = hit[high_bits[(seed[hit] >> np.uint64(32) & mask).astype(np.int64)]]
                     spots.append(place[hit])
                     hashes.append(seed[hit])
                 spots, hashes = np.concatenate(spots), np.concatenate(hashes)
@@ -200,11 +203,12 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     sought = written(item_seeds(items), "seeds")
-    filtered = bit_filter(sought.select("seed"), FILTER)
+    high = F.shiftright("seed", 32).alias("high")
+    filters = bit_filter(sought.select("seed"), FILTER), bit_filter(sought.select(high), FILTER)
     # One of SPAN - SHORTEST lengths each.
     shorter = sorted(r["n_words"] for r in sought.where(F.col("n_words") < SPAN).select("n_words").distinct().collect())
     longest = sought.agg(F.max("n_words")).first()[0] or 0
-    found = written(passages(docs, filtered, shorter, min(longest, 4_096) + _SIDE), "passages")
+    found = written(passages(docs, filters, shorter, min(longest, 4_096) + _SIDE), "passages")
     found = found.withColumn("passage", F.xxhash64("doc_id", "before", "words"))
     hits = found.select("passage", F.explode(F.arrays_zip("seeds", "spots")).alias("hit"))
     hits = hits.select("passage", F.col("hit.seeds").alias("seed"), F.col("hit.spots").alias("spot"))
