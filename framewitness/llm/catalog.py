@@ -22,7 +22,7 @@ def _over_documents(operator):
 
 
 QUERIES = {
-    "op1_line_dedup": _over_documents(line_dedup.digests),
+    "op1_line_dedup": _over_documents(lambda docs: line_dedup.digests(docs, places=True)),
     "op2_suffix_dedup": _over_documents(suffix_dedup.digests),
     "op3_jaccard_join": _over_documents(jaccard_join.joined),
     "op4_decontaminate": decontaminate.over_documents,
