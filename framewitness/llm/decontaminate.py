@@ -8,6 +8,10 @@ one and another word takes off ``PENALTY``, must hold ``NEEDED`` matching words
 quarters of a shorter item's) with at most one changed word in four.
 
 Items of fewer than ``SPAN`` words, but five at least, are sought whole and unchanged.
+
+With ``whole``, as the query and the stage use it, three quarters of an item's words at
+their places are enough too, wherever the others are, also for items of five words and
+more, and the seeds are ``CLOSE_MASKS``, which miss no such copy and no such stretch.
 Items under five words say nothing about copying and are not sought.
 
 The documents' hashes are first held against two filters of fixed size (``FILTER`` bits
@@ -41,6 +45,10 @@ MASKS = (
     (0, 2, 3, 5, 7, 8, 9, 11),
     (0, 1, 2, 5, 6, 9, 10, 11),
 )
+# Of four words each. However a quarter of 5, 8, 12, 16 or 20 words is changed, one of them
+# sees no change; as all longer passages hold such a stretch with no more than a quarter
+# changed, that holds for every length from five on.
+CLOSE_MASKS = ((0, 1, 2, 3), (0, 2, 3, 4), (0, 1, 3, 4), (0, 1, 2, 4), (0, 1, 2, 5))
 SHORTEST = 5
 NEEDED, PENALTY = 13, 3
 FILTER = 1 << 24
@@ -61,12 +69,12 @@ def _words(batch, name):
             yield places.to_numpy(), np.zeros(0, np.uint64), words
 
 
-def seeds(values: np.ndarray, bounds: np.ndarray, shorter=()):
+def seeds(values: np.ndarray, bounds: np.ndarray, shorter=(), masks=MASKS):
     """(word, hash) of every seed of the texts: all masks at all words, and whole
     stretches of the lengths in ``shorter``."""
     n = len(values)
     left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(n)
-    for k, mask in enumerate(MASKS):
+    for k, mask in enumerate(masks):
         reach = max(mask) + 1
         at = np.flatnonzero(left >= reach)
         yield at, _seed(values, at, mask, k)
@@ -82,9 +90,10 @@ def _seed(values, at, mask, salt):
     return out
 
 
-def item_seeds(items: DataFrame) -> DataFrame:
+def item_seeds(items: DataFrame, whole: bool = False) -> DataFrame:
     """seed, item_id, place and n_words: an item of SPAN words or more by the masks, a
-    shorter one whole."""
+    shorter one whole; with ``whole`` both by CLOSE_MASKS."""
+    masks, least = (CLOSE_MASKS, SHORTEST) if whole else (MASKS, SPAN)
 
     def run(batches):
         for batch in batches:
@@ -92,13 +101,13 @@ def item_seeds(items: DataFrame) -> DataFrame:
             for at, values, words in _words(batch, "text"):
                 counts = np.diff(words)
                 owner = np.repeat(np.arange(len(counts)), counts)
-                lengths = sorted({int(c) for c in counts if SHORTEST <= c < SPAN})
-                for k, (place, seed) in enumerate(seeds(values, words, lengths)):
+                lengths = sorted({int(c) for c in counts if SHORTEST <= c < least})
+                for k, (place, seed) in enumerate(seeds(values, words, lengths, masks)):
                     item = owner[place]
-                    if k < len(MASKS):
-                        fits = counts[item] >= SPAN
+                    if k < len(masks):
+                        fits = counts[item] >= least
                     else:
-                        fits = counts[item] == lengths[k - len(MASKS)]
+                        fits = counts[item] == lengths[k - len(masks)]
                     place, seed, item = place[fits], seed[fits], item[fits]
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -124,7 +133,7 @@ def _item_words(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, "item_id long, item binary")
 
 
-def passages(docs: DataFrame, filters: tuple[bytes, bytes], shorter: list[int], side: int) -> DataFrame:
+def passages(docs: DataFrame, filters: tuple[bytes, bytes], shorter: list[int], side: int, masks=MASKS) -> DataFrame:
     """Stretches of documents around possible hits: doc_id, the words of the stretch (and
     how many there are before it), and its hits."""
     spark = docs.sparkSession
@@ -138,7 +147,7 @@ def passages(docs: DataFrame, filters: tuple[bytes, bytes], shorter: list[int],
             ids = batch.column("doc_id")
             for at, values, words in _words(batch, "text"):
                 spots, hashes = [], []
-                for place, seed in seeds(values, words, shorter):
+                for place, seed in seeds(values, words, shorter, masks):
                     hit = np.flatnonzero(low_bits[(seed & mask).astype(np.int64)])
                     hit = hit[high_bits[(seed[hit] >> np.uint64(32) & mask).astype(np.int64)]]
                     spots.append(place[hit])
@@ -197,18 +206,28 @@ def enough(matching: int, length: int, n_words: int) -> bool:
     return length > 0 and matching >= needed and 4 * matching >= 3 * length
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def whole_item(words: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
+    """As ``best_stretch``, of all of the item that lies on the words."""
+    low, high = max(0, shift), min(len(words), shift + len(item))
+    if high <= low:
+        return 0, max(0, low), 0
+    return int((words[low:high] == item[low - shift : high - shift]).sum()), low, high - low
+
+
+def leaks(docs: DataFrame, items: DataFrame, whole: bool = False) -> DataFrame:
     """One row per document and item it holds: doc_id, item_id, n_words of the item,
     matching words, and the stretch of the document (first word and length)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    sought = written(item_seeds(items), "seeds")
+    sought = written(item_seeds(items, whole), "seeds")
     high = F.shiftright("seed", 32).alias("high")
     filters = bit_filter(sought.select("seed"), FILTER), bit_filter(sought.select(high), FILTER)
     # One of SPAN - SHORTEST lengths each.
-    shorter = sorted(r["n_words"] for r in sought.where(F.col("n_words") < SPAN).select("n_words").distinct().collect())
+    least = SHORTEST if whole else SPAN
+    shorter = sorted(r["n_words"] for r in sought.where(F.col("n_words") < least).select("n_words").distinct().collect())
+    masks = CLOSE_MASKS if whole else MASKS
     longest = sought.agg(F.max("n_words")).first()[0] or 0
-    found = written(passages(docs, filters, shorter, min(longest, 4_096) + _SIDE), "passages")
+    found = written(passages(docs, filters, shorter, min(longest, 4_096) + _SIDE, masks), "passages")
     found = found.withColumn("passage", F.xxhash64("doc_id", "before", "words"))
     hits = found.select("passage", F.explode(F.arrays_zip("seeds", "spots")).alias("hit"))
     hits = hits.select("passage", F.col("hit.seeds").alias("seed"), F.col("hit.spots").alias("spot"))
@@ -223,7 +242,11 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             for i, (words, item, shift, before) in enumerate(zip(*data)):
                 words, item = np.frombuffer(words, np.uint64), np.frombuffer(item, np.uint64)
                 matching, begin, length = best_stretch(words, item, shift)
-                if enough(matching, length, len(item)):
+                held = enough(matching, length, len(item))
+                if whole and not held:
+                    matching, begin, length = whole_item(words, item, shift)
+                    held = 4 * matching >= 3 * len(item)
+                if held:
                     keep.append(i)
                     out.append((len(item), matching, before + begin, length))
             if keep:
@@ -253,12 +276,12 @@ def _with_items(laid: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def over_documents(spark, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), whole=True)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that hold no item, with all their columns. A row
     with a null doc_id goes if some such row holds one."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leaked_id")).distinct()
+    found = leaks(docs, table(spark, sf_dir, "benchmark"), whole=True).select(F.col("doc_id").alias("leaked_id")).distinct()
     kept = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("leaked_id")), "left_anti")
     return kept.select(*(docs[name] for name in docs.columns))
