@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic")
         .limit(SAMPLE)
     )
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    sample = _sample(docs, chosen)
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
@@ -221,6 +221,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(lexicon, bias, coefficients)
 
 
+def _sample(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """toxic and text: one row for each chosen label that has rows, the smallest of their
+    texts, so that there are no more rows than labels."""
+    rows = docs.join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
+
+
 def _lexicon(sample: DataFrame, bad: int, good: int) -> dict[str, float]:
     def count(batches):
         for batch in batches:
