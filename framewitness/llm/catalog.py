@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from framewitness.llm import (
     byte_bpe,
+    conversation_repair,
     decontaminate,
     exact_dedup,
     jaccard_join,
@@ -32,8 +33,10 @@ QUERIES = {
     "op8_sharding": _over_documents(sharding.shards),
     "op9_exact_dedup": _over_documents(exact_dedup.decisions),
     "op10_toxicity": toxicity.scores,
+    "op11_conversation_repair": conversation_repair.over_conversations,
 }
 
 ORACLE = {
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op11_conversation_repair": conversation_repair.ORACLE,
 }
