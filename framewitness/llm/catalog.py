@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from framewitness.llm import (
     byte_bpe,
+    chat_format,
     conversation_repair,
     decontaminate,
     exact_dedup,
@@ -14,6 +15,7 @@ from framewitness.llm import (
     suffix_dedup,
     token_counts,
     toxicity,
+    vector_codes,
 )
 from framewitness.llm.shared import table
 
@@ -34,9 +36,13 @@ QUERIES = {
     "op9_exact_dedup": _over_documents(exact_dedup.decisions),
     "op10_toxicity": toxicity.scores,
     "op11_conversation_repair": conversation_repair.over_conversations,
+    "op12_chat_format": chat_format.over_conversations,
+    "op13_vector_codes": vector_codes.over_embeddings,
 }
 
 ORACLE = {
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op11_conversation_repair": conversation_repair.ORACLE,
+    "op12_chat_format": chat_format.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }
