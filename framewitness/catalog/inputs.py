@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewitness.functions.expr import quoted
+from framewitness.functions.expr import array_of, quoted
+from framewitness.functions.fixed import ISSUE_TERMS
 from framewitness.sources.tables import Table, read_parquet
 
 TABLE_NAMES = (
@@ -173,3 +174,57 @@ def issue_cases(spark: SparkSession, sf: str) -> DataFrame:
         f"{by_type(0)} AS dataset_id",
         f"{by_type(1)} AS baseline_id",
     )
+
+
+# What is planted into texts: every term that selects a type, and words of column names.
+PLANTED_TERMS = tuple(term for terms in ISSUE_TERMS.values() for term in terms)
+PLANTED_WORDS = (
+    "", "orderkey", "acctbal column", "of text and lang", "nationkey", "sourc",
+    "totalprice orderdate", "ty char", "o priority", "NAME",
+)
+# Table and baseline of a text, by what it is: a language or a role.
+TEXT_TABLES = {
+    "en": ("orders_recent", "orders_earlier"),
+    "de": ("docs_now", "docs_before"),
+    "fr": ("customers", None),
+    "es": (None, None),
+    "user": ("docs_now", None),
+    "assistant": ("customers", "suppliers"),
+    "system": ("orders_recent", "orders_earlier"),
+}
+
+
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """case_id, number, made_of and text of all documents and all turns."""
+    documents = rows(spark, sf, "documents").selectExpr(
+        "concat('d', doc_id) AS case_id", "doc_id AS number", "lang AS made_of", "text"
+    )
+    turns = rows(spark, sf, "conversations").selectExpr(
+        "concat('c', conv_id, '/', turn) AS case_id",
+        "conv_id * 7 + turn AS number",
+        "role AS made_of",
+        "text",
+    )
+    return documents.unionByName(turns)
+
+
+def marked_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Cases over whole texts, four of five with an issue planted in the middle."""
+    half = "int(length(text) / 2)"
+    term = f"{array_of(PLANTED_TERMS)}[int(number % {len(PLANTED_TERMS)})]"
+    words = f"{array_of(PLANTED_WORDS)}[int(number % {len(PLANTED_WORDS)})]"
+    planted = f"left(text, {half}) || ' ' || {term} || ' ' || {words} || substr(text, {half} + 1)"
+
+    def by_kind(which: int) -> str:
+        whens = " ".join(
+            f"WHEN {quoted(kind)} THEN {quoted(pair[which])}"
+            for kind, pair in TEXT_TABLES.items()
+        )
+        return f"CASE made_of {whens} END"
+
+    return texts(spark, sf).selectExpr(
+        "case_id",
+        f"IF(number % 5 = 0, text, {planted}) AS issue_statement",
+        f"{by_kind(0)} AS dataset_id",
+        f"{by_kind(1)} AS baseline_id",
+    )

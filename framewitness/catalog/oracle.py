@@ -10,8 +10,11 @@ from __future__ import annotations
 from framewitness.catalog.inputs import (
     CASE_PAIRS,
     CASE_TABLES,
+    PLANTED_TERMS,
+    PLANTED_WORDS,
     STATEMENTS,
     TABLE_NAMES,
+    TEXT_TABLES,
 )
 from framewitness.functions import fixed, wording
 
@@ -339,31 +342,45 @@ ORACLE["profile_table_docs"] = _from_profile(["docs_now"], _WHOLE)
 # --- cases and routing --------------------------------------------------------
 
 
-def _statements() -> str:
+def _folded(text: str) -> str:
+    """Lower case, and the letters whose folding has ASCII letters."""
+    out = f"lower({text})"
+    for letter, folded in fixed.FOLDS.items():
+        out = f"replace({out}, '{letter}', '{folded}')"
+    return out
+
+
+_FIXED_STATEMENTS = "VALUES " + ", ".join(
+    f"({i}, {_q(s)})" for i, s in enumerate(STATEMENTS)
+)
+
+
+def _statements(relation: str = _FIXED_STATEMENTS) -> str:
     """CTEs stmt and routed: every statement with its type, terms and tokens."""
-    values = ", ".join(f"({i}, {_q(s)})" for i, s in enumerate(STATEMENTS))
     types = [t for t in fixed.ISSUE_PRECEDENCE if t in fixed.ISSUE_TERMS]
     terms = ", ".join(
         f"({i}, '{t}', {_list(fixed.ISSUE_TERMS[t])})" for i, t in enumerate(types)
     )
     names = ", ".join(f"('{t}', '{n}')" for t, n in fixed.ROUTE_NAMES.items())
-    return f"""stmt(idx, statement) AS (VALUES {values}),
+    blank = r"[\s\v\x1c-\x1f\x{85}\p{Z}]*"
+    return f"""stmt(idx, statement) AS MATERIALIZED ({relation}),
+    folds AS MATERIALIZED (SELECT idx, {_folded('statement')} AS folded FROM stmt),
     terms(rank, issue_type, words) AS (VALUES {terms}),
     routes(issue_type, route_name) AS (VALUES {names}),
     hits AS (SELECT idx, rank, issue_type,
-        list_filter(words, lambda w: contains(lower(statement), w)) AS found
-        FROM stmt CROSS JOIN terms WHERE statement IS NOT NULL),
+        list_filter(words, lambda w: contains(folded, w)) AS found
+        FROM folds CROSS JOIN terms WHERE folded IS NOT NULL),
     best AS (SELECT idx, arg_min(issue_type, rank) AS issue_type,
         arg_min(found, rank) AS found FROM hits WHERE len(found) > 0 GROUP BY idx),
     routed AS (SELECT s.idx, s.statement,
-        CASE WHEN s.statement IS NULL OR trim(s.statement) = ''
+        CASE WHEN s.statement IS NULL OR regexp_full_match(s.statement, '{blank}')
                 THEN 'missing_issue_statement'
              ELSE coalesce(b.issue_type, 'general_suspected_issue') END AS issue_type,
         coalesce(b.found, []::VARCHAR[]) AS found,
         list_sort(list_distinct(list_filter(
-            regexp_extract_all(lower(coalesce(s.statement, '')), '[a-z0-9]+'),
+            regexp_extract_all(coalesce(f.folded, ''), '[a-z0-9]+'),
             lambda w: NOT list_contains({_list(fixed.STOP_WORDS)}, w)))) AS tokens
-        FROM stmt s LEFT JOIN best b USING (idx))"""
+        FROM stmt s JOIN folds f USING (idx) LEFT JOIN best b USING (idx))"""
 
 
 def _cases() -> str:
@@ -378,6 +395,43 @@ def _cases() -> str:
         JOIN routes n USING (issue_type))"""
 
 
+def _marked() -> str:
+    """The texts of inputs.marked_texts and what they are."""
+    every = """SELECT 'd' || doc_id AS case_id, doc_id AS number, lang AS made_of, text
+            FROM documents UNION ALL
+        SELECT 'c' || conv_id || '/' || turn, conv_id * 7 + turn, role, text
+            FROM conversations"""
+    term = f"({_list(PLANTED_TERMS)})[number % {len(PLANTED_TERMS)} + 1]"
+    words = f"({_list(PLANTED_WORDS)})[number % {len(PLANTED_WORDS)} + 1]"
+    planted = f"""left(text, length(text) // 2) || ' ' || {term} || ' ' || {words}
+        || substr(text, length(text) // 2 + 1)"""
+    return f"""SELECT case_id, made_of,
+        CASE WHEN number % 5 = 0 THEN text ELSE {planted} END AS statement FROM ({every})"""
+
+
+def _text_cases() -> str:
+    """CTE cases: one row per text."""
+    pairs = ", ".join(
+        f"({_q(kind)}, {_q(a)}, {_q(b)})" for kind, (a, b) in TEXT_TABLES.items()
+    )
+    return f"""chosen(made_of, ds, bs) AS (VALUES {pairs}),
+    cases AS (SELECT m.case_id, r.*, n.route_name, c.ds, c.bs
+        FROM marked m LEFT JOIN chosen c USING (made_of)
+        JOIN routed r ON r.idx = m.case_id JOIN routes n USING (issue_type))"""
+
+
+def _text_routing() -> str:
+    statements = _statements("SELECT case_id, statement FROM marked")
+    return f"marked AS MATERIALIZED ({_marked()}), {statements}, {_text_cases()}"
+
+
+_ROUTED_TEXT = """r.issue_type, route_name,
+    CASE WHEN r.issue_type = 'missing_issue_statement' THEN r.issue_type
+         ELSE 'classified_for_planning' END AS classification_status,
+    array_to_string(found, ',') AS terms, len(tokens) AS token_count,
+    md5(array_to_string(tokens, ' ')) AS tokens_md5"""
+
+
 def _routing(select: str) -> str:
     return f"WITH {_statements()}, {_cases()} {select}"
 
@@ -398,6 +452,15 @@ ORACLE["route_issue_tokens"] = _routing(
     FROM cases GROUP BY ALL"""
 )
 
+ORACLE["route_documents"] = f"""WITH {_statements("SELECT doc_id, text FROM documents")}
+    SELECT idx AS doc_id, {_ROUTED_TEXT} FROM routed r JOIN routes USING (issue_type)"""
+_TURNS = "SELECT {'conv': conv_id, 'turn': turn}, text FROM conversations"
+ORACLE["route_conversations"] = f"""WITH {_statements(_TURNS)}
+    SELECT idx.conv AS conv_id, idx.turn AS turn, {_ROUTED_TEXT}
+    FROM routed r JOIN routes USING (issue_type)"""
+ORACLE["route_marked_texts"] = f"""WITH {_text_routing()}
+    SELECT case_id, {_ROUTED_TEXT} FROM cases r"""
+
 _CASE_DATASETS = sorted({name for pair in CASE_PAIRS for name in pair})
 
 
@@ -421,8 +484,9 @@ def _candidates() -> str:
     )
 
 
-def _world(select: str, *extra: str) -> str:
-    parts = [_statements(), _cases(), _profile(*_CASE_DATASETS), _candidates(), *extra]
+def _world(select: str, *extra: str, cases: str | None = None) -> str:
+    cases = cases or f"{_statements()}, {_cases()}"
+    parts = [cases, _profile(*_CASE_DATASETS), _candidates(), *extra]
     return f"WITH {', '.join(parts)} {select}"
 
 
@@ -433,6 +497,14 @@ ORACLE["candidate_columns"] = _world(
 )
 
 
+ORACLE["candidate_columns_texts"] = _world(
+    """SELECT c.case_id, d.ds AS dataset_id, d.issue_type, d.position, d.column_name
+    FROM cases c JOIN cand d
+    ON c.idx = d.idx AND c.ds = d.ds AND c.bs IS NOT DISTINCT FROM d.bs""",
+    cases=_text_routing(),
+)
+
+
 def _plan() -> str:
     """CTE planned: the fixed check table."""
     rows = []
@@ -907,8 +979,9 @@ def _joined_cases(other: str) -> str:
         AND c.bs IS NOT DISTINCT FROM x.bs"""
 
 
-def _ledger(select: str, *extra: str) -> str:
-    return _world(select, _compare(CASE_PAIRS), _assessed(), _evidence(), *extra)
+def _ledger(select: str, *extra: str, cases: str | None = None) -> str:
+    more = [_compare(CASE_PAIRS), _assessed(), _evidence(), *extra]
+    return _world(select, *more, cases=cases)
 
 
 def _single(dataset: str, check: str, outputs: str, candidates: str = "false") -> str:
@@ -1051,10 +1124,10 @@ ORACLE["ev_baseline_general"] = _baseline(
 
 # --- ledger, hypotheses, findings ---------------------------------------------
 
-ORACLE["evidence_ledger"] = _ledger(
-    f"""SELECT c.case_id, c.issue_type, evidence_id, check_id, signal, signal_strength,
-    related_columns FROM {_joined_cases('ev')}"""
-)
+_EVIDENCE_ROWS = f"""SELECT c.case_id, c.issue_type, evidence_id, check_id, signal,
+    signal_strength, related_columns FROM {_joined_cases('ev')}"""
+ORACLE["evidence_ledger"] = _ledger(_EVIDENCE_ROWS)
+ORACLE["ledger_texts"] = _ledger(_EVIDENCE_ROWS, cases=_text_routing())
 _NOT_RUN = f"""nr AS (SELECT c.case_id, p.check_id,
     CASE WHEN p.requires_baseline THEN 'baseline_unavailable'
          ELSE 'needs_interpretation' END AS reason_code

@@ -263,6 +263,47 @@ def route_issue_tokens(spark, sf):
     )
 
 
+_ROUTED = (
+    "issue_type",
+    "route_name",
+    "classification_status",
+    f"{_joined('matched_terms')} AS terms",
+    "size(issue_tokens) AS token_count",
+    "md5(issue_phrase) AS tokens_md5",
+)
+
+
+@query
+def route_documents(spark, sf):
+    """Every whole document as a statement."""
+    cases = inputs.rows(spark, sf, "documents").selectExpr(
+        "doc_id", "text AS issue_statement", "source", "lang"
+    )
+    return routing.route(cases).selectExpr("doc_id", *_ROUTED)
+
+
+@query
+def route_conversations(spark, sf):
+    """Every turn as a statement."""
+    cases = inputs.rows(spark, sf, "conversations").selectExpr(
+        "conv_id", "turn", "text AS issue_statement"
+    )
+    return routing.route(cases).selectExpr("conv_id", "turn", *_ROUTED)
+
+
+@query
+def route_marked_texts(spark, sf):
+    """Documents and turns with issues planted into most of them."""
+    return routing.route(inputs.marked_texts(spark, sf)).selectExpr("case_id", *_ROUTED)
+
+
+@query
+def candidate_columns_texts(spark, sf):
+    kinds = profile.profiles(_case_tables(spark, sf), measures=("nulls", "dates"))
+    found = routing.candidate_columns(inputs.marked_texts(spark, sf), kinds)
+    return found.select("case_id", "dataset_id", "issue_type", "position", "column_name")
+
+
 def _case_tables(spark, sf) -> list[Table]:
     return [
         *inputs.orders_by_date(spark, sf),
@@ -842,6 +883,18 @@ def evidence_ledger(spark, sf):
     )
 
 
+@query
+def ledger_texts(spark, sf):
+    """The ledger of an investigation that takes whole texts as statements."""
+    found = investigate(
+        inputs.marked_texts(spark, sf), _case_tables(spark, sf), inputs.CASE_PAIRS
+    )
+    _release(found.close)
+    return found.evidence().selectExpr(
+        "case_id", "issue_type", "evidence_id", *_SIGNAL, _RELATED
+    )
+
+
 @query
 def ledger_execution(spark, sf):
     return checks.ledger_execution(_investigation(spark, sf).reviewed)

@@ -7,7 +7,9 @@ them is a built-in: there are no UDFs.
 
 from __future__ import annotations
 
-from framewitness.functions.fixed import BLANK_PATTERN, DATE_TEXT_PATTERN
+import re
+
+from framewitness.functions.fixed import BLANK_PATTERN, DATE_TEXT_PATTERN, FOLDS
 
 _NANOS_PER_DAY = 86_400_000_000_000
 _NANOS_LIMIT = "9.2E18D"
@@ -93,6 +95,38 @@ def contains_any(text: str, terms) -> str:
     return "(" + " OR ".join(f"contains({text}, {quoted(t)})" for t in terms) + ")"
 
 
+def fold(lowered: str) -> str:
+    """Full case folding of a lower-case column, as far as ASCII letters come of it.
+
+    ``lowered`` is repeated, so it should be a plain column.
+    """
+    out = lowered
+    for letter, folded in FOLDS.items():
+        out = f"replace({out}, {quoted(letter)}, {quoted(folded)})"
+    plain = f"octet_length({lowered}) = char_length({lowered})"
+    return f"IF({plain} OR NOT {lowered} RLIKE '[{''.join(FOLDS)}]', {lowered}, {out})"
+
+
+def terms_pattern(terms) -> str:
+    """A pattern that captures, at each place, the longest term that begins there.
+
+    The terms are laid out as a tree of their letters, so a place is left at the first
+    letter that no term has. The match itself is empty: terms that overlap are all found.
+    """
+
+    def branches(tails: set[str]) -> str:
+        heads = sorted({tail[0] for tail in tails if tail})
+        parts = [re.escape(head) + branches({t[1:] for t in tails if t[:1] == head}) for head in heads]
+        if not parts:
+            return ""
+        if len(parts) == 1 and "" not in tails:
+            return parts[0]
+        return f"(?:{'|'.join(parts)})" + ("?" if "" in tails else "")
+
+    heads = "".join(sorted({re.escape(term[0]) for term in terms}))
+    return f"(?=[{heads}])(?=({branches(set(terms))}))"
+
+
 def total(array: str) -> str:
     """Sum of an array<bigint>; 0 for an empty one."""
     return f"aggregate({array}, 0L, (acc, x) -> acc + x)"

@@ -64,6 +64,13 @@ STOP_WORDS = (
     "nulls", "blank", "empty",
 )
 
+# --- Fixed values: lower-case letters that fold to more (Unicode full case folding)
+FOLDS = {
+    "ß": "ss", "ŉ": "ʼn", "ſ": "s", "ǰ": "ǰ", "ẖ": "ẖ", "ẗ": "ẗ", "ẘ": "ẘ",
+    "ẙ": "ẙ", "ẚ": "aʾ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
+    "ﬅ": "st", "ﬆ": "st",
+}
+
 # --- Fixed values: parts of a column name that mark its role ------------------
 KEY_TERMS = ("id", "key", "code", "number", "reference", "ref")
 DATE_TERMS = ("date", "time", "timestamp", "period", "day", "month", "year")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from framewitness.functions.expr import (
     array_of,
     contains_any,
+    fold,
     most,
     pct,
     pick,
@@ -35,15 +36,19 @@ from framewitness.functions.wording import (
 )
 from framewitness.operators.profile import table_measures
 from framewitness.operators.routing import (
+    MENTION_TYPES,
     candidate_rule,
-    mentions_column,
+    folded_names,
+    mentions,
+    reading_names,
     route_rules,
     with_issue_type,
     with_issue_words,
+    with_sentence,
 )
 
 _FACTS = (
-    "position", "column_name AS name", "lower(column_name) AS folded",
+    "position", "column_name AS name", "folded",
     "inferred_kind AS kind", "is_numeric_type AS is_number", "row_count",
     "null_count", "unique_count", "duplicate_value_count AS duplicates",
     "num_total", "day_min", "day_max", "dt_day_count AS days",
@@ -65,7 +70,9 @@ def table_facts(profile: DataFrame) -> DataFrame:
     A group holds one entry per column of one table; the profile is read once.
     """
     columns = f"array_sort(collect_list(struct({', '.join(_FACTS)})))"
-    return profile.groupBy("dataset_id").agg(
+    lowered = profile.withColumn("lowered", F.expr("lower(column_name)"))
+    folded = lowered.withColumn("folded", F.expr(fold("lowered"))).drop("lowered")
+    return folded.groupBy("dataset_id").agg(
         F.expr(columns).alias("columns"), *table_measures()
     )
 
@@ -457,31 +464,51 @@ _CASE_KEYS = (
 )
 
 
-def case_keys(
-    cases: DataFrame, facts: DataFrame, *, with_facts: bool = False
-) -> DataFrame:
+def worded_cases(cases: DataFrame) -> DataFrame:
+    """Classified cases with the words by which they may mention columns."""
+    listed = ", ".join(quoted(t) for t in MENTION_TYPES)
+    reads_names = f"issue_type IN ({listed})"
+    worded = with_sentence(with_issue_words(with_issue_type(cases), reads_names))
+    kept = [c for c in _CASE_KEYS if c != "mentioned"]
+    return worded.select(*kept, "sentence", "issue_tokens")
+
+
+def mentioned_columns(worded: DataFrame, names: DataFrame) -> DataFrame:
+    """One row per table and sentence that mentions columns, with their positions.
+
+    ``names`` has dataset_id, position and the folded name of each column.
+    """
+    return (
+        mentions(reading_names(worded), names)
+        .groupBy("dataset_id", "sentence")
+        .agg(F.array_sort(F.collect_set("position")).alias("found"))
+    )
+
+
+def with_mentioned(worded: DataFrame, found: DataFrame, *kept: str) -> DataFrame:
+    """Everything that the evidence of a case depends on, ``mentioned`` among it."""
+    listed = ", ".join(quoted(t) for t in MENTION_TYPES)
+    joined = with_shared(worded, found, ["dataset_id", "sentence"])
+    mentioned = F.expr(
+        f"IF(issue_type IN ({listed}) AND found IS NOT NULL, found, CAST(array() AS ARRAY<INT>))"
+    )
+    return joined.select(*_CASE_KEYS, mentioned.alias("mentioned"), *kept)
+
+
+def case_keys(cases: DataFrame, facts: DataFrame) -> DataFrame:
     """Classified cases with everything their evidence depends on.
 
     That is the issue type, the table, the baseline and, for the two types that
-    read column names from the statement, the columns it mentions. ``with_facts``
-    keeps the facts of the table too, so that they are joined once.
+    read column names from the statement, the columns it mentions; the facts of
+    the table come along.
     """
-    words = "regexp_extract_all(c.folded, '([a-z0-9]+)', 1) AS words"
-    names = facts.selectExpr(
-        "*" if with_facts else "dataset_id",
-        f"transform(columns, c -> struct(c.position, {words},"
-        " replace(c.folded, '_', ' ') AS spoken)) AS names",
+    names = facts.selectExpr("dataset_id", "explode(columns) AS c").selectExpr(
+        "dataset_id", "c.position", "c.folded"
     )
-    reads_names = "issue_type IN ('null_increase', 'schema_change')"
-    mentioned = f"""CASE WHEN {reads_names}
-        THEN transform(filter(names, n -> {mentions_column("n.words", "n.spoken")}),
-            n -> n.position)
-        END"""
-    worded = with_issue_words(with_issue_type(cases), reads_names)
-    joined = with_shared(worded, names, ["dataset_id"])
-    kept = [c for c in facts.columns if c != "dataset_id"] if with_facts else []
-    found = F.expr(f"coalesce({mentioned}, CAST(array() AS ARRAY<INT>))")
-    return joined.select(*_CASE_KEYS, found.alias("mentioned"), *kept)
+    worded = worded_cases(cases)
+    found = mentioned_columns(worded, names)
+    kept = [c for c in facts.columns if c != "dataset_id"]
+    return with_mentioned(with_shared(worded, facts, ["dataset_id"]), found, *kept)
 
 
 def evaluate(
@@ -569,7 +596,7 @@ def case_evidence(
 
     ``facts`` has one row per table and ``comparison`` one row per pair.
     """
-    return evaluate(case_keys(cases, facts, with_facts=True), None, comparison)
+    return evaluate(case_keys(cases, facts), None, comparison)
 
 
 def _not_run() -> str:

@@ -567,6 +567,20 @@ def _grouped(sources: list[_Source], asked, formats) -> DataFrame:
     return cells.groupBy("id").agg(*_named(measures))
 
 
+def sources_of(
+    tables: Iterable[Table], columns: Iterable[str] | None = None
+) -> list[_Source]:
+    """The columns of all tables, numbered; only those with the given names."""
+    wanted = None if columns is None else set(columns)
+    chosen = [
+        (table, position)
+        for table in tables
+        for position, name in enumerate(table.names)
+        if wanted is None or name in wanted
+    ]
+    return [_Source(i, *pair) for i, pair in enumerate(chosen)]
+
+
 def profiles(
     tables: Iterable[Table],
     *,
@@ -586,18 +600,11 @@ def profiles(
     asked = frozenset(measures)
     if not asked <= ALL_MEASURES:
         raise ValueError(f"unknown measures: {sorted(asked - ALL_MEASURES)}")
-    wanted = None if columns is None else set(columns)
-    chosen = [
-        (table, position)
-        for table in tables
-        for position, name in enumerate(table.names)
-        if wanted is None or name in wanted
-    ]
-    if not chosen:
+    sources = sources_of(tables, columns)
+    if not sources:
         raise ValueError("no column to profile")
-    sources = [_Source(i, *pair) for i, pair in enumerate(chosen)]
     build = _grouped if "unique" in asked else _ungrouped
-    return _finish(sources, build(sources, asked, tuple(date_formats)))
+    return finished(described(sources, build(sources, asked, tuple(date_formats))))
 
 
 def column_profile(table: Table, **options) -> DataFrame:
@@ -605,8 +612,17 @@ def column_profile(table: Table, **options) -> DataFrame:
     return profiles([table], **options)
 
 
-def _finish(sources: list[_Source], raw: DataFrame) -> DataFrame:
-    """Names, kinds and percentages around the raw measures."""
+#: What is known about a column without reading it, and its place in raw measures.
+DESCRIPTION = {
+    "dataset_id": "STRING", "position": "INT", "column_name": "STRING",
+    "data_type": "STRING", "base_kind": "STRING", "is_numeric_type": "BOOLEAN",
+    "scale": "INT", "name_occurrence": "INT", "name_count": "INT",
+    "is_blank_name": "BOOLEAN",
+}
+
+
+def described(sources: list[_Source], raw: DataFrame) -> DataFrame:
+    """Raw measures with the description of their columns instead of ``id``."""
 
     def at(values) -> str:
         return f"array({', '.join(literal(v) for v in values)})[id]"
@@ -616,26 +632,43 @@ def _finish(sources: list[_Source], raw: DataFrame) -> DataFrame:
         for table, _ in _by_table(sources)
     }
     names = [naming[s.table.dataset_id][s.position] for s in sources]
+    found = {
+        "dataset_id": at([s.table.dataset_id for s in sources]),
+        "position": at([s.position for s in sources]),
+        "column_name": at([s.name for s in sources]),
+        "data_type": at([s.data_type.simpleString() for s in sources]),
+        "base_kind": at([s.kind for s in sources]),
+        "is_numeric_type": at([s.is_number for s in sources]),
+        "scale": f"nullif({at([-1 if s.scale is None else s.scale for s in sources])}, -1)",
+        "name_occurrence": at([occurrence for (occurrence, _), _ in names]),
+        "name_count": at([count for (_, count), _ in names]),
+        "is_blank_name": at([blank for _, blank in names]),
+    }
+    measures = [name for name in raw.columns if name != "id"]
+    return raw.selectExpr(*[f"{text} AS {name}" for name, text in found.items()], *measures)
+
+
+def finished(raw: DataFrame) -> DataFrame:
+    """Kinds and percentages around described raw measures: a column profile."""
     known = set(raw.columns)
     every = {name: type_ for group in _RAW.values() for name, type_ in group.items()}
     raw = raw.selectExpr(
-        "id",
+        *DESCRIPTION,
         "row_count",
         "non_null_count",
         *[n if n in known else f"CAST(NULL AS {t}) AS {n}" for n, t in every.items()],
-        f"{at([s.kind for s in sources])} AS base_kind",
-        f"{at([s.is_number for s in sources])} AS is_numeric_type",
-        f"nullif({at([-1 if s.scale is None else s.scale for s in sources])}, -1) AS scale",
-        f"{pct('parsed_count', 'non_null_count')} AS parse_share",
     ).selectExpr(
         "*",
+        f"{pct('parsed_count', 'non_null_count')} AS parse_share",
         "row_count - non_null_count AS null_count",
         "coalesce(double(exact_sum) / power(10, scale), num_sum) AS num_added",
+        "bigint(datediff(day_max, day_min)) + 1 AS dt_expected_days",
+    ).selectExpr(
+        "*",
         f"""CASE WHEN non_null_count = 0 THEN 'empty'
             WHEN base_kind <> 'string' THEN base_kind
             WHEN parse_share >= {DATE_PARSE_SHARE} THEN 'datetime'
             ELSE 'text' END AS inferred_kind""",
-        "bigint(datediff(day_max, day_min)) + 1 AS dt_expected_days",
     )
     number = "inferred_kind IN ('integer', 'decimal')"
     date, text = "inferred_kind = 'datetime'", "inferred_kind = 'text'"
@@ -645,10 +678,10 @@ def _finish(sources: list[_Source], raw: DataFrame) -> DataFrame:
         return f"CASE WHEN {condition} THEN {value} END AS {name}"
 
     return raw.selectExpr(
-        f"{at([s.table.dataset_id for s in sources])} AS dataset_id",
-        f"{at([s.position for s in sources])} AS position",
-        f"{at([s.name for s in sources])} AS column_name",
-        f"{at([s.data_type.simpleString() for s in sources])} AS data_type",
+        "dataset_id",
+        "position",
+        "column_name",
+        "data_type",
         "inferred_kind",
         "row_count",
         "non_null_count",
@@ -681,9 +714,9 @@ def _finish(sources: list[_Source], raw: DataFrame) -> DataFrame:
         when(text, "len_max", "txt_max_len"),
         when(text, "try_divide(len_sum, non_null_count)", "txt_avg_len"),
         "is_numeric_type",
-        f"{at([occurrence for (occurrence, _), _ in names])} AS name_occurrence",
-        f"{at([count for (_, count), _ in names])} AS name_count",
-        f"{at([blank for _, blank in names])} AS is_blank_name",
+        "name_occurrence",
+        "name_count",
+        "is_blank_name",
     )
 
 

@@ -1,8 +1,13 @@
-"""Routing a table of issue statements, with column expressions only.
+"""Routing a table of issue statements.
 
 ``cases`` has case_id, issue_statement, dataset_id and baseline_id (the last two
-may be null). Nothing here shuffles: every operator is a projection, or a join
-with the rule table, which has one row per issue type.
+may be null). A statement is any text, of any length: all terms are found by one
+pattern in one pass over it, and the rest is read off the hits. Classifying is a
+projection, the rules are a join with a table of one row per issue type.
+
+Columns that a statement mentions are found by an inverted index: names and the
+words of statements meet on equal keys, so no case is compared with the columns
+it has nothing in common with.
 """
 
 from __future__ import annotations
@@ -13,10 +18,12 @@ from pyspark.sql import functions as F
 from framewitness.functions.expr import (
     array_of,
     contains_any,
+    fold,
     is_blank,
     literal,
     quoted,
     struct_of,
+    terms_pattern,
 )
 from framewitness.functions.fixed import (
     CATEGORY_TERMS,
@@ -101,10 +108,30 @@ def route_rules(spark: SparkSession) -> DataFrame:
     return spark.range(1).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def issue_type(folded: str) -> str:
-    """First type, in order of precedence, with a term in the folded statement."""
+_TERMS = [term for terms in ISSUE_TERMS.values() for term in terms]
+
+
+def term_hits(folded: str) -> str:
+    """All terms in the folded statement, by one pattern; each term once."""
+    longest = f"array_distinct(regexp_extract_all({folded}, {quoted(terms_pattern(_TERMS))}, 1))"
+    # A longer term that was found begins with shorter ones.
+    shorter = {
+        term: [other for other in _TERMS if term.startswith(other)] for term in _TERMS
+    }
+    entries = ", ".join(
+        f"{quoted(term)}, {array_of(found)}"
+        for term, found in shorter.items()
+        if len(found) > 1
+    )
+    found = f"coalesce(element_at(map({entries}), t), array(t))"
+    hits = f"array_distinct(flatten(transform({longest}, t -> {found})))"
+    return f"coalesce({hits}, {array_of(())})"
+
+
+def issue_type(folded: str, hits: str) -> str:
+    """First type, in order of precedence, with a term among the hits."""
     branches = " ".join(
-        f"WHEN {contains_any(folded, ISSUE_TERMS[t])} THEN {quoted(t)}"
+        f"WHEN arrays_overlap({hits}, {array_of(ISSUE_TERMS[t])}) THEN {quoted(t)}"
         for t in ISSUE_PRECEDENCE
         if t in ISSUE_TERMS
     )
@@ -112,13 +139,13 @@ def issue_type(folded: str) -> str:
     return f"CASE WHEN {blank} THEN '{MISSING}' {branches} ELSE '{GENERAL}' END"
 
 
-def matched_terms(folded: str, type_column: str = "issue_type") -> str:
-    """Terms of the selected type found in the statement, in list order."""
+def matched_terms(hits: str, type_column: str = "issue_type") -> str:
+    """Terms of the selected type among the hits, in list order."""
     branches = " ".join(
         f"WHEN {quoted(t)} THEN {array_of(terms)}" for t, terms in ISSUE_TERMS.items()
     )
     terms = f"CASE {type_column} {branches} ELSE {array_of(())} END"
-    return f"filter({terms}, t -> contains({folded}, t))"
+    return f"array_intersect({terms}, {hits})"
 
 
 def issue_tokens(folded: str) -> str:
@@ -127,22 +154,14 @@ def issue_tokens(folded: str) -> str:
     return f"array_except(coalesce({words}, {array_of(())}), {array_of(STOP_WORDS)})"
 
 
-def mentions_column(words: str, spoken: str) -> str:
-    """Is a column related to the issue words of a classified case?
-
-    ``words`` are the words of the folded column name, ``spoken`` is that name
-    with spaces for underscores.
-    """
-    overlap = f"arrays_overlap({words}, issue_tokens)"
-    return f"({spoken} <> '' AND ({overlap} OR contains(issue_phrase, {spoken})))"
-
-
-def candidate_rule(name: str, kind: str, mentioned: str) -> str:
+def candidate_rule(
+    name: str, kind: str, mentioned: str, type_column: str = "issue_type"
+) -> str:
     """Does a column belong to the candidates of the case's issue_type?
 
     ``mentioned`` decides for the two types that look at the words of the issue.
     """
-    return f"""CASE issue_type
+    return f"""CASE {type_column}
         WHEN 'duplicate_key' THEN {contains_any(name, KEY_TERMS)}
         WHEN 'date_gap' THEN {kind} = 'datetime' OR {contains_any(name, DATE_TERMS)}
         WHEN 'category_shift' THEN {contains_any(name, CATEGORY_TERMS)}
@@ -154,10 +173,13 @@ def candidate_rule(name: str, kind: str, mentioned: str) -> str:
 
 
 def with_issue_type(cases: DataFrame) -> DataFrame:
-    """Adds the folded statement, its issue_type and issue_provided."""
+    """Adds the folded statement, its term hits, issue_type and issue_provided."""
     return (
-        cases.withColumn("folded", F.expr("lower(issue_statement)"))
-        .withColumn("issue_type", F.expr(issue_type("folded")))
+        cases.withColumn("lowered", F.expr("lower(issue_statement)"))
+        .withColumn("folded", F.expr(fold("lowered")))
+        .drop("lowered")
+        .withColumn("term_hits", F.expr(term_hits("folded")))
+        .withColumn("issue_type", F.expr(issue_type("folded", "term_hits")))
         .withColumn("issue_provided", F.expr(f"issue_type <> '{MISSING}'"))
     )
 
@@ -174,12 +196,12 @@ def classify(cases: DataFrame) -> DataFrame:
     """Adds issue_type, classification_status, matched_terms, issue_tokens."""
     return (
         with_issue_words(with_issue_type(cases))
-        .withColumn("matched_terms", F.expr(matched_terms("folded")))
+        .withColumn("matched_terms", F.expr(matched_terms("term_hits")))
         .withColumn(
             "classification_status",
             F.expr(f"IF(issue_provided, 'classified_for_planning', '{MISSING}')"),
         )
-        .drop("folded")
+        .drop("folded", "term_hits")
     )
 
 
@@ -234,21 +256,143 @@ def plan_inputs(routed: DataFrame) -> DataFrame:
     )
 
 
-def candidate_columns(cases: DataFrame, profile: DataFrame) -> DataFrame:
-    """Candidate columns of each case, one row per case and column."""
-    mentioned = mentions_column("words", "replace(folded, '_', ' ')")
-    rule = candidate_rule("folded", "inferred_kind", mentioned)
-    columns = profile.selectExpr(
+# Types whose candidates are the columns that the statement mentions, and the others
+# whose candidates depend on the column alone.
+MENTION_TYPES = ("null_increase", "schema_change")
+_NAMED_TYPES = ("duplicate_key", "date_gap", "category_shift", "total_change")
+
+
+#: Names that may stand inside a word are looked up by so many of their first letters.
+_GRAM = 4
+
+
+def _name_keys(columns: DataFrame) -> DataFrame:
+    """The index: dataset_id, how, key, next, name, tail, position of each column.
+
+    A column is mentioned if a word of its name is a word of the statement (how is
+    'word'), or if its name, with spaces for underscores, stands in the sorted words of
+    the statement: inside one word ('inside'), or across two that follow one another
+    ('across': how the first one ends and the second one begins). A name that reaches
+    over more words holds a whole one, which is the first case.
+    """
+    spoken = columns.selectExpr(
         "dataset_id",
         "position",
-        "column_name",
-        "inferred_kind",
-        "lower(column_name) AS folded",
-        "regexp_extract_all(lower(column_name), '([a-z0-9]+)', 1) AS words",
+        "array_distinct(regexp_extract_all(folded, '([a-z0-9]+)', 1)) AS words",
+        "split(replace(folded, '_', ' '), ' ', -1) AS spoken",
+        "folded <> '' AND folded RLIKE '^[a-z0-9_ ]*$' AS plain",
+    )
+    words = "transform(words, w -> struct('word' AS how, w AS key, '' AS next, w AS name, '' AS tail))"
+    whole = f"""CASE WHEN plain AND size(spoken) = 1
+            THEN array(struct('inside' AS how, left(spoken[0], {_GRAM}) AS key, '' AS next,
+                spoken[0] AS name, '' AS tail))
+        WHEN plain AND size(spoken) = 2
+            THEN array(struct('across' AS how, right(spoken[0], 1) AS key,
+                left(spoken[1], 1) AS next, spoken[0] AS name, spoken[1] AS tail))
+        ELSE array() END"""
+    return spoken.selectExpr("dataset_id", "position", f"inline(concat({words}, {whole}))")
+
+
+def _word_keys(words: DataFrame) -> DataFrame:
+    """dataset_id, one, other and the keys under which names may meet them.
+
+    ``words`` has each different (dataset_id, one, other) once; ``other`` is empty for a
+    single word, and else the word that follows it.
+    """
+    # Keys are cut from bytes, so that a long word costs its length, not its square.
+    grams = words.filter("other = ''").selectExpr(
+        "dataset_id", "one", "CAST(one AS BINARY) AS bytes",
+        f"explode(sequence(0, {_GRAM} * length(one) - 1)) AS n",
+    ).selectExpr(
+        "dataset_id", "one", "'' AS other", "'inside' AS how",
+        f"CAST(substring(bytes, n DIV {_GRAM} + 1, n % {_GRAM} + 1) AS STRING) AS key",
+        "'' AS next", f"n DIV {_GRAM} + n % {_GRAM} < length(one) AS whole",
+    ).filter("whole").drop("whole")
+    # A name may take nothing of a word, or its last or first letter and more.
+    ends = """IF(other = '',
+        array(struct('word' AS how, one AS key, '' AS next)),
+        array(struct('across' AS how, '' AS key, '' AS next),
+            struct('across' AS how, right(one, 1) AS key, '' AS next),
+            struct('across' AS how, '' AS key, left(other, 1) AS next),
+            struct('across' AS how, right(one, 1) AS key, left(other, 1) AS next)))"""
+    plain = words.selectExpr("dataset_id", "one", "other", f"inline({ends})")
+    return plain.unionByName(grams)
+
+
+def _reached(index: DataFrame, words: DataFrame) -> DataFrame:
+    """dataset_id, one, other, position: columns that a word, or two in a row, mention."""
+    met = _word_keys(words).join(index, ["dataset_id", "how", "key", "next"])
+    return met.filter(
+        """CASE how WHEN 'word' THEN true
+            WHEN 'inside' THEN contains(one, name)
+            ELSE endswith(one, name) AND startswith(other, tail) END"""
+    ).select("dataset_id", "one", "other", "position")
+
+
+def mentions(worded: DataFrame, columns: DataFrame) -> DataFrame:
+    """dataset_id, sentence, position: the columns that each sentence mentions.
+
+    ``worded`` has dataset_id, sentence (any key of the words) and issue_tokens, any
+    number of rows for a sentence; ``columns`` has dataset_id, position and the folded
+    name. A column can come more than once for a sentence. Everything is joined on
+    words, and each different word of a table once, so the work grows with words and
+    hits, not with cases times columns.
+    """
+    pairs = (
+        "transform(w, t -> struct(t AS one, '' AS other)),"
+        " transform(sequence(1, size(w)), i ->"
+        " struct(w[i - 1] AS one, coalesce(get(w, i), '') AS other))"
+    )
+    said = (
+        worded.filter("size(issue_tokens) > 0 AND dataset_id IS NOT NULL")
+        .selectExpr("dataset_id", "sentence", "array_sort(issue_tokens) AS w")
+        .selectExpr("dataset_id", "sentence", f"inline(array_distinct(concat({pairs})))")
+    )
+    words = said.select("dataset_id", "one", "other").distinct()
+    reached = _reached(_name_keys(columns), words)
+    return said.distinct().join(reached, ["dataset_id", "one", "other"]).select(
+        "dataset_id", "sentence", "position"
+    )
+
+
+def with_sentence(worded: DataFrame) -> DataFrame:
+    """Adds the key of a statement's words; statements of the same words share it."""
+    return worded.withColumn("sentence", F.md5(F.col("issue_phrase")))
+
+
+def reading_names(worded: DataFrame) -> DataFrame:
+    """The cases whose type looks for columns that the statement mentions."""
+    listed = ", ".join(quoted(t) for t in MENTION_TYPES)
+    return worded.filter(f"issue_type IN ({listed})")
+
+
+def folded_names(profile: DataFrame, *kept: str) -> DataFrame:
+    """dataset_id, position and the folded name of each column of a profile."""
+    lowered = profile.selectExpr(
+        "dataset_id", "position", *kept, "lower(column_name) AS lowered"
+    )
+    return lowered.withColumn("folded", F.expr(fold("lowered"))).drop("lowered")
+
+
+def candidate_columns(cases: DataFrame, profile: DataFrame) -> DataFrame:
+    """Candidate columns of each case, one row per case and column."""
+    columns = folded_names(profile, "column_name", "inferred_kind")
+    worded = with_sentence(classify(cases)).select(
+        "case_id", "issue_type", "dataset_id", "sentence", "issue_tokens"
+    )
+    named = ", ".join(
+        f"IF({candidate_rule('folded', 'inferred_kind', 'false', quoted(t))}, {quoted(t)}, NULL)"
+        for t in _NAMED_TYPES
+    )
+    by_type = columns.selectExpr(
+        "dataset_id", "position", "column_name", f"explode(array_compact(array({named}))) AS issue_type"
+    )
+    reading = reading_names(worded)
+    by_name = (
+        reading.join(mentions(reading, columns).distinct(), ["dataset_id", "sentence"])
+        .join(columns.select("dataset_id", "position", "column_name"), ["dataset_id", "position"])
     )
+    out = ["case_id", "issue_type", "dataset_id", "position", "column_name"]
     return (
-        classify(cases)
-        .join(columns, "dataset_id")
-        .filter(rule)
-        .select("case_id", "issue_type", "dataset_id", "position", "column_name")
+        worded.join(by_type, ["dataset_id", "issue_type"]).select(out).unionByName(by_name.select(out))
     )

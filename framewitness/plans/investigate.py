@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewitness.operators import checks, compare, profile, review, runs
+from framewitness.operators import checks, compare, profile, review, routing, runs
 from framewitness.sources.tables import Table
 
 
@@ -43,7 +43,8 @@ class Investigation:
         return runs.run_manifest(self.reviewed, self.comparison)
 
     def close(self) -> None:
-        for frame in self.kept:
+        # The last first: what depends on a released frame would be planned again.
+        for frame in reversed(self.kept):
             frame.unpersist()
 
     def __enter__(self) -> Investigation:
@@ -79,11 +80,14 @@ def investigate(
     named = spark.createDataFrame(pairs, "current_id string, baseline_id string")
     compared = compare.compare(profiled, named).persist()
     facts = checks.table_facts(profiled)
-    keyed = checks.case_keys(cases, facts).withColumn(
-        "outcome_key", F.expr(f"to_json(struct({', '.join(_KEY)}))")
-    )
     # Kept, so that no output classifies the statements again.
-    keyed = keyed.persist()
+    worded = checks.worded_cases(cases).persist()
+    found = checks.mentioned_columns(worded, routing.folded_names(profiled))
+    keyed = (
+        checks.with_mentioned(worded, found)
+        .withColumn("outcome_key", F.expr(f"to_json(struct({', '.join(_KEY)}))"))
+        .persist()
+    )
     keys = keyed.select(
         F.col("outcome_key").alias("case_id"), "issue_provided", *_KEY
     ).distinct()
@@ -93,5 +97,5 @@ def investigate(
     )
     reviewed = keyed.join(shared, "outcome_key").drop("outcome_key", "mentioned")
     return Investigation(
-        profiled, compared, reviewed, (profiled, compared, keyed, outcomes)
+        profiled, compared, reviewed, (profiled, compared, worded, keyed, outcomes)
     )

@@ -1,8 +1,13 @@
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from helpers import cases, snapshots
 
+from framewitness.catalog.queries import QUERIES
+from framewitness.functions.fixed import ISSUE_PRECEDENCE, ISSUE_TERMS, STOP_WORDS
 from framewitness.operators import profile as P
 from framewitness.operators import routing as R
 
@@ -96,3 +101,80 @@ def test_planned_checks_and_inputs(spark):
     assert inputs[2].missing_inputs == [
         "issue statement", "baseline dataset or prior-run artifact",
     ]
+
+
+def _folded_words(statement):
+    return set(re.findall("[a-z0-9]+", statement.casefold())) - set(STOP_WORDS)
+
+
+def test_overlapping_terms_and_folding(spark):
+    terms = [t for found in ISSUE_TERMS.values() for t in found]
+    draw = random.Random(4)
+    texts = ["Mißing column", "ſchema ﬁeld", "Straße", "STATUſ", "no recordſ for one day"]
+    for _ in range(400):
+        text = "".join(draw.choice([*terms, " ", "x", "Missing ", "column "]) for _ in range(5))
+        texts.append(text[draw.randint(0, 4) :])
+    texts.append("words " * 50_000 + "gap")
+    rows = R.classify(cases(spark, *[(t, None, None) for t in texts])).collect()
+    for row in rows:
+        text = row.issue_statement.casefold()
+        hits = {k: [t for t in found if t in text] for k, found in ISSUE_TERMS.items()}
+        want = next((k for k in ISSUE_PRECEDENCE if hits.get(k)), "general_suspected_issue")
+        if not text.strip():
+            want = "missing_issue_statement"
+        assert (row.issue_type, row.matched_terms) == (want, hits.get(want, []))
+        assert set(row.issue_tokens) == _folded_words(row.issue_statement)
+
+
+def _mentions(name, words):
+    name = name.casefold()
+    own = set(re.findall("[a-z0-9]+", name))
+    return bool(name) and (bool(own & words) or name.replace("_", " ") in " ".join(sorted(words)))
+
+
+def test_mentions_equal_the_rule(spark):
+    draw = random.Random(9)
+    parts = ["id", "a", "order", "rder", "der", "ids", "key", "keys", "x1", "", "größe", "straße", "ID"]
+    names = ["_", "__", " ", "a-b", "order key", "", "é", "r_k", "s_", "_k", "status_of_order"]
+    names += ["_".join(draw.choices(parts, k=draw.randint(1, 3))) for _ in range(150)]
+    names += ["".join(draw.choices("aidorkey_", k=draw.randint(1, 7))) for _ in range(150)]
+    statements = [
+        "header changed " + " ".join(draw.choices([*parts, "borders", "keyed", "strasse"], k=draw.randint(0, 6)))
+        for _ in range(80)
+    ]
+    columns = [("t", i, name, "text") for i, name in enumerate(names)]
+    profile = spark.createDataFrame(
+        columns, "dataset_id string, position int, column_name string, inferred_kind string"
+    )
+    rows = cases(spark, *[(s, "t", None) for s in statements], (statements[0], None, None))
+    found = {(r.case_id, r.position) for r in R.candidate_columns(rows, profile).collect()}
+    want = {
+        (i, p)
+        for i, s in enumerate(statements)
+        for p, name in enumerate(names)
+        if _mentions(name, _folded_words(s))
+    }
+    assert found == want and len(want) > 1_000
+
+
+def test_many_columns_and_cases(spark):
+    """Cases times columns would be 5 billion comparisons."""
+    columns = spark.range(50_000).selectExpr(
+        "'wide' AS dataset_id", "int(id) AS position", "concat('measure', id, '_q') AS column_name",
+        "'text' AS inferred_kind",
+    )
+    rows = spark.range(100_000).selectExpr(
+        "id AS case_id",
+        "concat('header changed near measure', id % 60000, ' of plant', id) AS issue_statement",
+        "'wide' AS dataset_id", "CAST(NULL AS STRING) AS baseline_id",
+    )
+    found = R.candidate_columns(rows, columns)
+    assert found.filter("column_name <> concat('measure', case_id % 60000, '_q')").count() == 0
+    assert found.count() == 90_000
+
+
+def test_a_text_is_read_once(spark):
+    for name in ("route_documents", "route_conversations"):
+        df = QUERIES[name](spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == 1 and plan.count("(?=") == 2, plan
