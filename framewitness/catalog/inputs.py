@@ -63,13 +63,13 @@ def orders_by_date(spark: SparkSession, sf: str) -> tuple[Table, Table]:
     """Orders from 1998 on, and the orders before."""
     orders = rows(spark, sf, "orders")
     split = "TIMESTAMP_NTZ'1998-01-01 00:00:00'"
-    return (
-        Table.of(
-            orders.filter(f"o_orderdate >= {split}"), "orders_recent", columnar=True
-        ),
-        Table.of(
-            orders.filter(f"o_orderdate < {split}"), "orders_earlier", columnar=True
-        ),
+    return Table.cuts(
+        orders,
+        {
+            "orders_recent": f"o_orderdate >= {split}",
+            "orders_earlier": f"o_orderdate < {split}",
+        },
+        columnar=True,
     )
 
 
@@ -130,10 +130,10 @@ def big_numbers(spark: SparkSession, sf: str) -> Table:
 
 
 def events_without_errors(spark: SparkSession, sf: str) -> tuple[Table, Table]:
-    events = rows(spark, sf, "events")
-    return (
-        Table.of(events.filter("event_type <> 'error'"), "events_now", columnar=True),
-        Table.of(events, "events_before", columnar=True),
+    return Table.cuts(
+        rows(spark, sf, "events"),
+        {"events_now": "event_type <> 'error'", "events_before": None},
+        columnar=True,
     )
 
 

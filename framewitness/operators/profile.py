@@ -11,6 +11,9 @@ Three physical shapes produce the same measures:
 * unique counts over anything else (a join, text files): one pass over the source
   that lays all columns out as (position, value) rows and groups those.
 
+Tables that are cuts of one frame (``Table.cuts``) are read in the same passes, with the
+column of each side as a key of its own.
+
 In the last two every further measure is computed from the grouped values, so
 parsing and length work is done once per different value. A value that fills a
 third of the table collapses in the map-side aggregation. Long strings are
@@ -24,7 +27,7 @@ last digit.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -200,27 +203,46 @@ class _Source:
         return moment
 
 
+def _whole(table: Table) -> DataFrame:
+    """What is scanned for a table: the frame that it is a cut of, if it is one."""
+    return table.frame if table.origin is None else table.origin
+
+
+def _laid_out(sources: list[_Source], row) -> str:
+    """The structs of a row's columns; those of a cut only where the row belongs to it."""
+    parts = []
+    for table, members in _by_table(sources):
+        own = f"array({', '.join(map(row, members))})"
+        parts.append(own if table.side is None else f"IF({table.side}, {own}, NULL)")
+    if len(parts) == 1 and sources[0].table.side is None:
+        return f"inline({parts[0]})"
+    return f"inline(flatten(array_compact(array({', '.join(parts)}))))"
+
+
 def _wide(table: Table, sources: list[_Source], asked) -> DataFrame:
     """Counts, numbers and lengths: one aggregate over the raw rows."""
     structs = []
     for source in sources:
-        value = source.value()
-        cells = f"count({value})" if source.counted(asked) else "CAST(NULL AS BIGINT)"
-        fields = {"id": str(source.id), "row_count": "count(1)", "non_null_count": cells}
+        value, side = source.value(), source.table.side
+        among = f" FILTER (WHERE {side})" if side else ""
+        cells = f"count({value}){among}" if source.counted(asked) else "CAST(NULL AS BIGINT)"
+        fields = {
+            "id": str(source.id), "row_count": f"count(1){among}", "non_null_count": cells,
+        }
         if "numeric" in asked:
             number, exact = source.number(value), source.exact(value)
             for name, call in ("min", "min"), ("max", "max"), ("sum", "try_sum"):
                 wanted = source.is_number
-                fields[f"num_{name}"] = f"{call}({number})" if wanted else number
+                fields[f"num_{name}"] = f"{call}({number}){among}" if wanted else number
                 wanted = source.scale is not None
-                measure = f"{call}({exact})" if wanted else exact
+                measure = f"{call}({exact}){among}" if wanted else exact
                 fields[f"exact_{name}"] = f"CAST({measure} AS DECIMAL(38,0))"
         if "text" in asked:
             for name in ("min", "max", "sum"):
-                measure = f"{name}(length({value}))" if source.is_text else "NULL"
+                measure = f"{name}(length({value})){among}" if source.is_text else "NULL"
                 fields[f"len_{name}"] = f"CAST({measure} AS BIGINT)"
         structs.append(struct_of(**fields))
-    wide = table.frame.agg(F.expr(f"array({', '.join(structs)})").alias("rows"))
+    wide = _whole(table).agg(F.expr(f"array({', '.join(structs)})").alias("rows"))
     return wide.selectExpr("inline(rows)")
 
 
@@ -272,7 +294,7 @@ def _by_day(table: Table, sources: list[_Source], asked, formats) -> DataFrame:
                 first[f"{name}_{call}"] = f"CAST({added} AS {kind})"
                 again = "try_sum" if call == "sum" else call
                 last[f"{name}_{call}"] = f"CAST({again}({name}_{call}) AS {kind})"
-    cells = table.frame.selectExpr(f"inline(array({', '.join(map(row, sources))}))")
+    cells = _whole(table).selectExpr(_laid_out(sources, row))
     found = cells.groupBy("id", "day").agg(*_named(first))
     # A row per column keeps the columns of an empty table in the result.
     spark = table.frame.sparkSession
@@ -285,12 +307,16 @@ def _by_day(table: Table, sources: list[_Source], asked, formats) -> DataFrame:
     )
 
 
-def _with_row_counts(found: DataFrame, first: _Source, others: list[_Source]):
+def _with_row_counts(found: DataFrame, dated: list[_Source], plain: list[_Source]):
     """Rows for columns of which nothing but the table's row count is asked."""
-    ids = ", ".join(str(s.id) for s in (first, *others))
+    others = {table.dataset_id: members for table, members in _by_table(plain)}
+    whens = []
+    for table, (first, *_) in _by_table(dated):
+        ids = [first.id, *(s.id for s in others.get(table.dataset_id, ()))]
+        whens.append(f"WHEN {first.id} THEN array({', '.join(map(str, ids))})")
     measures = [c for c in found.columns if c not in ("id", "row_count")]
     return found.selectExpr(
-        f"explode(IF(id = {first.id}, array({ids}), array(id))) AS own", "*"
+        f"explode(CASE id {' '.join(whens)} ELSE array(id) END) AS own", "*"
     ).selectExpr(
         "own AS id", "row_count", *[f"IF(own = id, {c}, NULL) AS {c}" for c in measures]
     )
@@ -302,14 +328,14 @@ def _named(measures: dict[str, str]) -> list:
 
 def _ungrouped(sources: list[_Source], asked, formats) -> DataFrame:
     parts = []
-    for table, members in _by_table(sources):
+    for table, members in _by_scan(sources):
         dated = [s for s in members if "dates" in asked and s.may_hold_dates]
         if dated and not table.columnar:
             dated = members  # a source that is read whole is read once
         plain = [s for s in members if s not in dated]
         if dated and plain and not any(s.counted(asked) for s in plain):
             days = _by_day(table, dated, asked, formats)
-            parts.append(_with_row_counts(days, dated[0], plain))
+            parts.append(_with_row_counts(days, dated, plain))
             continue
         if plain:
             parts.append(_wide(table, plain, asked))
@@ -338,6 +364,16 @@ def _by_table(sources: list[_Source]) -> list[tuple[Table, list[_Source]]]:
     return list(groups.values())
 
 
+def _by_scan(sources: list[_Source]) -> list[tuple[Table, list[_Source]]]:
+    """Columns of tables that are read in one pass: cuts of one frame belong together."""
+    groups: dict[int | str, tuple[Table, list[_Source]]] = {}
+    for source in sources:
+        table = source.table
+        key = table.dataset_id if table.origin is None else id(table.origin)
+        groups.setdefault(key, (table, []))[1].append(source)
+    return list(groups.values())
+
+
 def _cell(id_, n, present, number, exact, length, moment, day) -> list[str]:
     return [
         f"int({id_}) AS id",
@@ -419,7 +455,7 @@ def _cells_of_family(
             read = epoch_nanos_to_date("key", whole=family == "whole")
             day = f"IF(id IN ({', '.join(named)}), {read}, NULL)"
     return (
-        table.frame.selectExpr(f"inline(array({', '.join(map(row, sources))}))")
+        _whole(table).selectExpr(_laid_out(sources, row))
         .groupBy("id", "key", *(["size"] if is_text else []), *(["moment"] if dated else []))
         .agg(F.expr("count(1)").alias("n"))
         .selectExpr(
@@ -472,7 +508,7 @@ def _cells_in_one_pass(
         )
 
     grouped = (
-        table.frame.selectExpr(f"inline(array({', '.join(map(slots, sources))}))")
+        _whole(table).selectExpr(_laid_out(sources, slots))
         .groupBy("id", "whole", "real", "text", "clock")
         .agg(F.expr("count(1)").alias("n"))
     )
@@ -519,7 +555,7 @@ def _cells(table: Table, sources: list[_Source], asked, formats) -> list[DataFra
     for source in sources:
         groups.setdefault(_family(source, table.columnar), []).append(source)
     parts = [
-        _cells_of_column(table, source, asked, formats)
+        _cells_of_column(source.table, source, asked, formats)
         for source in groups.pop(None, [])
     ]
     for family, members in groups.items():
@@ -533,7 +569,7 @@ def _cells(table: Table, sources: list[_Source], asked, formats) -> list[DataFra
 def _grouped(sources: list[_Source], asked, formats) -> DataFrame:
     """Measures with exact unique counts, from grouped values."""
     parts = []
-    for table, members in _by_table(sources):
+    for table, members in _by_scan(sources):
         parts += _cells(table, members, asked, formats)
     # A zero-weight row per column keeps columns of an empty table in the result.
     spark = sources[0].table.frame.sparkSession
@@ -572,9 +608,17 @@ def sources_of(
 ) -> list[_Source]:
     """The columns of all tables, numbered; only those with the given names."""
     wanted = None if columns is None else set(columns)
+    tables = list(tables)
+    origins = [id(table.origin) for table in tables]
+    # A cut whose siblings are not asked for is a table of its own, and its condition
+    # reaches the scan.
+    alone = [
+        replace(table, origin=None, side=None) if origins.count(id(table.origin)) == 1 else table
+        for table in tables
+    ]
     chosen = [
         (table, position)
-        for table in tables
+        for table in alone
         for position, name in enumerate(table.names)
         if wanted is None or name in wanted
     ]

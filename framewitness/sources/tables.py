@@ -43,6 +43,10 @@ class Table:
     source_name: str | None = None
     source_format: str = "dataframe"
     columnar: bool = False
+    # The frame that this table and others are cuts of, and the column that says which
+    # of its rows belong to this one.
+    origin: DataFrame | None = None
+    side: str | None = None
 
     @classmethod
     def of(cls, df: DataFrame, dataset_id: str, names=None, **source) -> Table:
@@ -52,6 +56,30 @@ class Table:
         frame = df.toDF(*[f"c{i}" for i in range(len(names))])
         return cls(dataset_id, frame, names, **source)
 
+    @classmethod
+    def cuts(cls, df: DataFrame, conditions: dict[str, str | None], **source) -> tuple[Table, ...]:
+        """Tables that are rows of one frame, each by a condition on its columns.
+
+        None takes all rows; conditions may overlap. Such tables are profiled together
+        in one pass over the frame, with the side as a part of the grouping key.
+        """
+        sides = [f"s{i}" for i in range(len(conditions))]
+        flags = [
+            f"{'true' if condition is None else condition} AS {side}"
+            for side, condition in zip(sides, conditions.values())
+        ]
+        columns = [F.col(f"`{name}`").alias(f"c{i}") for i, name in enumerate(df.columns)]
+        origin = df.select(*columns, *[F.expr(flag) for flag in flags])
+        origin = origin.filter(" OR ".join(sides))
+        kept = [f"c{i}" for i in range(len(df.columns))]
+        return tuple(
+            cls(
+                dataset_id, origin.filter(side).select(*kept), tuple(df.columns),
+                origin=origin, side=side, **source,
+            )
+            for dataset_id, side in zip(conditions, sides)
+        )
+
     @property
     def column_count(self) -> int:
         return len(self.names)

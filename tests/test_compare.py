@@ -109,21 +109,48 @@ def test_each_column_is_read_once_per_side(spark):
     sf = "/root/testdata/sf0.001"
     for name, sides in (
         ("check_duplicate_keys", 1), ("check_category_shape", 1),
-        ("check_date_gaps", 1), ("check_general_profile", 1), ("cmp_dates", 2),
+        ("check_date_gaps", 1), ("check_general_profile", 1),
+        # both sides are cuts of one table
+        ("cmp_dates", 1), ("cmp_numeric", 1), ("cmp_category_shape", 1),
         # the current side is a union of two scans
         ("cmp_duplicates", 3),
     ):
         scans = _scans(QUERIES[name](spark, sf))
         scans.pop("(scans)")
         join_key = scans.pop("doc_id", 0)
+        # What the cut of events depends on is read with the columns of each type.
+        assert scans.pop("event_type", 0) <= 4
         assert scans and max(scans.values()) <= sides, (name, scans)
         assert join_key <= 2 * sides
-    for name, sides in ("check_row_count", 1), ("cmp_row_count", 2):
+    for name, sides in ("check_row_count", 1), ("cmp_row_count", 1):
         scans = _scans(QUERIES[name](spark, sf))
         # Only what a filter needs is read to count rows.
         assert set(scans) <= {"(scans)", "o_orderdate"} and scans["(scans)"] == sides
 
 
+def test_cuts_of_one_frame_equal_separate_tables(spark):
+    from framewitness.operators import profile
+    from framewitness.sources.tables import Table
+
+    rows = [
+        (i, None if i % 7 == 0 else f"2026-01-{i % 28 + 1:02d}", f"t{i % 5}" * (i % 40), i / 3, i % 2 == 0,
+         None if i % 3 == 0 else i)
+        for i in range(200)
+    ]
+    df = spark.createDataFrame(rows, "order_id int, day string, label string, x double, ok boolean, s1 int")
+    conditions = {"low": "order_id < 120", "all": None, "none": "s1 = -1", "odd": "s1 % 2 = 1"}
+    for columnar in (True, False):
+        cuts = Table.cuts(df, conditions, columnar=columnar)
+        apart = [
+            Table.of(df.filter(c or "true"), name, columnar=columnar) for name, c in conditions.items()
+        ]
+        for measures in (profile.ALL_MEASURES, ("nulls",), ("dates",), ("numeric", "text"), ()):
+            one, other = (
+                sorted(map(str, profile.profiles(t, measures=measures).collect())) for t in (cuts, apart)
+            )
+            assert one == other, (columnar, measures)
+
+
 def test_details_are_complete(spark):
     from framewitness.operators import compare, profile
     from framewitness.sources.tables import Table
