@@ -69,6 +69,8 @@ def orders_by_date(spark: SparkSession, sf: str) -> tuple[Table, Table]:
             "orders_recent": f"o_orderdate >= {split}",
             "orders_earlier": f"o_orderdate < {split}",
         },
+        source_name=f"{sf}/orders.parquet",
+        source_format="parquet",
         columnar=True,
     )
 
@@ -228,3 +230,27 @@ def marked_texts(spark: SparkSession, sf: str) -> DataFrame:
         f"{by_kind(0)} AS dataset_id",
         f"{by_kind(1)} AS baseline_id",
     )
+
+
+# What is stored of a case, by the number of its event: stage names and their status.
+STORED = (
+    (),
+    ("evidence",),
+    ("evidence", "hypotheses"),
+    ("evidence", "hypotheses", "findings"),
+    ("evidence", "hypotheses", "findings", "report"),
+    ("evidence", "hypotheses", "findings", "report", "notes"),
+    ("evidence", "hypotheses", "findings", "report", "notes failed"),
+)
+
+
+def stored_stages(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest with stages of every event that is a case."""
+    sets = ", ".join(array_of(stages) for stages in STORED)
+    return rows(spark, sf, "events").selectExpr(
+        f"explode(array({sets})[int(event_id % {len(STORED)})]) AS entry", "event_id"
+    ).selectExpr(
+        "split(entry, ' ')[0] AS stage",
+        "CAST(event_id AS STRING) AS case_id",
+        "IF(endswith(entry, ' failed'), 'failed', 'completed') AS status",
+    )

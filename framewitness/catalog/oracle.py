@@ -13,6 +13,7 @@ from framewitness.catalog.inputs import (
     PLANTED_TERMS,
     PLANTED_WORDS,
     STATEMENTS,
+    STORED,
     TABLE_NAMES,
     TEXT_TABLES,
 )
@@ -335,6 +336,14 @@ _WHOLE = """position, column_name, inferred_kind, row_count, non_null_count, nul
     dt_parse_percentage, dt_min, dt_max, day_min, day_max,
     days::DOUBLE AS dt_day_count, expected::DOUBLE AS dt_expected_days,
     missing::DOUBLE AS dt_missing_days, txt_min_len, txt_max_len, txt_avg_len"""
+ORACLE["profile_sketches"] = _from_profile(
+    ["lineitem", "events", "documents"],
+    """dataset_id, column_name, inferred_kind, row_count, null_count, unique_count,
+    true AS within_bound, num_min, num_max, dt_min, dt_max,
+    CASE WHEN day_min IS NOT NULL THEN days END::BIGINT AS dt_day_count,
+    CASE WHEN day_min IS NOT NULL THEN missing END::BIGINT AS dt_missing_days,
+    txt_min_len, txt_max_len""",
+)
 ORACLE["profile_table_lineitem"] = _from_profile(["lineitem"], _WHOLE)
 ORACLE["profile_table_events"] = _from_profile(["events"], _WHOLE)
 ORACLE["profile_table_docs"] = _from_profile(["docs_now"], _WHOLE)
@@ -1389,6 +1398,50 @@ ORACLE["run_status"] = _routing(
          WHEN ds IS NULL THEN 'investigation_plan_created'
          ELSE 'markdown_report_created' END AS stage FROM cases"""
 )
+_STORED = ", ".join(f"({i}, {_list(stages)})" for i, stages in enumerate(STORED))
+ORACLE["stored_status"] = f"""WITH {_statements()}, {_cases()},
+    stored(k, stages) AS (VALUES {_STORED})
+    SELECT case_id, issue_type, route_name, split_part(reached, '/', 1) AS status,
+        split_part(reached, '/', 2) AS stage FROM (
+        SELECT case_id, issue_type, route_name, CASE
+            WHEN issue_type = 'missing_issue_statement'
+                THEN 'plan_not_ready/missing_issue_statement'
+            WHEN list_contains(stages, 'notes')
+                THEN 'llm_notes_written/optional_llm_notes_created'
+            WHEN list_contains(stages, 'notes failed')
+                THEN 'report_written/llm_notes_failed_validation'
+            WHEN list_contains(stages, 'report')
+                THEN 'report_written/markdown_report_created'
+            WHEN list_contains(stages, 'findings')
+                THEN 'findings_summarized/hypotheses_and_findings_created'
+            WHEN list_contains(stages, 'evidence')
+                THEN 'evidence_recorded/deterministic_checks_recorded'
+            WHEN ds IS NOT NULL THEN 'profiled_planned/dataset_profiled_plan_created'
+            ELSE 'planned/investigation_plan_created' END AS reached
+        FROM cases JOIN stored ON k = case_id % {len(STORED)})"""
+_SECTIONS = {
+    "supported_signals": ("findings_supported", "false"),
+    "not_supported_signals": ("findings_not_supported", "false"),
+    "unclear_items": ("findings_unclear", "true"),
+}
+ORACLE["report_finding_rows"] = " UNION ALL ".join(
+    f"""SELECT case_id, '{section}' AS section, item_id,
+    CASE WHEN evidence_ids = '' THEN 'None' ELSE replace(evidence_ids, ',', ', ') END
+        AS evidence_ids, {filled} AS has_reason, {filled} AS has_check
+    FROM ({ORACLE[source]})"""
+    for section, (source, filled) in _SECTIONS.items()
+)
+ORACLE["cmp_sources"] = """SELECT 'orders_recent' AS current_id,
+    'orders_earlier' AS baseline_id, 'orders.parquet' AS current_name,
+    'parquet' AS current_format,
+    (SELECT count(*) FROM orders WHERE o_orderdate >= '1998-01-01') AS current_row_count,
+    (SELECT count(*) FROM (DESCRIBE orders)) AS current_column_count,
+    'orders.parquet' AS baseline_name, 'parquet' AS baseline_format,
+    (SELECT count(*) FROM orders WHERE o_orderdate < '1998-01-01') AS baseline_row_count,
+    (SELECT count(*) FROM (DESCRIBE orders)) AS baseline_column_count
+    UNION ALL SELECT 'customer', 'suppliers', 'customer.parquet', 'parquet',
+    (SELECT count(*) FROM customer), (SELECT count(*) FROM (DESCRIBE customer)),
+    '(none)', 'dataframe', (SELECT count(*) FROM supplier), 4"""
 ORACLE["run_manifest"] = _reviewed(
     """SELECT case_id, c.issue_type, c.route_name,
     coalesce(c.ds, '(none)') AS dataset_id, coalesce(u.n, -1) AS row_count,

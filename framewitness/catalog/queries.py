@@ -12,9 +12,9 @@ from framewitness.catalog import inputs
 from framewitness.functions.expr import quoted
 from framewitness.functions.fixed import HYPOTHESIS_STATUSES, KEY_TERMS
 from framewitness.operators import checks, compare, notes, profile, review
-from framewitness.operators import routing, runs, safety
+from framewitness.operators import routing, runs, safety, sketches
 from framewitness.plans import Investigation, investigate
-from framewitness.sources.tables import Table, type_inference
+from framewitness.sources.tables import Table, table_sources, type_inference
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -173,6 +173,47 @@ def profile_big_integers(spark, sf):
     )
 
 
+# How each table is cut into an older and a newer half that add up.
+_HALVES = {
+    "lineitem": "l_orderkey % 2 = 0",
+    "events": "event_id % 3 = 0",
+    "documents": "doc_id % 2 = 0",
+}
+
+
+@query
+def profile_sketches(spark, sf):
+    """Merged states of two halves of each table, next to the exact unique counts."""
+    states = []
+    for name, condition in _HALVES.items():
+        frame = inputs.rows(spark, sf, name)
+        for half in (condition, f"NOT ({condition})"):
+            states.append(sketches.state(Table.of(frame.filter(half), name, columnar=True)))
+    merged = sketches.finished(sketches.merged(states))
+    tables = [inputs.table(spark, sf, name) for name in _HALVES]
+    exact = profile.profiles(tables, measures=("unique",)).selectExpr(
+        "dataset_id", "position", "unique_count AS exact_count"
+    )
+    error = sketches.unique_error()
+    return merged.join(exact, ["dataset_id", "position"]).selectExpr(
+        "dataset_id",
+        "column_name",
+        "inferred_kind",
+        "row_count",
+        "null_count",
+        "exact_count AS unique_count",
+        f"abs(unique_count - exact_count) <= {error} * exact_count AS within_bound",
+        "num_min",
+        "num_max",
+        "dt_min",
+        "dt_max",
+        "dt_day_count",
+        "dt_missing_days",
+        "txt_min_len",
+        "txt_max_len",
+    )
+
+
 @query
 def profile_text_length(spark, sf):
     documents = profile.column_profile(
@@ -615,6 +656,22 @@ def cmp_row_count(spark, sf):
     return compared.selectExpr("current_id", "baseline_id", "rows.*")
 
 
+@query
+def cmp_sources(spark, sf):
+    """Where both sides of a comparison come from, and their shape."""
+    sides = inputs.orders_by_date(spark, sf)
+    other = inputs.table(spark, sf, "customer"), inputs.parties(spark, sf)[1]
+    compared = [
+        compare.with_sources(
+            _compared(spark, pair, measures=("nulls",)), table_sources(spark, pair)
+        )
+        for pair in (sides, other)
+    ]
+    return reduce(DataFrame.unionByName, map(compare.source_rows, compared)).selectExpr(
+        "* EXCEPT (baseline_name)", "coalesce(baseline_name, '(none)') AS baseline_name"
+    )
+
+
 @query
 def cmp_column_count(spark, sf):
     return _comparison_of_parties(spark, sf).selectExpr(
@@ -985,6 +1042,14 @@ def report_hypothesis_rows(spark, sf):
     )
 
 
+@query
+def report_finding_rows(spark, sf):
+    return review.report_finding_rows(_investigation(spark, sf).reviewed).selectExpr(
+        "case_id", "section", "item_id", "evidence_ids",
+        "reason IS NOT NULL AS has_reason", "check_text IS NOT NULL AS has_check",
+    )
+
+
 # --- safety -------------------------------------------------------------------
 
 
@@ -1057,6 +1122,13 @@ def run_status(spark, sf):
     return runs.run_status(_investigation(spark, sf).reviewed)
 
 
+@query
+def stored_status(spark, sf):
+    """Status from what is stored, over all eight states."""
+    cases, stored = inputs.issue_cases(spark, sf), inputs.stored_stages(spark, sf)
+    return runs.stored_status(cases, stored)
+
+
 @query
 def run_manifest(spark, sf):
     none = "'(none)'"

@@ -273,6 +273,37 @@ def compare(profile: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def with_sources(comparison: DataFrame, sources: DataFrame) -> DataFrame:
+    """Adds where both sides come from: structs current_source and baseline_source.
+
+    ``sources`` has dataset_id, source_name and source_format (``table_sources``); a side
+    that it does not have gets null.
+    """
+    for side in ("current", "baseline"):
+        own = sources.selectExpr(
+            f"dataset_id AS {side}_id",
+            f"struct(source_name AS name, source_format AS format) AS {side}_source",
+        )
+        comparison = comparison.join(own, f"{side}_id", "left")
+    return comparison
+
+
+def source_rows(comparison: DataFrame) -> DataFrame:
+    """Name, format and shape of both sides, one row per pair; the name has no folders."""
+    file_name = "regexp_extract({0}_source.name, '([^/]*)/*$', 1) AS {0}_name"
+    return comparison.selectExpr(
+        *_KEY,
+        *[
+            text.format(side)
+            for side in ("current", "baseline")
+            for text in (
+                file_name, "{0}_source.format AS {0}_format", "rows.{0} AS {0}_row_count",
+                "column_counts.{0} AS {0}_column_count",
+            )
+        ],
+    )
+
+
 def details(comparison: DataFrame, section: str) -> DataFrame:
     """Detail rows of one section (nulls, numbers, dates, categories, duplicates)."""
     source = "schema.kind_changes" if section == "kind_changes" else f"{section}.details"

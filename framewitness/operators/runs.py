@@ -13,6 +13,7 @@ from framewitness.functions.fixed import (
     UNCLEAR,
 )
 from framewitness.operators.checks import with_shared
+from framewitness.operators.routing import route
 from framewitness.operators.safety import holds_blocked_term
 
 # --- Fixed values: (status, stage) of a run -----------------------------------
@@ -28,6 +29,35 @@ RUN_STAGES = {
 }
 
 
+# What a run has reached, the furthest first, by what exists of it.
+_CONDITIONS = {
+    "notes": "issue_provided AND notes_valid",
+    "notes_failed": "issue_provided AND NOT notes_valid",
+    "report": "issue_provided AND has_report",
+    "findings": "issue_provided AND has_findings",
+    "evidence": "issue_provided AND has_evidence",
+    "missing": "NOT issue_provided",
+    "profiled": "has_data",
+}
+
+
+def _with_status(state: DataFrame) -> DataFrame:
+    def chain(which: int) -> str:
+        whens = " ".join(
+            f"WHEN {condition} THEN {quoted(RUN_STAGES[name][which])}"
+            for name, condition in _CONDITIONS.items()
+        )
+        return f"CASE {whens} ELSE {quoted(RUN_STAGES['planned'][which])} END"
+
+    return state.selectExpr(
+        "case_id",
+        "issue_type",
+        "route_name",
+        f"{chain(0)} AS status",
+        f"{chain(1)} AS stage",
+    )
+
+
 def run_status(
     reviewed: DataFrame, *, reported: bool = True, notes: DataFrame | None = None
 ) -> DataFrame:
@@ -35,6 +65,7 @@ def run_status(
 
     ``notes`` (case_id, notes_valid) marks cases with validated notes;
     ``reported`` says whether report rows were written for reviewed cases.
+    ``stored_status`` reads both off what is stored.
     """
     state = reviewed.selectExpr(
         "case_id",
@@ -42,6 +73,7 @@ def run_status(
         "route_name",
         "issue_provided",
         "has_data",
+        f"counts.hypotheses > 0 AND {'true' if reported else 'false'} AS has_report",
         "counts.hypotheses > 0 AS has_findings",
         "issue_provided AND has_data AS has_evidence",
     )
@@ -49,30 +81,33 @@ def run_status(
         state = state.withColumn("notes_valid", F.lit(None).cast("boolean"))
     else:
         state = state.join(notes.select("case_id", "notes_valid"), "case_id", "left")
-    conditions = {
-        "notes": "issue_provided AND notes_valid",
-        "notes_failed": "issue_provided AND NOT notes_valid",
-        "report": f"has_findings AND {'true' if reported else 'false'}",
-        "findings": "has_findings",
-        "evidence": "has_evidence",
-        "missing": "NOT issue_provided",
-        "profiled": "has_data",
-    }
+    return _with_status(state)
 
-    def chain(which: int) -> str:
-        whens = " ".join(
-            f"WHEN {condition} THEN {quoted(RUN_STAGES[name][which])}"
-            for name, condition in conditions.items()
-        )
-        return f"CASE {whens} ELSE {quoted(RUN_STAGES['planned'][which])} END"
 
-    return state.selectExpr(
-        "case_id",
-        "issue_type",
-        "route_name",
-        f"{chain(0)} AS status",
-        f"{chain(1)} AS stage",
+def stored_status(cases: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Status and stage of each case, from the stages that a manifest says are there.
+
+    ``cases`` are as for routing, ``manifest`` has stage, case_id (as text) and status, a
+    row for each stage and case (``StageStore.manifest``). Notes that are stored with
+    another status than 'completed' failed validation. Cases without a row in the
+    manifest, and stages with other names, count as nothing stored.
+    """
+    exists = {
+        "has_report": "bool_or(stage = 'report')",
+        "has_findings": "bool_or(stage = 'hypotheses') AND bool_or(stage = 'findings')",
+        "has_evidence": "bool_or(stage = 'evidence')",
+        "notes_valid": "bool_or(IF(stage = 'notes', status = 'completed', NULL))",
+    }
+    stored = (
+        manifest.groupBy(F.col("case_id").alias("stored_case"))
+        .agg(*[F.expr(text).alias(name) for name, text in exists.items()])
     )
+    routed = route(cases).select(
+        "case_id", "issue_type", "route_name", "issue_provided",
+        F.expr("dataset_id IS NOT NULL").alias("has_data"),
+    )
+    joined = routed.join(stored, F.expr("CAST(case_id AS STRING) = stored_case"), "left")
+    return _with_status(joined)
 
 
 def run_manifest(reviewed: DataFrame, comparison: DataFrame) -> DataFrame:

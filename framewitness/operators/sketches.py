@@ -110,7 +110,9 @@ def merged(states: Iterable[DataFrame]) -> DataFrame:
     return rows.groupBy(*profile.DESCRIPTION).agg(
         *measures,
         F.expr("array_distinct(flatten(collect_list(days)))").alias("days"),
-        F.expr("hll_union_agg(unique_sketch)").alias("unique_sketch"),
+        F.expr("IF(count(unique_sketch) = 0, NULL, hll_union_agg(unique_sketch))").alias(
+            "unique_sketch"
+        ),
     )
 
 
@@ -124,7 +126,7 @@ def finished(states: DataFrame) -> DataFrame:
     raw = states.selectExpr(
         *profile.DESCRIPTION,
         *_MERGED,
-        f"least({settled}, non_null_count) AS unique_count",
+        f"IF(unique_sketch IS NULL, NULL, least({settled}, non_null_count)) AS unique_count",
         "array_min(days) AS day_min",
         "array_max(days) AS day_max",
         "bigint(size(days)) AS day_count",

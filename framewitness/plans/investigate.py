@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewitness.operators import checks, compare, profile, review, routing, runs
-from framewitness.sources.tables import Table
+from framewitness.sources.tables import Table, table_sources
 
 
 # What the outcome of a case depends on.
@@ -42,6 +42,9 @@ class Investigation:
     def runs(self) -> DataFrame:
         return runs.run_manifest(self.reviewed, self.comparison)
 
+    def sources(self) -> DataFrame:
+        return compare.source_rows(self.comparison)
+
     def close(self) -> None:
         # The last first: what depends on a released frame would be planned again.
         for frame in reversed(self.kept):
@@ -78,7 +81,9 @@ def investigate(
         raise ValueError(f"pairs name unknown tables: {sorted(unknown)}")
     profiled = profile.profiles(tables).persist()
     named = spark.createDataFrame(pairs, "current_id string, baseline_id string")
-    compared = compare.compare(profiled, named).persist()
+    compared = compare.with_sources(
+        compare.compare(profiled, named), table_sources(spark, tables)
+    ).persist()
     facts = checks.table_facts(profiled)
     # Kept, so that no output classifies the statements again.
     worded = checks.worded_cases(cases).persist()

@@ -1,6 +1,6 @@
 """Reading tables in and writing results out."""
 
-from framewitness.sources.stages import stage_table, write_stage
+from framewitness.sources.stages import StageStore, stage_table, write_stage
 from framewitness.sources.tables import (
     Table,
     read_csv,
@@ -11,6 +11,7 @@ from framewitness.sources.tables import (
 )
 
 __all__ = [
+    "StageStore",
     "Table",
     "read_csv",
     "read_parquet",

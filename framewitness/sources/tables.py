@@ -106,6 +106,14 @@ class Table:
         )
 
 
+def table_sources(spark: SparkSession, tables) -> DataFrame:
+    """dataset_id, source_name and source_format, one row per table."""
+    rows = [(t.dataset_id, t.source_name, t.source_format) for t in tables]
+    return spark.createDataFrame(
+        rows, "dataset_id string, source_name string, source_format string"
+    )
+
+
 _MISFIT = "_misfit"
 _END = "(end of row)"
 
