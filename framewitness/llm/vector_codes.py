@@ -45,7 +45,7 @@ from framewitness.llm.shared import table, written
 
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4_096
 #: Vectors of a tree, and different points of a leaf.
-CHUNK, LEAF = 1_024, 16
+CHUNK, LEAF = 1_024, 32
 #: Points whose distances to all entries are worked out at a time.
 _SLICE = 1 << 15
 _MARGIN = 1 + 1e-9
