@@ -6,6 +6,8 @@ names survive; the display names travel next to the frame as metadata.
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 from collections import Counter
 from dataclasses import dataclass, replace
@@ -24,6 +26,7 @@ from framewitness.functions.fixed import (
     INTEGER_PATTERN,
     NULL_TOKENS,
 )
+from framewitness.sources.csv_rows import csv_rows
 
 _BLANK_NAME = re.compile(r"\s*|_c\d+|Unnamed:.*", re.DOTALL)
 
@@ -123,7 +126,7 @@ def read_csv(
     path: str,
     dataset_id: str,
     *,
-    multiline: bool = False,
+    multiline: bool | str = False,
     sheet: str | None = None,
 ) -> Table:
     """Read CSV with a header row; null tokens and types follow pandas.
@@ -132,26 +135,17 @@ def read_csv(
     ``multiline`` is given, lines with an odd number of quotes: they are parts of
     rows with line breaks in a cell. Rows with fewer cells end in nulls. Where the
     header's names are all different, every file must have the same header.
+
+    ``multiline=True`` reads each file in one task, however its quotes are set.
+    ``multiline="split"`` reads it in many, for files whose quotes follow RFC 4180.
     """
     if sheet is not None:
         raise ValueError("a sheet can only be chosen for spreadsheet input")
     _require(spark, path, ".csv")
-    reader = spark.read.option("quote", '"').option("escape", '"')
-    reader = reader.option("multiLine", multiline).option("encoding", "UTF-8")
-    # The header row alone, so that repeated and blank names stay as written.
-    header = reader.csv(path, header=False, inferSchema=False).limit(1).first()
-    if header is None:
-        raise ValueError(f"no header row in {path}")
-    names = [("" if name is None else name).removeprefix("\ufeff") for name in header]
-    plain = all(names) and len({name.lower() for name in names}) == len(names)
-    columns = names if plain else [f"c{i}" for i in range(len(names))]
-    fields = [T.StructField(c, T.StringType()) for c in (*columns, _MISFIT)]
-    rows = (
-        reader.schema(T.StructType(fields))
-        .option("columnNameOfCorruptRecord", _MISFIT)
-        .option("enforceSchema", not plain)
-        .csv(path, header=True)
-    )
+    if multiline == "split":
+        names, rows = _split_rows(spark, path)
+    else:
+        names, rows = _file_rows(spark, path, bool(multiline))
     torn = "0L" if multiline else _torn_lines(spark, path)
     cells = rows.toDF(*[f"c{i}" for i in range(len(names))], _MISFIT)
     table = Table.of(
@@ -179,6 +173,47 @@ def read_csv(
     return _with_types(table, types)
 
 
+def _header_names(header) -> tuple[list[str], list[str], bool]:
+    """Names as written, column names to read by, and whether those are the same."""
+    names = [("" if name is None else name).removeprefix("\ufeff") for name in header]
+    plain = all(names) and len({name.lower() for name in names}) == len(names)
+    return names, names if plain else [f"c{i}" for i in range(len(names))], plain
+
+
+def _file_rows(spark: SparkSession, path: str, multiline: bool):
+    reader = spark.read.option("quote", '"').option("escape", '"')
+    reader = reader.option("multiLine", multiline).option("encoding", "UTF-8")
+    # The header row alone, so that repeated and blank names stay as written.
+    header = reader.csv(path, header=False, inferSchema=False).limit(1).first()
+    if header is None:
+        raise ValueError(f"no header row in {path}")
+    names, columns, plain = _header_names(header)
+    fields = [T.StructField(c, T.StringType()) for c in (*columns, _MISFIT)]
+    rows = (
+        reader.schema(T.StructType(fields))
+        .option("columnNameOfCorruptRecord", _MISFIT)
+        .option("enforceSchema", not plain)
+        .csv(path, header=True)
+    )
+    return names, rows
+
+
+def _split_rows(spark: SparkSession, path: str):
+    rows = csv_rows(spark, path).filter("value <> ''")
+    first = "block = 0 AND line = 0"
+    headers = [r["value"] for r in rows.filter(first).select("value").distinct().limit(2).collect()]
+    if not headers:
+        raise ValueError(f"no header row in {path}")
+    options = "map('quote', '\"', 'escape', '\"', 'columnNameOfCorruptRecord', '" + _MISFIT + "')"
+    cells = next(csv.reader(io.StringIO(headers[0])))
+    names, _, plain = _header_names(cells)
+    if len(headers) > 1 and plain:
+        raise ValueError(f"files of {path} have different headers")
+    schema = ", ".join(f"c{i} STRING" for i in range(len(names))) + f", {_MISFIT} STRING"
+    parsed = rows.filter(f"NOT ({first})").selectExpr(f"from_csv(value, '{schema}', {options}) AS r")
+    return names, parsed.select("r.*")
+
+
 def _torn_lines(spark: SparkSession, path: str) -> DataFrame:
     quotes = "length(value) - length(replace(value, '\"', ''))"
     return spark.read.text(path).agg(F.expr(f"count_if(({quotes}) % 2 = 1)"))

@@ -216,3 +216,47 @@ def test_notes(spark):
         assert row.note == (text if row.notes_valid else None)
     counts = {r.error_code: r.rows_affected for r in notes.error_counts(checked).collect()}
     assert counts["none"] == 2 and counts["not_json"] == 2
+
+
+def _broken_cells(draw, many):
+    """Rows of (number, text) with line breaks, quotes and blank cells."""
+    parts = ["x", "\n", '"', ",", "", "word ", "\n\n", "ü", "end\n"]
+    return [(i, "".join(draw.choices(parts, k=draw.randint(0, 9)))) for i in range(many)]
+
+
+def test_csv_with_line_breaks_is_split(spark, tmp_path):
+    import csv
+    import random
+
+    draw = random.Random(6)
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    for name in ("one", "two", "three"):
+        with open(folder / f"{name}.csv", "w", newline="") as out:
+            writer = csv.writer(out, lineterminator="\n")
+            writer.writerow(["number", "the\ntext", "last"])
+            for number, text in _broken_cells(draw, 1_500):
+                writer.writerow([number, text, f"{name}\n" * (number % 3 == 0)])
+            writer.writerow([-1, "long\n" * 3_000, name])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        split = read_csv(spark, str(folder), "t", multiline="split")
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 20
+        found = sorted(map(repr, split.frame.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = read_csv(spark, str(folder), "t", multiline=True)
+    assert split.names == whole.names == ("number", "the\ntext", "last")
+    assert found == sorted(map(repr, whole.frame.collect())) and len(found) == 4_503
+
+
+def test_split_csv_that_does_not_fit(spark, tmp_path):
+    with pytest.raises(ValueError, match="odd number of quotes"):
+        read_csv(spark, _csv(tmp_path, 'a,b\n1,"x\n2,y\n'), "t", multiline="split")
+    with pytest.raises(ValueError, match="1 rows .* more cells"):
+        read_csv(spark, _csv(tmp_path, 'a,b\n1,"x\ny"\n3,4,5\n'), "t", multiline="split")
+    with pytest.raises(ValueError, match="no header"):
+        read_csv(spark, _csv(tmp_path, ""), "t", multiline="split")
+    empty = read_csv(spark, _csv(tmp_path, "a,b\n"), "t", multiline="split")
+    assert empty.names == ("a", "b") and empty.frame.count() == 0
