@@ -340,7 +340,7 @@ def route_marked_texts(spark, sf):
 
 @query
 def candidate_columns_texts(spark, sf):
-    kinds = profile.profiles(_case_tables(spark, sf), measures=("nulls", "dates"))
+    kinds = _kept(profile.profiles(_case_tables(spark, sf), measures=("nulls", "dates")))
     found = routing.candidate_columns(inputs.marked_texts(spark, sf), kinds)
     return found.select("case_id", "dataset_id", "issue_type", "position", "column_name")
 
@@ -355,7 +355,7 @@ def _case_tables(spark, sf) -> list[Table]:
 
 @query
 def candidate_columns(spark, sf):
-    kinds = profile.profiles(_case_tables(spark, sf), measures=("nulls", "dates"))
+    kinds = _kept(profile.profiles(_case_tables(spark, sf), measures=("nulls", "dates")))
     found = routing.candidate_columns(inputs.issue_cases(spark, sf), kinds)
     return found.groupBy("dataset_id", "issue_type", "position", "column_name").agg(
         F.expr("count(1)").alias("case_count")

@@ -172,13 +172,21 @@ def candidate_rule(
         ELSE false END"""
 
 
+def _once(text: str, name: str):
+    """A column that no filter is pushed below, so that its text is worked out once.
+
+    Catalyst would copy the whole expression into every filter on what comes of it.
+    """
+    return F.expr(f"explode_outer(array({text}))").alias(name)
+
+
 def with_issue_type(cases: DataFrame) -> DataFrame:
     """Adds the folded statement, its term hits, issue_type and issue_provided."""
     return (
         cases.withColumn("lowered", F.expr("lower(issue_statement)"))
         .withColumn("folded", F.expr(fold("lowered")))
         .drop("lowered")
-        .withColumn("term_hits", F.expr(term_hits("folded")))
+        .select("*", _once(term_hits("folded"), "term_hits"))
         .withColumn("issue_type", F.expr(issue_type("folded", "term_hits")))
         .withColumn("issue_provided", F.expr(f"issue_type <> '{MISSING}'"))
     )
@@ -187,7 +195,7 @@ def with_issue_type(cases: DataFrame) -> DataFrame:
 def with_issue_words(typed: DataFrame, needed: str = "true") -> DataFrame:
     """Adds issue_tokens and issue_phrase; empty where they are not needed."""
     tokens = f"IF({needed}, {issue_tokens('folded')}, {array_of(())})"
-    return typed.withColumn("issue_tokens", F.expr(tokens)).withColumn(
+    return typed.select("*", _once(tokens, "issue_tokens")).withColumn(
         "issue_phrase", F.expr("array_join(array_sort(issue_tokens), ' ')")
     )
 
@@ -339,14 +347,14 @@ def mentions(worded: DataFrame, columns: DataFrame) -> DataFrame:
     hits, not with cases times columns.
     """
     pairs = (
-        "transform(w, t -> struct(t AS one, '' AS other)),"
-        " transform(sequence(1, size(w)), i ->"
-        " struct(w[i - 1] AS one, coalesce(get(w, i), '') AS other))"
+        "transform(w, t -> struct(t AS one, '' AS other)), filter("
+        "transform(w, (t, i) -> struct(t AS one, coalesce(get(w, i + 1), '') AS other)),"
+        " p -> p.other <> '')"
     )
     said = (
         worded.filter("size(issue_tokens) > 0 AND dataset_id IS NOT NULL")
         .selectExpr("dataset_id", "sentence", "array_sort(issue_tokens) AS w")
-        .selectExpr("dataset_id", "sentence", f"inline(array_distinct(concat({pairs})))")
+        .selectExpr("dataset_id", "sentence", f"inline(concat({pairs}))")
     )
     words = said.select("dataset_id", "one", "other").distinct()
     reached = _reached(_name_keys(columns), words)
