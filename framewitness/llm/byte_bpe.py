@@ -18,6 +18,7 @@ import base64
 import hashlib
 import os
 from functools import lru_cache
+from weakref import WeakSet
 
 import numpy as np
 import public_tokenizers
@@ -25,12 +26,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from framewitness.llm.shared import only_text
+from framewitness.llm.shared import only_text, released
 
 RANKS = "byte_bpe_50k.tiktoken"
 _TEXTS, _BYTES = 256, 1 << 20
 #: Different matches whose ids a task keeps; beyond it the table starts anew.
 _KEPT = 500_000
+_LOADED: WeakSet[Vocabulary] = WeakSet()
 
 
 def byte_characters() -> list[str]:
@@ -70,12 +72,16 @@ class Vocabulary:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
         self.kept: dict[str, bytes] = {}
+        _LOADED.add(self)
+
+    def forget(self) -> None:
+        self.kept = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         split = [self.pattern.findall(text) for text in texts]
         if len(self.kept) > _KEPT:
-            self.kept = {}
+            self.forget()
         new = list(set().union(*split).difference(self.kept))
         for i in range(0, len(new), 10_000):
             some = new[i : i + 10_000]
@@ -94,6 +100,12 @@ def load(ranks: str = RANKS) -> Vocabulary:
     return Vocabulary(ranks)
 
 
+def _forget() -> None:
+    """Drop the ids that a task has kept; the vocabularies stay."""
+    for vocabulary in _LOADED:
+        vocabulary.forget()
+
+
 def _parts(token: bytes, rank: dict[bytes, int]) -> tuple[bytes, bytes]:
     """The two tokens whose merge makes this one: what remains of its bytes when only
     merges of a lower rank are done."""
@@ -164,7 +176,7 @@ def digests(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return only_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return only_text(docs).mapInArrow(released(run, _forget), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def tokens(docs: DataFrame, ranks: str = RANKS, offsets: bool = False) -> DataFrame:
@@ -180,7 +192,7 @@ def tokens(docs: DataFrame, ranks: str = RANKS, offsets: bool = False) -> DataFr
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "ids", "starts", "ends"][: len(out)])
 
     more = ", starts array<int>, ends array<int>" if offsets else ""
-    return only_text(docs).mapInArrow(run, "doc_id long, ids array<long>" + more)
+    return only_text(docs).mapInArrow(released(run, _forget), "doc_id long, ids array<long>" + more)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

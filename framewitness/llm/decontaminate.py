@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewitness.llm.kernels import lower_ascii, mixed, text_blocks, trimmed, word_hashes, word_spans
-from framewitness.llm.shared import bit_filter, table, unpacked, written
+from framewitness.llm.shared import bit_filter, released, table, unpacked, written
 
 SPAN = 12
 # The places that each mask looks at, eight of twelve, both ends included.
@@ -119,7 +119,7 @@ def item_seeds(items: DataFrame, whole: bool = False) -> DataFrame:
                         names=["seed", "item_id", "place", "n_words"],
                     )
 
-    return items.mapInArrow(run, "seed long, item_id long, place int, n_words int")
+    return items.mapInArrow(released(run), "seed long, item_id long, place int, n_words int")
 
 
 def _item_words(items: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def _item_words(items: DataFrame) -> DataFrame:
                 data = [values[a:b].tobytes() for a, b in zip(words, words[1:])]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(data, pa.binary())], names=["item_id", "item"])
 
-    return items.mapInArrow(run, "item_id long, item binary")
+    return items.mapInArrow(released(run), "item_id long, item binary")
 
 
 def passages(docs: DataFrame, filters: tuple[bytes, bytes], shorter: list[int], side: int, masks=MASKS) -> DataFrame:
@@ -180,7 +180,7 @@ def passages(docs: DataFrame, filters: tuple[bytes, bytes], shorter: list[int],
                 )
 
     schema = "doc_id long, before int, words binary, seeds array<long>, spots array<int>"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def best_stretch(words: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
@@ -258,7 +258,7 @@ def leaks(docs: DataFrame, items: DataFrame, whole: bool = False) -> DataFrame:
                 )
 
     schema = "doc_id long, item_id long, n_words int, matching int, first_word int, length int"
-    stretches = laid.mapInArrow(run, schema)
+    stretches = laid.mapInArrow(released(run), schema)
     best = F.max(F.struct("matching", (-F.col("first_word")).alias("early"), "length", "n_words")).alias("best")
     return stretches.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id",

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from framewitness.llm.components import components
 from framewitness.llm.kernels import Rolling, lower_ascii, mixed, text_blocks, word_hashes, word_spans
-from framewitness.llm.shared import only_text, parts, table, written
+from framewitness.llm.shared import only_text, parts, released, table, written
 
 WORDS = 5
 #: Similarity as a fraction, so that comparisons are exact.
@@ -198,9 +198,9 @@ def sketch(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
 
     schema = "block int, counts binary"
-    merged = docs.select("text").mapInArrow(count, schema).repartition(parts(docs.sparkSession), "block")
+    merged = docs.select("text").mapInArrow(released(count), schema).repartition(parts(docs.sparkSession), "block")
     counts = np.zeros((64, CELLS // 64), np.int64)
-    for row in merged.mapInArrow(merge, schema).collect():  # 64 blocks of a fixed size
+    for row in merged.mapInArrow(released(merge), schema).collect():  # 64 blocks of a fixed size
         counts[row["block"]] = np.frombuffer(row["counts"], np.int64)
     counts = counts.ravel()
     return np.log2(1 + counts / max(1.0, counts.mean())).astype(np.uint8)
@@ -230,7 +230,7 @@ def sizes_and_keys(docs: DataFrame) -> DataFrame:
                 )
 
     schema = "doc_id long, node long, n_shingles long, h1 long, h2 long, sketch binary"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -310,8 +310,8 @@ def groups(docs: DataFrame) -> DataFrame:
                 names=["token", "node", "pivot"],
             )
 
-    packed = docs.mapInArrow(emit, "bucket int, n int, blob binary").repartition(n, "bucket")
-    return packed.mapInArrow(gather, "token long, node long, pivot long")
+    packed = docs.mapInArrow(released(emit), "bucket int, n int, blob binary").repartition(n, "bucket")
+    return packed.mapInArrow(released(gather), "token long, node long, pivot long")
 
 
 def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -345,7 +345,7 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
             )
 
     both = left.join(right, ["v", "slice"]).select("u", "v", "left", "right")
-    return both.mapInArrow(run, "u long, v long")
+    return both.mapInArrow(released(run), "u long, v long")
 
 
 def _sets(texts) -> list[np.ndarray]:
@@ -421,7 +421,7 @@ def across_components(labelled: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(two), pa.array(one)], names=["u", "v"])
 
     dealt = units.repartition(parts(spark), "token", "low", "high")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return dealt.mapInArrow(released(run), "u long, v long").distinct()
 
 
 def links(docs: DataFrame, narrow: DataFrame) -> DataFrame:

@@ -61,6 +61,25 @@ def release(spark: SparkSession) -> None:
             pass
 
 
+def released(run, *forgets):
+    """``run`` for mapInArrow, which gives its memory back when a task ends.
+
+    Spark keeps Python workers for the stages that follow; what a worker holds on to, in
+    tables that ``forgets`` empty and in freed blocks, adds up with theirs.
+    """
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for forget in forgets:
+                forget()
+            for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+                pool.release_unused()
+
+    return task
+
+
 def bit_filter(hashes: DataFrame, size: int) -> bytes:
     """A filter of ``size`` bits (a power of two), set at each value of the only column.
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewitness.llm.kernels import hash_text, member, text_blocks, trimmed, word_hashes, word_spans
-from framewitness.llm.shared import only_text, table
+from framewitness.llm.shared import only_text, released, table
 
 #: Labelled rows to learn from at most, and entries of the lexicon at most.
 SAMPLE, LEXICON = 30_000, 5_000
@@ -215,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if not bad or not good:
         return Model({})
     lexicon = _lexicon(sample, bad, good)
-    found = sample.mapInArrow(_with_features(Model(lexicon)), "toxic int, features array<double>").toPandas()
+    found = sample.mapInArrow(released(_with_features(Model(lexicon))), "toxic int, features array<double>").toPandas()
     x = np.array(found["features"].tolist()).reshape(-1, READINGS)
     bias, coefficients = fit(x, found["toxic"].to_numpy(float), math.log(bad / good))
     return Model(lexicon, bias, coefficients)
@@ -249,7 +249,7 @@ def _lexicon(sample: DataFrame, bad: int, good: int) -> dict[str, float]:
 
     share = bad / (bad + good)
     counted = (
-        sample.mapInArrow(count, "entry string, bad long, good long")
+        sample.mapInArrow(released(count), "entry string, bad long, good long")
         .groupBy("entry")
         .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         .where((F.col("bad") >= 3) & (F.col("bad") * good > 3 * F.col("good") * bad))
@@ -309,7 +309,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 names=["doc_id", "score", "predicted"],
             )
 
-    scored = only_text(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+    scored = only_text(docs).mapInArrow(released(run), "doc_id long, score double, predicted int")
     return scored.select("doc_id", _held_out().alias("held_out"), "score", "predicted")
 
 
@@ -327,4 +327,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             text = batch.column("text").cast(pa.string()).fill_null("")
             yield batch.filter(pa.array(model.score(text) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
