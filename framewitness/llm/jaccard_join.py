@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewitness.llm.components import components
+from framewitness.llm.components import linked
 from framewitness.llm.kernels import Rolling, lower_ascii, mixed, text_blocks, word_hashes, word_spans
 from framewitness.llm.shared import only_text, parts, released, table, written
 
@@ -53,7 +53,7 @@ CELLS = 1 << 20
 SLICE = 500
 #: Sets of a group that are compared in one task.
 BLOCK = 20_000
-#: Documents whose numbers may be broadcast, 8 bytes each; beyond it a join is shuffled.
+#: Documents whose numbers may be broadcast, two of 8 bytes at most; beyond it a join is shuffled.
 FEW = 1_000_000
 
 
@@ -324,7 +324,9 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
         texts.join(often.withColumnRenamed("v", "node").hint("shuffle_hash"), "node")
         .select(F.col("node").alias("v"), F.col("text").alias("right"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
     )
-    left = pairs.join(often, "v").withColumn("slice", F.pmod(F.xxhash64("u"), F.col("slices")).cast("int"))
+    # Hardly any v has more than one slice: a SLICE-th of the pairs at most.
+    left = pairs.join(F.broadcast(often.where("slices > 1")), "v", "left")
+    left = left.select("u", "v", F.pmod(F.xxhash64("u"), F.coalesce("slices", F.lit(1))).cast("int").alias("slice"))
     left = texts.join(left.withColumnRenamed("u", "node").hint("shuffle_hash"), "node").select(
         F.col("node").alias("u"), "v", "slice", F.col("text").alias("left")
     )
@@ -356,6 +358,11 @@ def _sets(texts) -> list[np.ndarray]:
     return out
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """A written table of narrow rows, broadcast up to ``FEW`` of them."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose sides are in different components so far."""
     left = roots.select(F.col("node").alias("u"), F.col("root").alias("u_root"))
@@ -367,14 +374,12 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def across_components(labelled: DataFrame) -> DataFrame:
     """Pairs of one group in different components that sizes and sketches allow: (u, v).
 
-    ``labelled`` has token, node, root, least, most and sketch (null: any).
+    ``labelled`` has token, node, root, least, most, sketch (null: any) and blocks, of which
+    the group is to be cut into so many.
     """
     spark = labelled.sparkSession
-    counts = labelled.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    blocks = counts.where("blocks > 1")
-    own = F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(F.lit(0))
-    units = labelled.join(blocks, "token", "left").withColumn("own", own.cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+    units = labelled.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     units = units.withColumn("other", other).select(
         "token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
         "own", "node", "root", "least", "most", "sketch",
@@ -425,14 +430,18 @@ def across_components(labelled: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, narrow: DataFrame) -> DataFrame:
-    """Components of the similarity graph over nodes: (node, root)."""
+    """Components of the similarity graph over nodes: (node, root) of those that are no root."""
     full = narrow.where("n_shingles > 0")
-    classes = full.groupBy("h1", "h2", "n_shingles").agg(F.min("node").alias("rep"))
+    classes = full.groupBy("h1", "h2", "n_shingles").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # Copies are linked with the smallest of them and need no verification.
     copies = full.join(classes, ["h1", "h2", "n_shingles"]).select(F.col("node").alias("u"), F.col("rep").alias("v"))
-    rep = written(copies.where("u <> v").distinct(), "copies")
-    found = written(groups(docs).distinct(), "groups")
-    reps = rep.groupBy("u").agg(F.min("v").alias("v"))
+    rep = written(copies.where("u <> v"), "copies")
+    reps = written(rep.groupBy("u").agg(F.min("v").alias("v")), "reps")
+    found = groups(docs)
+    if reps.count() <= FEW:
+        reps = F.broadcast(reps)
+    else:
+        found = found.distinct()  # else shuffled twice more, before it is distinct below
     found = found.join(reps.withColumnRenamed("u", "node"), "node", "left")
     found = found.select("token", F.coalesce("v", "node").alias("node"), "pivot")
     found = found.join(reps.withColumnRenamed("u", "pivot"), "pivot", "left")
@@ -442,26 +451,30 @@ def links(docs: DataFrame, narrow: DataFrame) -> DataFrame:
         F.max("n_shingles").alias("most"),
         F.when(F.count(F.lit(1)) == 1, F.first("sketch")).alias("sketch"),
     )
-    needed = found.select("node").union(found.select("pivot")).distinct()
-    if needed.count() <= FEW:
-        needed = F.broadcast(needed)
+    # A pivot is one of its group's nodes.
+    needed = _few(written(found.select("node").distinct(), "needed"))
     texts = written(docs.select("node", "text").join(needed, "node", "left_semi"), "texts")
     stars = found.where("node <> pivot").select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v"))
     stars = written(_possible(stars.distinct(), size), "stars")
     first = stars.groupBy("u").agg(F.min("v").alias("v"))
-    edges = written(rep.unionByName(verified(texts, first)), "edges")
-    roots = written(components(edges), "roots")
-    rest = _between(stars.join(first, ["u", "v"], "left_anti"), roots)
-    edges = written(edges.unionByName(verified(texts, rest)), "edges")
-    roots = written(components(edges), "roots")
+    roots = linked(rep.unionByName(verified(texts, first)))
+    rest = stars.join(first.withColumnRenamed("v", "first"), "u").where("v <> first").select("u", "v")
+    more = verified(texts, _between(rest, _few(roots)))
+    # The components so far are links as good as those they come of, and fewer.
+    roots = linked(_links(roots).unionByName(more))
     # Groups that still hold several components, all pairs across them but the stars.
-    labelled = found.select("token", "node").distinct().join(roots, "node", "left")
+    labelled = found.select("token", "node").join(_few(roots), "node", "left")
     labelled = labelled.select("token", "node", F.coalesce("root", "node").alias("root"))
-    several = labelled.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"))
-    labelled = labelled.join(several.where("a <> b").select("token"), "token", "left_semi")
+    several = labelled.groupBy("token").agg(
+        F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
+    )
+    labelled = labelled.join(several.where("a <> b").select("token", "blocks"), "token")
     across = across_components(labelled.join(size, "node")).join(stars, ["u", "v"], "left_anti")
-    edges = written(edges.unionByName(verified(texts, across)), "edges")
-    return components(edges)
+    return linked(_links(roots).unionByName(verified(texts, across)))
+
+
+def _links(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
 
 
 def _possible(pairs: DataFrame, size: DataFrame) -> DataFrame:
@@ -477,10 +490,11 @@ def joined(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id."""
     docs = _nodes(docs)
     narrow = written(sizes_and_keys(docs), "sizes")
-    roots = written(links(docs, narrow), "roots")
-    rows = narrow.join(roots, "node", "left").select(
+    rows = narrow.join(_few(links(docs, narrow)), "node", "left").select(
         "doc_id", "node", "n_shingles", F.coalesce("root", "node").alias("root")
     )
+    if not narrow.where("doc_id IS NULL").head(1):
+        return rows.select("doc_id", "n_shingles", F.col("root").alias("component_id"))
     # A node made for a null doc_id names nothing: the smallest real one does.
     names = rows.where("doc_id IS NULL").select("root").distinct()
     names = rows.join(names, "root", "left_semi").groupBy("root").agg(F.min("doc_id").alias("name"), F.lit(True).alias("renamed"))

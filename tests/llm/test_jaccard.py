@@ -105,3 +105,17 @@ def test_long_chains(spark):
     found = components(spark.createDataFrame(chain, "u long, v long")).collect()
     assert {(r.node, r.root) for r in found} == {(i, 0) for i in range(61)} | {(i, 100) for i in (100, 200, 300)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_few_stages(spark):
+    data = made(5, 40)
+    context, group = spark.sparkContext, "stages of the join"
+    context.setJobGroup(group, group)
+    try:
+        assert got(jaccard_join.joined(frame(spark, data)), *NAMES) == plain(data)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    run = sum(info.numCompletedTasks > 0 for info in map(tracker.getStageInfo, stages) if info)
+    assert run < 125  # 150 before components and broadcasts took fewer shuffles, 103 after
