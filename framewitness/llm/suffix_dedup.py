@@ -254,18 +254,44 @@ def contexts(joined: DataFrame, window: int, buckets: int) -> DataFrame:
 _OPEN = ("anchor", "id", "key", "start", "more")
 
 
+def _first_ranks(text: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """Ranks of the suffixes by their first values, how many those are, and whether a
+    separator is among them. Separators are the values below all that come twice, if each
+    is larger than those before it; else there are none, and a rank is of one value."""
+    n, low = len(text), int(text.min(initial=0))
+    many = np.bincount(text - low)
+    twice = np.flatnonzero(many > 1)
+    first = twice[0] if len(twice) else len(many)
+    apart = text - low < first
+    if not len(twice) or (np.diff(text[apart]) < 0).any() or not apart[-1]:
+        return np.unique(text, return_inverse=True)[1].astype(np.int64), 1, np.zeros(n, bool)
+    codes = np.cumsum(many[first:] > 0)
+    symbols = np.where(apart, 0, codes[np.maximum(text - low - first, 0)])
+    bits = int(codes[-1]).bit_length()
+    span = min(n, 63 // bits)
+    rank, ended = np.zeros(n, np.int64), np.zeros(n, bool)
+    for k in range(span):
+        rank <<= bits
+        # What is after a separator does not count. The last value is one.
+        rank[: n - k] |= np.where(ended[: n - k], 0, symbols[k:])
+        ended[: n - k] |= apart[k:]
+    return rank, span, ended
+
+
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """Suffix array of a text whose values at separators are all different.
 
-    By doubling the length that is sorted; only what is still tied is sorted again.
+    By doubling the length that is sorted; only what is still tied is sorted again. It
+    begins with as many values as a whole number holds.
     """
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    span = 1
+    rank, span, ended = _first_ranks(text)
     order = np.argsort(rank, kind="stable")
     while True:
         new = np.ones(n, np.int64)
         new[1:] = rank[order[1:]] != rank[order[:-1]]
+        # Suffixes alike up to a separator are in the order of their separators.
+        new |= ended[order]
         places = np.flatnonzero(new)
         # The rank of a suffix is the first place of its tie.
         rank = np.empty(n, np.int64)
@@ -296,9 +322,8 @@ def run_length_index(text: np.ndarray, order: np.ndarray):
     return bwt[first], first, order[first], order[last]
 
 
-def matching_statistics(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """For each position how far it matches the suffix before it in suffix order, up to
-    ``most`` or a little more.
+def matching_statistics(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each position how far it matches the suffix before it in suffix order.
 
     At a run's first row the match is compared anew, with the sample at the end of the
     run before; in between it is the one of the position before less one.
@@ -308,8 +333,19 @@ def matching_statistics(text: np.ndarray, order: np.ndarray, most: int) -> np.nd
     here, there = begin[1:], end[:-1]
     match = np.zeros(len(here), np.int64)
     going = np.arange(len(here))
-    # Beyond the length asked for, as the values that follow are smaller by one each.
-    while len(going) and match[going[0]] < 4 * most:
+    # To the end of the match, however long, as the values that follow are smaller by one
+    # each: some values at once as long as all of them are alike, then one by one.
+    rank, span, ended = _first_ranks(text)
+    less = np.zeros(len(here), bool)
+    while len(going):
+        x, y = here[going] + match[going], there[going] + match[going]
+        same = (x < n) & (y < n)
+        same[same] = (rank[x[same]] == rank[y[same]]) & ~ended[x[same]] & ~ended[y[same]]
+        less[going[~same]] = True
+        going = going[same]
+        match[going] += span
+    going = np.flatnonzero(less)
+    for _ in range(span - 1):
         x, y = here[going] + match[going], there[going] + match[going]
         same = (x < n) & (y < n)
         same[same] = text[x[same]] == text[y[same]]
@@ -335,7 +371,7 @@ def marked(contexts: list[bytes], ids: np.ndarray, window: int) -> list[np.ndarr
     text[inside] = data.astype(np.int64) + len(contexts)
     text[ends] = np.arange(len(contexts))  # separators differ, so no match crosses one
     order = suffix_order(text)
-    match = matching_statistics(text, order, window)
+    match = matching_statistics(text, order)
     owner = np.repeat(np.arange(len(contexts)), lengths + 1)
     group = np.cumsum(match[order] < window)
     heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])

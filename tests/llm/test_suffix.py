@@ -90,3 +90,28 @@ def test_index_against_all_pairs():
                 least[t[k : k + 6]] = min(i, least.get(t[k : k + 6], 99))
         for t, i, offsets in zip(texts, ids, suffix_dedup.marked(texts, ids, 6)):
             assert offsets.tolist() == [k for k in range(len(t) - 5) if least[t[k : k + 6]] < i]
+
+
+def test_index_of_long_matches():
+    pick = random.Random(7)
+    base = [bytes(pick.choice(b"abcdefgh") for _ in range(60)) for _ in range(4)]
+    texts = list({(pick.choice(base) + pick.choice(base))[pick.randrange(9) :] for _ in range(30)})
+    ids = np.array([pick.randrange(6) for _ in texts])
+    least = {}
+    for t, i in zip(texts, ids):
+        for k in range(len(t) - 5):
+            least[t[k : k + 6]] = min(i, least.get(t[k : k + 6], 99))
+    for t, i, offsets in zip(texts, ids, suffix_dedup.marked(texts, ids, 6)):
+        assert offsets.tolist() == [k for k in range(len(t) - 5) if least[t[k : k + 6]] < i]
+
+
+def test_suffixes_are_sorted_by_many_values_at_once(monkeypatch):
+    pick = random.Random(8)
+    passage = bytes(pick.choice(b"abcdefghijklmnop ") for _ in range(80))
+    texts = [passage[:k] + b"!" + passage[k + 1 :] for k in range(0, 80, 2)]
+    text = np.concatenate([np.append(np.frombuffer(t, np.uint8).astype(np.int64) + len(texts), k) for k, t in enumerate(texts)])
+    plain_order = sorted(range(len(text)), key=lambda i: text[i:].tolist())
+    sizes, real = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, **more: sizes.append(len(x)) or real(x, **more))
+    assert suffix_dedup.suffix_order(text).tolist() == plain_order
+    assert len(sizes) <= 5
